@@ -56,7 +56,7 @@ def table_from_columns(
 
 
 def rows_from_lists(df: DataFrame, keep: Sequence[str], lists: Sequence[str]) -> DataFrame:
-    """The same for lists that are columns of a table: one row per list position, ``at``."""
+    """The same for lists that are columns of a table: one row per list position, ``nth``."""
     zipped: Column = F.arrays_zip(*lists)
-    places = df.select(*keep, F.posexplode(zipped).alias("at", "row"))
-    return places.select(*keep, "at", *[F.col(f"row.{c}").alias(c) for c in lists])
+    places = df.select(*keep, F.posexplode(zipped).alias("nth", "row"))
+    return places.select(*keep, "nth", *[F.col(f"row.{c}").alias(c) for c in lists])
