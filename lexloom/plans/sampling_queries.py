@@ -20,12 +20,12 @@ flat as (
   from permuted),
 counts as (select count(*) as n from documents)"""
 WRAPPED = f"""{GROUPED},
-total as (select n, -(-n // {RANKS}) * {RANKS} as total from counts),
+total as (select n, ((n + {RANKS} - 1) // {RANKS}) * {RANKS} as total from counts),
 evened as (
   select f.doc_id, p as flat_pos from total, range(0, (select total from total)) as r(p), flat f
   where f.flat_pos = p % n)"""
 DROPPED = f"""{GROUPED},
-total as (select case when n % {RANKS} = 0 then n else -(-(n - {RANKS}) // {RANKS}) * {RANKS} end as total from counts),
+total as (select case when n % {RANKS} = 0 then n else ((n - 1) // {RANKS}) * {RANKS} end as total from counts),
 evened as (select doc_id, flat_pos from flat, total where flat_pos < total)"""
 
 
@@ -137,7 +137,7 @@ def grouped_sampler_one_rank(spark: SparkSession, folder: str) -> DataFrame:
     "plain_sampler",
     f"""with p as (select doc_id, row_number() over (order by doc_id) - 1 as pos, count(*) over () as n from documents)
     select doc_id, pos % {RANKS} as rank, pos // {RANKS} as idx from p
-    where pos < case when n % {RANKS} = 0 then n else -(-(n - {RANKS}) // {RANKS}) * {RANKS} end""",
+    where pos < case when n % {RANKS} = 0 then n else ((n - 1) // {RANKS}) * {RANKS} end""",
 )
 def plain_sampler(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
