@@ -6,6 +6,7 @@ from __future__ import annotations
 def all_queries() -> dict:
     """Import every module of queries and return what they registered."""
     from lexloom.plans import (  # noqa: F401
+        corpus_queries,
         nested_queries,
         packing_queries,
         relational_queries,
