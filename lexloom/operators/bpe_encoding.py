@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.tokenizer import UNK, WORD_START, Tokenizer, normalize, split_words
+from lexloom.operators.tokenizer import UNK, WORD_START, Tokenizer, count_listed_words, normalize, split_words
 from lexloom.session import write_and_read
 
 # Words in the broadcast part of the word table: a fixed number, some megabytes.
@@ -98,8 +98,7 @@ def encode(
     words = split_words(normalize(F.col(text), ascii_only))
     # Stated here so that both readers of the exchange below have the same plan.
     docs = df.filter(F.col(key).isNotNull()).select(key, words.alias("words"))
-    counts = docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-    table = write_and_read(encode_words(counts, tok), "word-ids")
+    table = write_and_read(encode_words(count_listed_words(docs), tok), "word-ids")
     common = table.orderBy(F.desc("cnt"), "word").limit(common_words).select("word", "ids")
 
     places = docs.select(key, F.posexplode_outer("words").alias("at", "word"))

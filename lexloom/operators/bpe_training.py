@@ -45,8 +45,8 @@ def symbol_array(symbols: Column) -> Column:
 
 def extract_runs(state: DataFrame) -> DataFrame:
     """``a``, ``b``, ``c`` (null at the end of a word), ``n``: every place of every word."""
-    array = state.select(symbol_array(F.col("symbols")).alias("s"), F.col("cnt").alias("n"))
-    array = array.filter(F.size("s") > 1)
+    several = state.filter(F.contains(F.col("symbols"), F.lit("  ")))
+    array = several.select(symbol_array(F.col("symbols")).alias("s"), F.col("cnt").alias("n"))
     places = F.size("s") - 1
     # Zipping pads the shorter third slice with null: no symbol follows there.
     zipped = F.arrays_zip(
@@ -164,14 +164,15 @@ def train_bpe(
         return [Pair(r.a, r.b, r.n, r.bound) for r in top.collect()]
 
     # A word of one symbol has no pair left and can leave the training state.
-    several = F.instr("symbols", "  ") > 0
+    several = F.contains(F.col("symbols"), F.lit("  "))
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     state = words.select(as_symbols(F.col("word")).alias("symbols"), "cnt").filter(several)
-    state = cut_lineage(state.repartition(slots))
+    # The checkpoint survives a lost executor; the cache on top of it is for speed.
+    state = cut_lineage(state.repartition(slots)).persist()
     runs = cut_lineage(count_runs(extract_runs(state)))
     words.unpersist()
 
-    rounds = 0
+    rounds, cached = 0, state
     while len(tokens) < vocab_size:
         ranked = best_pairs(runs)
         if not ranked:
@@ -201,5 +202,8 @@ def train_bpe(
         state = state.select(symbols.alias("symbols"), "cnt").filter(several)
         rounds += 1
         if rounds % ROUNDS_PER_CUT == 0:
-            state = cut_lineage(state)
+            state = cut_lineage(state).persist()
+            cached.unpersist()
+            cached = state
+    cached.unpersist()
     return Tokenizer(tuple(tokens), frozenset(specials), tuple(merges))

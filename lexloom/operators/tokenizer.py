@@ -100,11 +100,13 @@ def normalize(col: Column, ascii_only: bool = False) -> Column:
 
 
 def mark_words(col: Column) -> Column:
-    """Spaces become the word-start mark, and one is put in front where absent."""
+    """Spaces become the word-start mark, and one is put in front where absent.
+
+    The text is named once only: an expression that names it twice would make
+    the optimizer evaluate the cleaning in front of it twice.
+    """
     marked = F.replace(col, F.lit(" "), F.lit(WORD_START))
-    return F.when(
-        (marked != "") & ~F.startswith(marked, F.lit(WORD_START)), F.concat(F.lit(WORD_START), marked)
-    ).otherwise(marked)
+    return F.regexp_replace(marked, F.lit(f"^(?=[^{WORD_START}])"), F.lit(WORD_START))
 
 
 def split_words(col: Column) -> Column:
@@ -114,8 +116,14 @@ def split_words(col: Column) -> Column:
 
 def count_words(df: DataFrame, text: str, ascii_only: bool = False) -> DataFrame:
     """``word``, ``cnt``: counted on the map side first, so a very common word is no hot key."""
-    words = df.select(F.explode(split_words(normalize(F.col(text), ascii_only))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return count_listed_words(df.select(split_words(normalize(F.col(text), ascii_only)).alias("words")))
+
+
+def count_listed_words(lists: DataFrame, words: str = "words") -> DataFrame:
+    # An inner explode would push a test of the list below the projection that
+    # makes it, and make it twice; the outer one does not.
+    single = lists.select(F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
+    return single.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def characters(words: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ SETTINGS = corpus.CorpusSettings(seq_length=128, shards=4, batch_size=60)
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return corpus.prepare_corpus(docs, "doc_id", trained(spark, folder), settings=SETTINGS)
 
 

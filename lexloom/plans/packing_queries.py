@@ -23,7 +23,7 @@ SHARDS, BATCH = 4, 60
 
 def word_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id``, ``ids``: a number for each word of the cleaned text."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     words = F.filter(F.split(clean_text(F.col("text")), " "), lambda w: w != "")
     ids = F.transform(words, lambda w: ((F.ascii(w) * 131 + F.length(w) * 17) % 997 + 5).cast("int"))
     return docs.select("doc_id", ids.alias("ids"))

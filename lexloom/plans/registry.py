@@ -30,9 +30,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Rows of a one-file scan over all cores; a corpus of many files is left as it is."""
     if len(df.inputFiles()) > 1:
         return df
-    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(slots, key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

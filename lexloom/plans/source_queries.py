@@ -65,7 +65,7 @@ def cached_stage(spark: SparkSession, folder: str) -> DataFrame:
     path = new_stage_path(spark, "cleaned")
 
     def build() -> DataFrame:
-        docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+        docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
         return docs.select("doc_id", clean_text(F.col("text")).alias("text"))
 
     stages.cached_stage(spark, path, build)

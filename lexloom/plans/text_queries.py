@@ -21,7 +21,7 @@ def rule(name: str, source: tuple[str, str, str], func: Callable[[Column], Colum
     name_of_table, key, text = source
 
     def plan(spark: SparkSession, folder: str) -> DataFrame:
-        rows = spread(table(spark, folder, name_of_table).select(key, text), key)
+        rows = spread(table(spark, folder, name_of_table).select(key, text))
         return rows.select(key, func(F.col(text)).alias("text"))
 
     query(name, f"select {key}, {oracle.replace('{}', text)} as text from {name_of_table}")(plan)

@@ -80,7 +80,7 @@ word_ids as materialized (
 
 
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
@@ -111,7 +111,7 @@ def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
         from documents""",
 )
 def split_words(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.array_join(tk.split_words(tk.normalize(F.col("text"), True)), "¦").alias("words"))
 
 
