@@ -25,14 +25,22 @@ def permute(df: DataFrame, key: str, seed: int = 0, epoch: int = 0, out: str = "
     return placed.drop("__hash")
 
 
-def mega_batches(df: DataFrame, size: int | None = None, pos: str = "perm_pos") -> DataFrame:
-    """``mega``: runs of ``size`` positions, by default a thousandth of the table."""
-    per = F.lit(size) if size else F.greatest(F.floor(row_count(df) / 1000), F.lit(1))
+def mega_batches(
+    df: DataFrame, size: int | None = None, pos: str = "perm_pos", n: Column | None = None
+) -> DataFrame:
+    """``mega``: runs of ``size`` positions, by default a thousandth of the ``n`` rows."""
+    n = row_count(df) if n is None else n
+    per = F.lit(size) if size else F.greatest(F.floor(n / 1000), F.lit(1))
     return df.withColumns({"__mega_size": per.cast("bigint"), "mega": F.floor(F.col(pos) / per).cast("bigint")})
 
 
 def sort_in_mega_batches(
-    df: DataFrame, length: str, size: int | None = None, pos: str = "perm_pos", out: str = "flat_pos"
+    df: DataFrame,
+    length: str,
+    size: int | None = None,
+    pos: str = "perm_pos",
+    out: str = "flat_pos",
+    n: Column | None = None,
 ) -> DataFrame:
     """Longest first inside each mega-batch, equal lengths in permutation order.
 
@@ -40,7 +48,7 @@ def sort_in_mega_batches(
     are equally long; so its ranks come from buckets of (length, position), not
     from one window over the group.
     """
-    grouped = mega_batches(df, size, pos)
+    grouped = mega_batches(df, size, pos, n)
     base = F.col("mega") * F.col("__mega_size")
     if size and size <= PLAIN_WINDOW_ROWS:
         order = Window.partitionBy("mega").orderBy(F.desc(length), F.col(pos))
@@ -63,15 +71,16 @@ def samples_per_rank(n: Column, ranks: int, drop_last: bool) -> Column:
     return F.when(n % ranks != 0, F.ceil((n - ranks) / ranks)).otherwise(F.floor(n / ranks))
 
 
-def even_out(df: DataFrame, ranks: int, drop_last: bool, pos: str = "flat_pos") -> DataFrame:
+def even_out(
+    df: DataFrame, ranks: int, drop_last: bool, pos: str = "flat_pos", n: Column | None = None
+) -> DataFrame:
     """Positions 0 … total-1 with ``total`` a multiple of ``ranks``.
 
     Dropping truncates.  Otherwise rows repeat from the start, as often as
     needed: a row at ``p`` also stands at ``p + n``, ``p + 2n``, …, so nothing is
     joined or moved.
     """
-    n = row_count(df)
-    counted = df.withColumn("__n", n)
+    counted = df.withColumn("__n", row_count(df) if n is None else n)
     total = samples_per_rank(F.col("__n"), ranks, drop_last) * ranks
     if drop_last:
         return counted.filter(F.col(pos) < total).drop("__n")
@@ -101,20 +110,24 @@ def grouped_sampler(
     epoch: int = 0,
     drop_last: bool = False,
 ) -> DataFrame:
-    """``key``, ``flat_pos``, ``rank``, ``idx``: similar lengths together, the same
-    number for every rank.  With ``rank`` only that rank's rows are kept."""
+    """``key``, ``flat_pos``, ``rank``, ``idx``, ``per_rank``: similar lengths together,
+    the same number for every rank.  With ``rank`` only that rank's rows are kept."""
     check_rank(rank, ranks)
+    n = row_count(df)
     permuted = permute(df.select(key, length), key, seed, epoch)
-    flat = sort_in_mega_batches(permuted, length, mega_size).select(key, "flat_pos")
-    shared = stride(even_out(flat, ranks, drop_last), ranks)
+    flat = sort_in_mega_batches(permuted, length, mega_size, n=n).select(key, "flat_pos")
+    shared = stride(even_out(flat, ranks, drop_last, n=n), ranks)
+    shared = shared.withColumn("per_rank", samples_per_rank(n, ranks, drop_last))
     return shared if rank is None else shared.filter(F.col("rank") == rank)
 
 
 def plain_sampler(df: DataFrame, key: str, ranks: int, rank: int | None = None) -> DataFrame:
     """Row order, truncated to equal shares, dealt out in turn."""
     check_rank(rank, ranks)
+    n = row_count(df)
     flat = with_row_position(df.select(key), key, "flat_pos")
-    shared = stride(even_out(flat, ranks, True), ranks)
+    shared = stride(even_out(flat, ranks, True, n=n), ranks)
+    shared = shared.withColumn("per_rank", samples_per_rank(n, ranks, True))
     return shared if rank is None else shared.filter(F.col("rank") == rank)
 
 
@@ -143,14 +156,14 @@ def split_train_eval(df: DataFrame, key: str, fraction: float, full_batch: int,
 def assign_rank_batches(df: DataFrame, batch_size: int) -> DataFrame:
     """``batch``: consecutive rows of a rank; the short last batch of each rank is dropped.
 
-    Every rank holds the same number of rows, so a batch is full exactly when all
-    its indices lie below the last multiple of ``batch_size``.
+    Every rank holds ``per_rank`` rows, so a batch is full exactly when all its
+    indices lie below the last multiple of ``batch_size``.
     """
-    per_rank = df.agg(F.max("idx") + 1).scalar()
-    usable = df.withColumn("__per_rank", per_rank).filter(
-        F.col("idx") < F.col("__per_rank") - F.col("__per_rank") % batch_size
+    usable = df.filter(F.col("idx") < F.col("per_rank") - F.col("per_rank") % batch_size)
+    batches = F.floor(F.col("per_rank") / batch_size).alias("batches_per_rank")
+    return usable.select(
+        *[c for c in df.columns if c != "per_rank"], F.floor(F.col("idx") / batch_size).alias("batch"), batches
     )
-    return usable.withColumn("batch", F.floor(F.col("idx") / batch_size)).drop("__per_rank")
 
 
 def collate(assigned: DataFrame, rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -180,20 +193,20 @@ def resume(df: DataFrame, epoch: int, batches_done: int, batches_per_epoch: int)
 def epoch_plan(
     batches: DataFrame, epochs: int, accumulation: int, max_training_steps: int = -1
 ) -> DataFrame:
-    """Which batch of each rank completes which update.
+    """Which batch of each rank completes which update; ``batches`` has ``rank``, ``batch``
+    and ``batches_per_rank``, one row per batch.
 
     ``step`` counts batches from one, ``is_sync`` marks every ``accumulation``-th,
     and ``update_id`` counts updates done by then.  Training ends when all updates
     of all epochs are done; ``max_training_steps`` caps the updates per epoch.
     """
-    per_epoch = batches.agg(F.max("batch") + 1).scalar()
-    rows = repeat_epochs(batches.select("rank", "batch"), epochs).withColumn("__per_epoch", per_epoch)
-    updates = F.greatest(F.floor(F.col("__per_epoch") / accumulation), F.lit(1))
+    per_epoch = F.col("batches_per_rank")
+    updates = F.greatest(F.floor(per_epoch / accumulation), F.lit(1))
     if max_training_steps > 0:
         updates = F.least(updates, F.lit(max_training_steps))
-    step = F.col("epoch") * F.col("__per_epoch") + F.col("batch") + 1
+    step = F.col("epoch") * per_epoch + F.col("batch") + 1
     done_before = F.floor((step - 1) / accumulation)
-    return rows.filter(done_before < updates * epochs).select(
+    return repeat_epochs(batches, epochs).filter(done_before < updates * epochs).select(
         "epoch",
         "rank",
         "batch",

@@ -193,12 +193,12 @@ BATCH_LIST = f"{BATCHED}, batches as (select distinct rank, batch from batched)"
 
 
 def batch_list(spark: SparkSession, folder: str) -> DataFrame:
-    return rank_batches(spark, folder).select("rank", "batch").distinct()
+    return rank_batches(spark, folder).select("rank", "batch", "batches_per_rank").distinct()
 
 
 @query("repeat_epochs", f"with {BATCH_LIST} select rank, batch, epoch from batches, range(3) as e(epoch)")
 def repeat_epochs(spark: SparkSession, folder: str) -> DataFrame:
-    return as_bigint(sp.repeat_epochs(batch_list(spark, folder), 3))
+    return as_bigint(sp.repeat_epochs(batch_list(spark, folder), 3).drop("batches_per_rank"))
 
 
 @query(
@@ -207,7 +207,8 @@ def repeat_epochs(spark: SparkSession, folder: str) -> DataFrame:
         where epoch > 1 or (epoch = 1 and batch >= 10 % 8)""",
 )
 def resume_batches(spark: SparkSession, folder: str) -> DataFrame:
-    return as_bigint(sp.resume(sp.repeat_epochs(batch_list(spark, folder), 3), 1, 10, 8))
+    epochs = sp.repeat_epochs(batch_list(spark, folder), 3).drop("batches_per_rank")
+    return as_bigint(sp.resume(epochs, 1, 10, 8))
 
 
 @query(
