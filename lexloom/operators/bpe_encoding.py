@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from lexloom.operators.tokenizer import UNK, WORD_START, Tokenizer, count_listed_words, normalize, split_words
 from lexloom.session import write_and_read
 
-# Words in the broadcast part of the word table: a fixed number, some megabytes.
+# The broadcast part of the word table: a fixed number of words of bounded length, so
+# under 70 MB even if all were as long as that (at most 4 bytes per character and per id).
 COMMON_WORDS = 32_768
-# A word outside them holds less than 1/32,768 of all occurrences.
+COMMON_WORD_LENGTH = 256
+# A short word outside them holds less than 1/32,768 of all occurrences.  A long one may
+# be frequent; its join is an ordinary shuffled one that AQE splits where it is skewed.
 
 
 def word_encoder(tok: Tokenizer):
@@ -99,7 +102,8 @@ def encode(
     # Stated here so that both readers of the exchange below have the same plan.
     docs = df.filter(F.col(key).isNotNull()).select(key, words.alias("words"))
     table = write_and_read(encode_words(count_listed_words(docs), tok), "word-ids")
-    common = table.orderBy(F.desc("cnt"), "word").limit(common_words).select("word", "ids")
+    short = table.filter(F.length("word") <= COMMON_WORD_LENGTH)
+    common = short.orderBy(F.desc("cnt"), "word").limit(min(common_words, COMMON_WORDS)).select("word", "ids")
 
     places = docs.select(key, F.posexplode_outer("words").alias("at", "word"))
     looked_up = places.join(F.broadcast(common), "word", "left")

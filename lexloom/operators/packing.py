@@ -52,9 +52,14 @@ def _emit_slices(
     return df.select(*keep, F.inline(pieces))
 
 
-def _join_slices(slices: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def _join_slices(
+    slices: DataFrame, keys: Sequence[str], columns: Sequence[str], full: int | None = None
+) -> DataFrame:
+    """Slices of an output row in order, joined; with ``full`` only rows of that size."""
     parts = F.sort_array(F.collect_list(F.struct("__at", *columns)))
-    grouped = slices.groupBy(*keys).agg(parts.alias("__parts"))
+    grouped = slices.groupBy(*keys).agg(parts.alias("__parts"), F.sum(F.size(columns[0])).alias("__size"))
+    if full is not None:
+        grouped = grouped.filter(F.col("__size") == full)
     return grouped.select(*keys, *[F.flatten(F.col(f"__parts.{c}")).alias(c) for c in columns])
 
 
@@ -68,8 +73,7 @@ def chunk(df: DataFrame, key: str, columns: Sequence[str], length: int) -> DataF
         df.select(key, *columns), {"__before": F.size(columns[0])}, [key], integer_levels(key)
     )
     slices = _emit_slices(sized, [], columns, F.col("__before"), length, F.lit(False))
-    rows = _join_slices(slices, ["__row"], columns)
-    return rows.filter(F.size(columns[0]) == length).withColumnRenamed("__row", "row_no")
+    return _join_slices(slices, ["__row"], columns, full=length).withColumnRenamed("__row", "row_no")
 
 
 def fill_values(

@@ -58,6 +58,10 @@ def running_totals(
     base = df.withColumns(
         dict(zip(names, levels)) | {parts[out]: m.cast("bigint") for out, m in measures.items()}
     )
+    # The joins below imply these; stated here, every branch has the same plan up to
+    # its first exchange, and the totals are read from the table once.
+    for name in within + names:
+        base = base.filter(F.col(name).isNotNull())
 
     def total_of(frame: DataFrame, keys: list[str]) -> DataFrame:
         return frame.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in parts.values()])
