@@ -45,14 +45,15 @@ def symbol_array(symbols: Column) -> Column:
 
 def extract_runs(state: DataFrame) -> DataFrame:
     """``a``, ``b``, ``c`` (null at the end of a word), ``n``: every place of every word."""
-    several = state.filter(F.contains(F.col("symbols"), F.lit("  ")))
-    array = several.select(symbol_array(F.col("symbols")).alias("s"), F.col("cnt").alias("n"))
+    # No test of the words beforehand, and an outer explode: an inner test would be
+    # pushed down to the single occurrences that a word table is counted from.
+    array = state.select(symbol_array(F.col("symbols")).alias("s"), F.col("cnt").alias("n"))
     places = F.size("s") - 1
     # Zipping pads the shorter third slice with null: no symbol follows there.
     zipped = F.arrays_zip(
         F.slice("s", 1, places).alias("a"), F.slice("s", 2, places).alias("b"), F.slice("s", 3, places).alias("c")
     )
-    return array.select(F.inline(zipped).alias("a", "b", "c"), "n")
+    return array.select(F.inline_outer(zipped).alias("a", "b", "c"), "n").filter(F.col("a").isNotNull())
 
 
 def count_runs(places: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def train_bpe(
     runs = cut_lineage(count_runs(extract_runs(state)))
     words.unpersist()
 
-    rounds, cached = 0, state
+    rounds, spent = 0, None
     while len(tokens) < vocab_size:
         ranked = best_pairs(runs)
         if not ranked:
@@ -199,11 +200,14 @@ def train_bpe(
         # Runs refer to the words of the round before, so their plan would double;
         # the plan of the words grows by one step and is cut now and then.
         runs = cut_lineage(count_runs(runs.unionByName(extract_runs(changes))))
-        state = state.select(symbols.alias("symbols"), "cnt").filter(several)
+        if spent is not None:
+            spent.unpersist()
+        spent, state = state, state.select(symbols.alias("symbols"), "cnt")
         rounds += 1
         if rounds % ROUNDS_PER_CUT == 0:
-            state = cut_lineage(state).persist()
-            cached.unpersist()
-            cached = state
-    cached.unpersist()
+            state = cut_lineage(state.filter(several))
+        state = state.persist()
+    for table in (spent, state):
+        if table is not None:
+            table.unpersist()
     return Tokenizer(tuple(tokens), frozenset(specials), tuple(merges))

@@ -127,7 +127,7 @@ def count_listed_words(lists: DataFrame, words: str = "words") -> DataFrame:
 
 
 def characters(words: DataFrame) -> DataFrame:
-    return words.select(F.explode(F.split("word", "")).alias("ch")).filter(F.col("ch") != "").distinct()
+    return words.select(F.explode_outer(F.split("word", "")).alias("ch")).filter(F.col("ch") != "").distinct()
 
 
 def initial_alphabet(words: DataFrame, n_specials: int = len(TRAINED_SPECIALS)) -> DataFrame:
