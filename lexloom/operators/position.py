@@ -19,15 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+# Widths of the buckets of a 64-bit key, as bits left of the key: 1,024 rows in a fine
+# bucket, then 2**22 buckets in each coarser one, and 1,024 in all.
 FINE_BITS = 10
-COARSE_BITS = 34
+KEY_BITS = (54, 32, FINE_BITS)
 
 
 def integer_levels(key: str) -> list[Column]:
-    """Buckets of a unique integer key: at most 1,024 rows in a fine bucket, at most
-    2**24 fine buckets in a coarse one and 2**30 coarse ones in all."""
-    col = F.col(key).cast("bigint")
-    return [F.shiftright(col, COARSE_BITS), F.shiftright(col, FINE_BITS)]
+    """Buckets of a unique integer key, coarse to fine; no window over them has more than
+    2**22 rows, whatever the keys are."""
+    return [F.shiftright(F.col(key).cast("bigint"), bits) for bits in KEY_BITS]
 
 
 def hash_levels(hex_col: str) -> list[Column]:

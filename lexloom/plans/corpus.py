@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import clean_text
 from lexloom.operators import packing, relational, sampling
 from lexloom.operators.bpe_encoding import encode
-from lexloom.operators.position import running_totals
 from lexloom.operators.tokenizer import EOS, PAD, Tokenizer
 from lexloom.session import write_and_read
 
@@ -37,10 +36,13 @@ def clean_documents(docs: DataFrame, key: str, text: str = "text", settings: Cor
     return rows.withColumn(text, clean_text(F.col(text), settings.mask_first))
 
 
+# A batch is packed in one task, so it never comes near this many rows.
+ROW_BITS = 24
+
+
 def number_rows(packed: DataFrame) -> DataFrame:
-    """``row_id``: consecutive over all packed rows, in (batch, row) order."""
-    batch = F.col("batch_id")
-    return running_totals(packed, {"row_id": F.lit(1)}, ["row_no"], [F.shiftright(batch, 10), batch])
+    """``row_id``: unique and in (batch, row) order, from the two numbers alone."""
+    return packed.withColumn("row_id", F.shiftleft("batch_id", ROW_BITS) + F.col("row_no"))
 
 
 def prepare_corpus(
@@ -48,10 +50,11 @@ def prepare_corpus(
 ) -> DataFrame:
     """``row_id``, ``input_ids``, ``attention_mask`` of at least ``seq_length`` tokens per row.
 
-    The encoded stage is written to the shared folder: packing scans its sizes
-    and its arrays separately.
+    The cleaned, the encoded and the packed stage are written to the shared folder:
+    encoding reads its texts twice, packing scans its sizes and its arrays
+    separately, and sampling reads keys and lengths before it reads rows.
     """
-    cleaned = clean_documents(docs, key, text, settings)
+    cleaned = write_and_read(clean_documents(docs, key, text, settings), "cleaned")
     encoded = encode(cleaned, key, text, tok, ascii_only=True)
     encoded = relational.drop_columns(encoded, ["length", "token_type_ids"])
     if not settings.pack:
@@ -63,7 +66,8 @@ def prepare_corpus(
     )
     packed = packing.balanced_pack(batched, key, fill, settings.seq_length)
     long_enough = relational.min_length(packed, "input_ids", settings.seq_length)
-    return number_rows(long_enough).select("row_id", "input_ids", "attention_mask")
+    rows = number_rows(long_enough).select("row_id", "input_ids", "attention_mask")
+    return write_and_read(rows, "packed")
 
 
 def plain_chunks(docs: DataFrame, key: str, tok: Tokenizer, text: str = "text", length: int = 512) -> DataFrame:
@@ -87,6 +91,7 @@ def training_batches(
     """``epoch``, ``rank``, ``batch`` and lists of rows: what every worker reads, in order.
 
     Each epoch has its own permutation, or with ``reseed=False`` repeats the first.
+    ``rows`` should be a written stage: every epoch scans it several times.
     """
     if max_examples > 0:
         rows = relational.head(rows, max_examples, key)

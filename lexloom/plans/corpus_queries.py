@@ -11,6 +11,7 @@ from lexloom.plans import corpus
 from lexloom.plans.packing_queries import joined
 from lexloom.plans.registry import query, spread, table
 from lexloom.plans.tokenizer_queries import ENCODED_SQL, TRAINED_SQL, trained
+from lexloom.session import write_and_read
 
 SETTINGS = corpus.CorpusSettings(seq_length=128, shards=4, batch_size=60)
 
@@ -39,7 +40,7 @@ def prepared_corpus_totals(spark: SparkSession, folder: str) -> DataFrame:
 def prepared_training_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Two epochs for four ranks out of the training part of the prepared corpus."""
     split = split_train_eval(prepared(spark, folder), "row_id", 0.05, 32, seed=7)
-    train = split.filter(F.col("split") == "train").drop("split")
+    train = write_and_read(split.filter(F.col("split") == "train").drop("split"), "train")
     batches = corpus.training_batches(train, ranks=4, batch_size=8, epochs=2, seed=7, mega_size=50)
     return batches.select(
         "epoch", "rank", "batch", F.array_join(F.transform("input_ids", lambda r: joined(r)), "|").alias("rows")

@@ -12,7 +12,7 @@ from lexloom.operators import tokenizer as tk
 from lexloom.plans import sql
 from lexloom.plans.packing_queries import joined
 from lexloom.plans.registry import query, spread, table
-from lexloom.session import new_stage_path
+from lexloom.session import new_stage_path, write_and_read
 from lexloom.sources import stages
 
 VOCAB_SIZE, MIN_FREQUENCY = 80, 10
@@ -197,7 +197,8 @@ encoded as (
 
 
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
-    return enc.encode(cleaned(spark, folder), "doc_id", "text", trained(spark, folder), ascii_only=True)
+    """Encoding reads its texts twice, so the cleaned ones are written first."""
+    return enc.encode(write_and_read(cleaned(spark, folder), "cleaned"), "doc_id", "text", trained(spark, folder), ascii_only=True)
 
 
 @query(
