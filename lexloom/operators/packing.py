@@ -63,15 +63,18 @@ def _join_slices(
     return grouped.select(*keys, *[F.flatten(F.col(f"__parts.{c}")).alias(c) for c in columns])
 
 
-def chunk(df: DataFrame, key: str, columns: Sequence[str], length: int) -> DataFrame:
+def chunk(
+    df: DataFrame, key: str, columns: Sequence[str], length: int, size: str | None = None
+) -> DataFrame:
     """Concatenate all rows in key order, cut into ``length``, drop the remainder.
 
-    ``columns`` are cut alike; the first gives the lengths.  Returns ``row_no``
-    and the columns.
+    ``columns`` are cut alike; the first gives the lengths, or the stored column
+    ``size`` does, so that its totals are read without the arrays.  Returns
+    ``row_no`` and the columns.
     """
-    sized = running_totals(
-        df.select(key, *columns), {"__before": F.size(columns[0])}, [key], integer_levels(key)
-    )
+    measure = F.col(size) if size else F.size(columns[0])
+    narrow = df.select(key, *columns, *([size] if size else []))
+    sized = running_totals(narrow, {"__before": measure}, [key], integer_levels(key))
     slices = _emit_slices(sized, [], columns, F.col("__before"), length, F.lit(False))
     return _join_slices(slices, ["__row"], columns, full=length).withColumnRenamed("__row", "row_no")
 
@@ -196,14 +199,16 @@ def pack_bins(
     fill: Mapping[str, tuple[int, int]],
     length: int = 1024,
     batch: str = "batch_id",
+    size: str | None = None,
 ) -> DataFrame:
     """Each bin's documents, every one followed by an end mark, cut at ``length`` and padded.
 
     Bins ignore the end marks, so one may spill into a further, padded row.
-    Places are worked out on (key, size) alone and joined to the arrays once.
+    Places are worked out on (key, size) alone and joined to the arrays once; with
+    a stored column ``size`` the arrays are read only for that join.
     """
     columns = list(fill)
-    sizes = df.select(batch, key, (F.size(columns[0]) + 1).alias("__size"))
+    sizes = df.select(batch, key, ((F.col(size) if size else F.size(columns[0])) + 1).alias("__size"))
     in_bin = Window.partitionBy(batch, "bin")
     before = in_bin.orderBy("pos_in_bin").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(batch).orderBy("bin", "pos_in_bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -230,13 +235,14 @@ def balanced_pack(
     fill: Mapping[str, tuple[int, int]],
     length: int = 1024,
     batch: str = "batch_id",
+    size: str | None = None,
 ) -> DataFrame:
     """Length-balanced bins per batch, then packed.  Read ``df`` from a written stage:
     sizes and arrays are scanned separately."""
     column = next(iter(fill))
-    sized = df.withColumn("__length_of", F.size(column))
+    sized = df.withColumn("__length_of", F.col(size) if size else F.size(column))
     bins = assign_bins(sized, key, "__length_of", length, batch)
-    return pack_bins(df, bins, key, fill, length, batch)
+    return pack_bins(df, bins, key, fill, length, batch, size)
 
 
 def pad_batches(

@@ -56,15 +56,16 @@ def prepare_corpus(
     """
     cleaned = write_and_read(clean_documents(docs, key, text, settings), "cleaned")
     encoded = encode(cleaned, key, text, tok, ascii_only=True)
-    encoded = relational.drop_columns(encoded, ["length", "token_type_ids"])
     if not settings.pack:
+        encoded = relational.drop_columns(encoded, ["length", "token_type_ids"])
         return relational.min_length(encoded, "input_ids", settings.seq_length).withColumnRenamed(key, "row_id")
-    encoded = write_and_read(encoded, "encoded")
+    # The length stays in the stage: bins and places are worked out from it alone.
+    encoded = write_and_read(relational.drop_columns(encoded, ["token_type_ids"]), "encoded")
     batched = relational.assign_batches(encoded, key, settings.shards, settings.batch_size)
     fill = packing.fill_values(
         ["input_ids", "attention_mask"], tok.id_of(EOS), tok.id_of(PAD), mask_compat=settings.mask_compat
     )
-    packed = packing.balanced_pack(batched, key, fill, settings.seq_length)
+    packed = packing.balanced_pack(batched, key, fill, settings.seq_length, size="length")
     long_enough = relational.min_length(packed, "input_ids", settings.seq_length)
     rows = number_rows(long_enough).select("row_id", "input_ids", "attention_mask")
     return write_and_read(rows, "packed")
@@ -72,8 +73,8 @@ def prepare_corpus(
 
 def plain_chunks(docs: DataFrame, key: str, tok: Tokenizer, text: str = "text", length: int = 512) -> DataFrame:
     """The plain variant: tokenize as is, concatenate, cut, drop the remainder."""
-    encoded = encode(docs.select(key, text), key, text, tok)
-    return packing.chunk(encoded, key, ["input_ids"], length)
+    encoded = encode(docs.select(key, text), key, text, tok).select(key, "input_ids", "length")
+    return packing.chunk(write_and_read(encoded, "encoded"), key, ["input_ids"], length, size="length")
 
 
 def training_batches(
