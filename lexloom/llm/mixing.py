@@ -8,8 +8,8 @@ token constraint, so for each source, and rates are exponentially tilted by size
 find the multipliers; each is one distributed sum over the counts of (source, size).
 
 Rates become whole copies by carrying fractions along the order of source, size and
-key: neighbours have like sizes, so a source ends within about one document of its
-target.  All sums are sums of integers, so reruns agree.
+key, and what then lacks to a source's target, about one long document at most, is
+made up with its smallest documents.  All sums are sums of integers, so reruns agree.
 
 Defined cases: a null source is one source, last in order; a null text has no words
 and is taken as often as the rounding says, for nothing; repeated rows are rounded one
@@ -156,7 +156,8 @@ def mix(
         "mix-rates",
     )
     copies = F.shiftright(F.col("__before") + F.col("__rate"), FRACTION_BITS) - F.shiftright("__before", FRACTION_BITS)
-    return summed.withColumn("copies", copies.cast("int")).select(
+    rounded = write_and_read(summed.withColumn("copies", copies.cast("int")).drop("__before", "__rate"), "mix-copies")
+    return settled(rounded, sources, most).select(
         F.col("__key").alias(key),
         "size",
         "source_size",
@@ -167,6 +168,30 @@ def mix(
     )
 
 
+def settled(rounded: DataFrame, sources: list[dict], most: int) -> DataFrame:
+    """``rounded`` with one copy more or less of the smallest documents that allow it, as many
+    as fit into what their source still lacks or has too much."""
+    taken = F.sum(F.col("copies") * F.col("size")).alias("taken")
+    lacking = {r["__number"]: sources[r["__number"]]["target"] - r["taken"] for r in rounded.groupBy("__number").agg(taken).collect()}
+    lacks = rounded.sparkSession.createDataFrame(
+        [(n, int(round(x))) for n, x in lacking.items()], "__number int, __lack bigint"
+    )
+    open_rows = rounded.join(F.broadcast(lacks), "__number")  # at most max_sources rows
+    allows = F.when(F.col("__lack") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    room = F.when(allows & (F.col("size") > 0) & (F.col("__lack") != 0), F.col("size")).otherwise(0).cast("bigint")
+    open_rows = open_rows.withColumn("__room", room)
+    rooms = {r["__number"]: r["room"] for r in open_rows.groupBy("__number").agg(F.sum("__room").alias("room")).collect()}
+    starts, start = [], 0
+    for n in sorted(rooms):
+        starts.append((n, start))
+        start += rooms[n]
+    given = rounded.sparkSession.createDataFrame(starts, "__number int, __start bigint")
+    summed = running_sum(open_rows, ["__number", "size", "__key"], "__room", "__before", "mix-rooms")
+    summed = summed.join(F.broadcast(given), "__number")
+    fits = (F.col("__room") > 0) & (F.col("__before") - F.col("__start") + F.col("__room") <= F.abs("__lack"))
+    return summed.withColumn("copies", (F.col("copies") + F.when(fits, F.signum("__lack")).otherwise(0)).cast("int"))
+
+
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it, with their columns as they were.
 

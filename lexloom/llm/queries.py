@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import compression_rules, mixing, sharding, token_files, url_filter
+from lexloom.llm import compression_rules, decontamination, mixing, order_minhash, sharding, token_files, url_filter
 from lexloom.llm.common import query, table
 from lexloom.session import new_stage_path
 
@@ -84,3 +84,32 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_entropy_mix")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("op3_order_minhash")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = order_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"), "doc_id")
+    return classes.select("doc_id", "class_id", "n_links")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (
+  SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared, CAST(any_value(n) AS INTEGER) AS n_item,
+  count(*) / any_value(n) AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
+"""
+
+
+@query("op8_containment", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_items(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text"
+    )
+    return found.select("doc_id", F.col("item").alias("item_id"), "n_shared", "n_item", "containment")
