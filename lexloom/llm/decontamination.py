@@ -27,22 +27,31 @@ from lexloom.session import write_and_read
 SHINGLE = 5
 THRESHOLD = 0.8
 MINIMA = 12
-WORDS = r"[\p{L}\p{N}]+"
+WORDS = r"[\\p{L}\\p{N}]+"  # as a SQL literal
 
 
 def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``out``: 64-bit hashes of all runs of ``SHINGLE`` words, in order."""
-    words = df.withColumn("__words", F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0)))
-    parts = ", ".join(f"__words[i + {j}]" for j in range(SHINGLE))
-    shingles = f"""CASE WHEN size(__words) >= {SHINGLE}
-        THEN transform(sequence(0, size(__words) - {SHINGLE}), i -> xxhash64({parts}))
-        ELSE array() END"""
-    return words.withColumn(out, F.expr(shingles).cast("array<bigint>")).drop("__words")
+    """``out``: 64-bit hashes of all runs of ``SHINGLE`` words, in order.
+
+    The words are bound to a variable of a lambda: as a column they would be put into
+    the inner lambda by the optimizer, and found anew for every run.
+    """
+    words = f"regexp_extract_all(lower(coalesce(`{text}`, '')), '{WORDS}', 0)"
+    run = ", ".join(f"w[i + {j}]" for j in range(SHINGLE))
+    return df.withColumn(
+        out,
+        F.expr(
+            f"""element_at(transform(array({words}), w -> CASE WHEN size(w) >= {SHINGLE}
+            THEN transform(sequence(0, size(w) - {SHINGLE}), i -> xxhash64({run}))
+            ELSE cast(array() AS array<bigint>) END), 1)"""
+        ),
+    )
 
 
 def size_class(n: Column) -> Column:
     """Partition of a set of n shingles: the power of two at or below n."""
-    return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    # Never null, so that no test for null makes the shingles twice.
+    return F.coalesce(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0))
 
 
 def find_items(
@@ -71,7 +80,7 @@ def find_items(
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
     marked = with_shingles(rows, "__text", "__shingles").select(
         "__row", size_class(F.size("__shingles")).alias("__size_class"), F.explode_outer("__shingles").alias("__shingle")
-    )  # explode() would test the size first, in a filter that makes the shingles anew for each word
+    )  # explode() would test the size first, in a filter that makes the shingles twice
     hits = marked.join(probes, "__shingle").filter("__size_class >= __class")
     candidates = write_and_read(hits.select("__row", "__item_row").distinct(), "candidates")
     texts = rows.join(candidates, "__row")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import compression_rules, decontamination, mixing, order_minhash, sharding, token_files, url_filter
+from lexloom.llm import compression_rules, decontamination, mixing, order_minhash, secret_scan, sharding, token_files, tool_calls, url_filter
 from lexloom.llm.common import query, table
 from lexloom.session import new_stage_path
 
@@ -113,3 +113,58 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text"
     )
     return found.select("doc_id", F.col("item").alias("item_id"), "n_shared", "n_item", "containment")
+
+
+@query("op6_markov_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), "doc_id")
+    kinds = [p[0] for p in secret_scan.PATTERNS]
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[of_kind(k).alias(f"n_{k}") for k in kinds],
+        F.sha2(secret_scan.joined_spans(base), 256).alias("base_sha256"),
+        secret_scan.joined_spans(F.col("spans")).alias("spans"),
+        of_kind(secret_scan.MODEL_KIND).alias("n_markov"),
+    )
+
+
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", True), "exact": ("boolean", False)},
+    "summarize": {"text": ("string", True), "ratio": ("number", True)},
+    "convert": {"values": ("array", True), "options": ("object", False)},
+}
+
+
+def derived_calls(turns: DataFrame) -> DataFrame:
+    """Calls as assistants' turns make them, derived from the given conversations: the tool, the
+    defects of the arguments and the dependencies follow from turn number and text length."""
+    size = "coalesce(length(text), 0)"
+    return turns.filter("role = 'assistant'").selectExpr(
+        "conv_id AS conv",
+        "concat('call-', conv_id, '-', turn) AS id",
+        "turn AS position",
+        "CASE turn % 6 WHEN 1 THEN 'search' WHEN 3 THEN 'summarize' ELSE 'convert' END AS name",
+        f"""CASE turn % 6
+          WHEN 1 THEN concat('{{ "query": "', regexp_replace(substr(coalesce(text, ''), 1, 40), '[^A-Za-z ]', ''), '", "limit": ',
+            CASE WHEN {size} % 7 = 0 THEN '"ten"' ELSE cast({size} AS string) END, ' }}')
+          WHEN 3 THEN concat('{{"text": "t', turn, '"', CASE WHEN {size} % 5 = 0 THEN '' ELSE ', "ratio": 0.5' END, '}}')
+          ELSE concat('{{"values": [', turn, ', ', {size}, ']', CASE WHEN {size} % 3 = 0 THEN ', "added": 1' ELSE '' END, '}}')
+          END AS arguments""",
+        "CASE WHEN turn % 8 > 1 THEN array(concat('call-', conv_id, '-', turn - 2)) ELSE array() END AS depends_on",
+    )
+
+
+def derived_results(turns: DataFrame) -> DataFrame:
+    """A user's turn answers the turn before it."""
+    return turns.filter("role = 'user' AND turn > 0").selectExpr(
+        "conv_id AS conv", "concat('call-', conv_id, '-', turn - 1) AS id", "turn AS position", "text AS content"
+    )
+
+
+@query("op7_tool_calls")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    linked = tool_calls.link_calls(derived_calls(turns), derived_results(turns), TOOLS)
+    return linked.withColumnRenamed("conv", "conv_id").withColumnRenamed("id", "call_id")
