@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import compression_rules, mixing, sharding
+from lexloom.llm import compression_rules, decontamination, mixing, order_minhash, sharding
 from lexloom.session import write_and_read
 
 SHARDS = 16
@@ -14,6 +14,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return compression_rules.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return order_minhash.keep_one_of_each(docs, "doc_id")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.drop_contaminated(docs, "text", items, "item_id", "text")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat_rows(docs)
 
@@ -24,6 +33,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix_sources),
     ("sharding", shard),
 ]

@@ -89,3 +89,9 @@ def running_sum(df: DataFrame, order_by: Sequence[str], amount: str, out: str, n
     summed = placed.withColumn("__within", F.coalesce(F.sum(amount).over(before), F.lit(0)))
     summed = summed.join(F.broadcast(bases), "__part")
     return summed.select(*df.columns, (F.col("__base") + F.col("__within")).alias(out))
+
+
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Delete a stage of the shared folder that no later plan reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

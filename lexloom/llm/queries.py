@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import compression_rules, decontamination, mixing, order_minhash, secret_scan, sharding, token_files, tool_calls, url_filter
+from lexloom.llm import compression_rules, decontamination, interpolation_lm, mixing, order_minhash, secret_scan, sharding, token_files, tool_calls, url_filter
 from lexloom.llm.common import query, table
 from lexloom.session import new_stage_path
 
@@ -168,3 +168,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     linked = tool_calls.link_calls(derived_calls(turns), derived_results(turns), TOOLS)
     return linked.withColumnRenamed("conv", "conv_id").withColumnRenamed("id", "call_id")
+
+
+@query("op5_deleted_interpolation")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation_lm.score_documents(table(spark, sf_dir, "documents"), "doc_id")
