@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import LOWER, UPPER, drop_stage
 from lexloom.session import new_stage_path, write_and_read
 
-CHUNK_TOKENS = 4_000_000
-RANGE_CHARACTERS = 16_000_000
+CHUNK_TOKENS = 2_000_000
+RANGE_CHARACTERS = 10_000_000
+SLICE_TOKENS = 200_000
 EM_ROUNDS = 15
 EM_TOLERANCE = 1e-4
 CLASSES = 64
 HELD_OUT, DELETED, TRAINING = 0, 1, 2
+SHIFT = {1: 0, 2: 8}
 ODD = [np.uint64(f | 1) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -82,7 +84,8 @@ def pair_hashes(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     words = len(hashes)
     h = hashes[codes // words] * ODD[0] + (hashes[codes % words] ^ ODD[1])
     h = (h ^ (h >> np.uint64(31))) * ODD[2]
-    return h ^ (h >> np.uint64(29))
+    # 56 bits are kept: they are sent, and few of very many pairs share one.
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(8)) << np.uint64(8)
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -128,7 +131,7 @@ class Chunk:
             for r in range(ranges):
                 a, b = cuts[r], cuts[r + 1]
                 if b > a:
-                    steps = np.diff(grams[a:b], prepend=np.uint64(0))
+                    steps = np.diff(grams[a:b] >> np.uint64(SHIFT[order]), prepend=np.uint64(0))
                     yield {"kind": "asked", "chunk": chunk, "range": r, "order": order, "deleted": deleted, "blobs": [pack(steps), pack(counts[a:b])]}
 
 
@@ -170,7 +173,10 @@ def answer(frame: pd.DataFrame) -> pd.DataFrame:
     training documents that are not deleted.  A row without chunk holds the range's totals."""
     out, totals = [], [0, 0, 0]
     for order, group in frame.groupby("order"):
-        asked = [(r.chunk, r.deleted, np.cumsum(unpack(r.blobs[0], "<u8"), dtype=np.uint64), unpack(r.blobs[1], "<u4")) for r in group.itertuples()]
+        asked = [
+            (r.chunk, r.deleted, np.cumsum(unpack(r.blobs[0], "<u8"), dtype=np.uint64), unpack(r.blobs[1], "<u4"))
+            for r in group.itertuples()
+        ]
         grams, which = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
         counts = np.concatenate([a[3] for a in asked]).astype(np.float64)
         marks = np.concatenate([np.full(len(a[3]), a[1]) for a in asked])
@@ -182,7 +188,9 @@ def answer(frame: pd.DataFrame) -> pd.DataFrame:
         for chunk, deleted, own, _ in asked:
             w = which[at : at + len(own)]
             at += len(own)
-            out.append((chunk, frame["range"].iloc[0], order, deleted, [pack(every[w].astype("<u8")), pack(kept[w].astype("<u8"))], None))
+            # The counts without deleted documents are for those alone.
+            blobs = [pack(c[w].astype("<u8")) for c in ([every, kept] if deleted else [every])]
+            out.append((chunk, frame["range"].iloc[0], order, deleted, blobs, None))
     out.append((None, frame["range"].iloc[0], 0, False, [], totals))
     return pd.DataFrame(out, columns=["chunk", "range", "order", "deleted", "blobs", "totals"])
 
@@ -190,21 +198,27 @@ def answer(frame: pd.DataFrame) -> pd.DataFrame:
 ANSWER = "chunk bigint, range int, order int, deleted boolean, blobs array<binary>, totals array<bigint>"
 
 
-def looked_up(chunk: pd.DataFrame, answers: pd.DataFrame, column: int) -> tuple:
-    """Of every token of a chunk: counts of its word, its context and the pair; lengths and parts of its texts."""
+def looked_up(chunk: pd.DataFrame, answers: pd.DataFrame, column: int) -> Iterator[tuple]:
+    """Some texts of a chunk at a time: their slice, the starts of each among the tokens of the
+    slice, and of every token the counts of its word, its context and the pair."""
     row = chunk.iloc[0]
-    lengths, parts, tokens = unpack(row.blobs[0], "<u4"), unpack(row.blobs[1], "<u1"), unpack(row.blobs[2], "<u4").astype(np.int64)
-    hashes = unpack(row.blobs[3], "<u8")
-    starts = np.cumsum(lengths) - lengths
-    all_codes = pair_codes(tokens, starts, len(hashes))
-    codes, which = np.unique(all_codes, return_inverse=True)
-    found = {}
+    lengths, tokens, hashes = unpack(row.blobs[0], "<u4").astype(np.int64), unpack(row.blobs[2], "<u4"), unpack(row.blobs[3], "<u8")
+    ends = np.cumsum(lengths)
+    codes, which = np.unique(pair_codes(tokens, ends - lengths, len(hashes)), return_inverse=True)
+    which, found = which.astype(np.uint32), {}
     for order, grams in ((1, hashes), (2, pair_hashes(codes, hashes))):
         own = answers[answers["order"] == order].sort_values("range")
-        counts = np.concatenate([unpack(b[column], "<u8") for b in own["blobs"]]).astype(np.float64)
         found[order] = np.empty(len(grams))
-        found[order][np.argsort(grams, kind="stable")] = counts
-    return found[1][tokens], found[1][all_codes // len(hashes)], found[2][which], lengths, parts
+        found[order][np.argsort(grams, kind="stable")] = np.concatenate([unpack(b[column], "<u8") for b in own["blobs"]])
+    first = 0
+    while first < len(ends):
+        begin = int(ends[first] - lengths[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + SLICE_TOKENS)))
+        part = slice(begin, int(ends[last - 1]))
+        words, pairs = tokens[part], which[part]
+        contexts = codes[pairs] // len(hashes)
+        yield slice(first, last), ends[first:last] - lengths[first:last] - begin, found[1][words], found[1][contexts], found[2][pairs]
+        first = last
 
 
 def context_class(counts: np.ndarray) -> np.ndarray:
@@ -257,9 +271,13 @@ def score_documents(
     def held_out_events(chunk: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(chunk):
             return pd.DataFrame({"class": [], "p1": [], "p2": [], "n": []})
-        word, context, pair, _, _ = looked_up(chunk, own, 1)
-        events = pd.DataFrame({"class": context_class(context), "p1": ratio(word, float(kept_tokens)), "p2": ratio(pair, context)})
-        return events.groupby(["class", "p1", "p2"], as_index=False).size().rename(columns={"size": "n"})
+        made = [
+            pd.DataFrame({"class": context_class(context), "p1": ratio(word, float(kept_tokens)), "p2": ratio(pair, context)})
+            .groupby(["class", "p1", "p2"], as_index=False)
+            .size()
+            for _, _, word, context, pair in looked_up(chunk, own, 1)
+        ]
+        return pd.concat(made).groupby(["class", "p1", "p2"], as_index=False)["size"].sum().rename(columns={"size": "n"})
 
     deleted = stage.filter("kind = 'deleted'").groupBy("chunk")
     events = deleted.cogroup(replies.filter("deleted").groupBy("chunk")).applyInPandas(
@@ -271,13 +289,17 @@ def score_documents(
         names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not len(chunk):
             return pd.DataFrame({n: [] for n in names})
-        word, context, pair, lengths, parts = looked_up(chunk, own, 0)
-        w = weights[context_class(context)]
-        chance = w[:, 0] * uniform + w[:, 1] * ratio(word, float(train_tokens)) + w[:, 2] * ratio(pair, context)
-        base = (word + 0.5) / (train_tokens + 0.5 * (words + 1))
-        starts = (np.cumsum(lengths) - lengths).astype(np.int64)
-        values = [list(chunk.iloc[0]["keys"]), parts == HELD_OUT, lengths.astype(np.int64), np.add.reduceat((word > 0).astype(np.int64), starts), np.full(len(lengths), train_tokens), np.add.reduceat(np.log10(base), starts), np.add.reduceat(np.log10(chance), starts)]
-        return pd.DataFrame(dict(zip(names, values)))
+        row, made = chunk.iloc[0], []
+        lengths, held_out = unpack(row.blobs[0], "<u4").astype(np.int64), unpack(row.blobs[1], "<u1") == HELD_OUT
+        for texts, starts, word, context, pair in looked_up(chunk, own, 0):
+            w = weights[context_class(context)]
+            chance = w[:, 0] * uniform + w[:, 1] * ratio(word, float(train_tokens)) + w[:, 2] * ratio(pair, context)
+            base = (word + 0.5) / (train_tokens + 0.5 * (words + 1))
+            known = np.add.reduceat((word > 0).astype(np.int64), starts)
+            sums = [np.add.reduceat(np.log10(p), starts) for p in (base, chance)]
+            keys = list(row["keys"][texts])
+            made.append([keys, held_out[texts], lengths[texts], known, np.full(len(known), train_tokens), *sums])
+        return pd.concat([pd.DataFrame(dict(zip(names, m))) for m in made])
 
     kind = rows.schema["__key"].dataType.simpleString()
     schema = "key {}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

@@ -15,13 +15,14 @@ with order.
 No bucket is expanded into all pairs:
 
 1. Equal texts are one representative from the start.
-2. Each member of a bucket is compared with three members: the shortest, the longest
-   and one by hash.  Verified pairs give components.
+2. Each member of a bucket is compared with four members: the shortest, the longest, one
+   by hash, and the most central one, whose buckets have the most members: among copies
+   of one text that is the text itself.  Verified pairs give components.
 3. A bucket whose members ended in one component is done.  In the others each member
    outside the bucket's largest component is compared with all members of other
-   components, first by the 32 least k-mers of both (at similarity 0.8, half of them
-   agree but for a chance below 1e-6), then by alignment.  So no candidate pair between
-   components is left out.
+   components, first by the least k-mers of both (all of them for texts of up to 256:
+   then the test is exact; at similarity 0.8 longer texts fail it with a chance below
+   1e-5), then by alignment.  So no candidate pair between components is left out.
 
 Defined cases: words are in lower case, split at ASCII white space.  Null texts and
 texts without words are equal texts.  A text of one to four words has one k-mer, all of
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.components import connected_components
@@ -48,7 +49,8 @@ WORDS_PER_KMER = 5
 THRESHOLD = 0.8
 SKETCHES = 16
 PICKED = 3
-LEAST_KMERS = 32
+LEAST_KMERS = 256
+FIRST_LEAST = 32
 KNOWN_WORDS = 500_000
 ROW_BITS = 33  # of monotonically_increasing_id: the place in the partition
 
@@ -149,24 +151,26 @@ def sketch(rows: DataFrame) -> DataFrame:
                 words = sketcher.words(text)
                 k = sketcher.kmers(words)
                 least = np.sort(np.partition(k, LEAST_KMERS)[:LEAST_KMERS] if len(k) > LEAST_KMERS else k)
-                out.append((sketcher.hash128(b" ".join(words)), len(k), sketcher.buckets(k), least.view(np.int64)))
+                least = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                out.append((sketcher.hash128(b" ".join(words)), len(k), sketcher.buckets(k), least))
             yield pd.DataFrame(
                 {"__row": frame["__row"], "__key": frame["__key"]}
                 | dict(zip(("content", "n", "buckets", "least"), zip(*out)))
             )
 
     kind = rows.schema["__key"].dataType.simpleString()
-    schema = f"__row bigint, __key {kind}, content binary, n bigint, buckets array<bigint>, least array<bigint>"
+    schema = f"__row bigint, __key {kind}, content binary, n bigint, buckets array<bigint>, least array<int>"
     return rows.mapInPandas(run, schema)
 
 
-def kmers_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``__row``, ``kmers`` of the rows in ``wanted``, found where they are: no text is moved.
+def kmers_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``__row``, ``kmers`` of the rows in ``pairs``, found where they are: no text is moved.
 
     A row's number holds the number of its partition, so each task reads the list of its
     own partition from the shared folder.
     """
     folder = new_stage_path(rows.sparkSession, "wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
     wanted = wanted.withColumn("part", F.shiftright("__row", ROW_BITS))
     wanted.repartition("part").write.partitionBy("part").parquet(folder)
 
@@ -185,7 +189,7 @@ def kmers_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 short = [(sketcher.kmers(sketcher.words(t)) >> np.uint64(32)).astype("<u4").tobytes() for t in frame["__text"].array]
                 yield pd.DataFrame({"__row": frame["__row"], "kmers": short})
 
-    return rows.select("__row", "__text").mapInPandas(run, "__row bigint, kmers binary")
+    return write_and_read(rows.select("__row", "__text").mapInPandas(run, "__row bigint, kmers binary"), "kmers")
 
 
 def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
@@ -204,12 +208,23 @@ def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a bigint, b bigint")
 
 
-def as_pairs(df: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` whose numbers of k-mers and least k-mers allow the threshold."""
-    alike = (
-        F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")
-    ) & (F.size(F.array_intersect("least", "other")) * 2 >= F.least(F.size("least"), F.size("other")))
-    return df.filter(alike).select(F.least("__row", "__other").alias("a"), F.greatest("__row", "__other").alias("b")).distinct()
+def may_reach(threshold: float) -> Column:
+    """Whether the numbers of k-mers and the least k-mers of both texts allow the threshold."""
+    few = F.size(F.array_intersect(F.slice("least", 1, FIRST_LEAST), F.slice("other", 1, FIRST_LEAST)))
+    many = F.size(F.array_intersect("least", "other"))
+    whole = (F.col("n") <= LEAST_KMERS) & (F.col("m") <= LEAST_KMERS)
+    shared = 2 * threshold / (1 + threshold)  # of the k-mers of either text, at the threshold
+    return (
+        (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m"))
+        & (few >= F.lit(shared - 0.35) * F.least(F.size("least"), F.size("other"), F.lit(FIRST_LEAST)))
+        & F.when(whole, many >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m"))).otherwise(
+            many >= F.lit(shared - 0.15) * F.least(F.size("least"), F.size("other"))
+        )
+    )
+
+
+def as_pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("__row", "__other").alias("a"), F.greatest("__row", "__other").alias("b")).distinct()
 
 
 def near_duplicate_classes(
@@ -228,23 +243,30 @@ def near_duplicate_classes(
     texts = write_and_read(texts.select("content", "t.*"), "texts")
     members = write_and_read(texts.select("__row", "n", F.explode("buckets").alias("bucket")), "members")
 
-    by_size = F.struct("n", "__row")
-    centres = members.groupBy("bucket").agg(
-        F.min(by_size).alias("shortest"),
-        F.max(by_size).alias("longest"),
-        F.min(F.struct(F.xxhash64("__row"), "n", "__row")).alias("any"),
-        F.count(F.lit(1)).alias("size"),
+    # Members of buckets of two or more, with the number of members in all their buckets.
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = write_and_read(members.join(sizes, "bucket"), "shared")
+    weight = members.groupBy("__row").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weight, "__row")
+    centres = weighed.groupBy("bucket").agg(
+        *[
+            choose(F.struct(order.alias("by"), "n", "__row")).alias(name)
+            for choose, order, name in (
+                (F.min, F.col("n"), "shortest"),
+                (F.max, F.col("n"), "longest"),
+                (F.min, F.xxhash64("__row"), "any"),
+                (F.max, F.col("weight"), "central"),
+            )
+        ]
     )
-    centres = centres.filter("size > 1")
-    named = F.array(*[F.struct(F.col(f"{c}.__row").alias("__other"), F.col(f"{c}.n").alias("m")) for c in ("shortest", "longest", "any")])
+    names = ("shortest", "longest", "any", "central")
+    named = F.array(*[F.struct(F.col(f"{c}.__row").alias("__other"), F.col(f"{c}.n").alias("m")) for c in names])
     spokes = members.join(centres.select("bucket", named.alias("centres")), "bucket")
     spokes = spokes.select("__row", "n", F.explode(F.array_distinct("centres")).alias("c")).select("__row", "n", "c.*")
     spokes = spokes.filter("__row <> __other").distinct()
-    spokes = write_and_read(with_least(with_least(spokes, texts, "__row", "least"), texts, "__other", "other"), "spokes")
-    wanted = spokes.select("__row").union(spokes.select("__other")).distinct()
-    kmers = write_and_read(kmers_of(rows, wanted), "kmers")
-    first = write_and_read(as_pairs(spokes, threshold), "pairs")
-    links = write_and_read(aligned(first, kmers, threshold), "verified")
+    spokes = with_least(with_least(spokes, texts, "__row", "least"), texts, "__other", "other").filter(may_reach(threshold))
+    first = write_and_read(as_pairs(spokes), "pairs")
+    links = write_and_read(aligned(first, kmers_of(rows, first), threshold), "verified")
 
     # Buckets that more than one component shares.
     labels = connected_components(links).withColumnsRenamed({"node": "__row", "label": "part"})
@@ -261,9 +283,11 @@ def near_duplicate_classes(
         F.col("least").alias("other"),
     )
     apart = (F.col("part") != F.col("other_part")) & ((F.col("other_part") == F.col("main")) | (F.col("__row") < F.col("__other")))
+    apart = apart & may_reach(threshold)
     crossing = rest.filter("part <> main").join(others, "bucket").filter(apart)
-    second = as_pairs(crossing, threshold).join(first, ["a", "b"], "left_anti")
-    links = links.union(write_and_read(aligned(write_and_read(second, "pairs"), kmers, threshold), "verified"))
+    second = as_pairs(crossing).join(first, ["a", "b"], "left_anti")
+    second = write_and_read(second, "pairs")
+    links = links.union(write_and_read(aligned(second, kmers_of(rows, second), threshold), "verified"))
 
     labels = connected_components(links).withColumnsRenamed({"node": "__row", "label": "part"})
     degree = links.select(F.explode(F.array("a", "b")).alias("__row")).groupBy("__row").agg(F.count(F.lit(1)).alias("n_links"))

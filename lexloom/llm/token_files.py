@@ -10,16 +10,19 @@ once, leaves whole files.  ``read_documents`` and ``map_documents`` memory-map t
 
 Defined cases: a null text is encoded as an empty one, so it holds the end id alone; a
 null key is stored as the least 64-bit integer and read as null; rows of one key stay
-separate, in the order of the input; texts are encoded whole, whatever their length;
+separate, in the order of the input; texts are encoded whole, whatever their length
+(a special token's name in a text is read as that token, as the library does by default);
 an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from lexloom.session import write_and_read
 
 NULL_KEY = -(1 << 63)
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def splits_at_spaces(model: str) -> bool:
@@ -56,32 +60,60 @@ class TextEncoder:
     """Texts to id arrays with the tokenizers library; whole texts, no special tokens added.
 
     Where the model allows it, a text is cut at lone spaces and each distinct piece is
-    encoded once per task, which gives the ids of the whole text at a fraction of the
-    time.  The pieces kept are bounded in number; beyond that, keeping starts anew.
+    encoded once for many texts, which gives the ids of the whole text at a fraction of
+    the time.  The first ``CACHE_PIECES`` pieces are kept; others are encoded anew for
+    each batch, so memory is bounded.
     """
 
     def __init__(self, model: str, dtype: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         self.tokenizer, self.dtype = Tokenizer.from_str(model), np.dtype(dtype)
         self.by_piece, self.lone_space = splits_at_spaces(model), re.compile(r"(?<=\S) (?=\S)")
         self.known: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encoded]
+        out = []
+        for i in range(0, len(texts), 1000):
+            encoded = self.tokenizer.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)
+            ids = [e.ids for e in encoded]
+            flat = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
+            ends = np.cumsum([0, *map(len, ids)]) * self.dtype.itemsize
+            out += [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        # A space beside white space, or white space of another kind, is left to the pattern.
+        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in OTHER_SPACE):
+            return self.lone_space.split(text)
+        first, *rest = text.split(" ")
+        if rest and not (first and rest[-1]):  # a space at either end
+            return self.lone_space.split(text)
+        return [first, *rest]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.raw(texts)
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known, cut = self.known, [self.lone_space.split(t) for t in texts]
-        # A piece after a space is kept under a name with the space in front.
-        cut = [[p[0], *map(" ".__add__, p[1:])] for p in cut]
-        new = list(set().union(*map(set, cut)).difference(known))
-        known.update(zip(new, self.raw(new)))
-        return [b"".join(map(known.__getitem__, p)) for p in cut]
+        cut = [self.cut(t) for t in texts]
+        known, fresh = self.known, {}
+        firsts = self.raw([c.pop(0) for c in cut])
+        new = set(chain.from_iterable(cut)).difference(known)
+        # Marks at the end of a word are pieces of their own.
+        bare = {p: p.rstrip(".,;:!?") for p in new}
+        bare = {p: b if b and b[-1].isalnum() else p for p, b in bare.items()}
+        words = list(set(bare.values()).difference(known))
+        fresh.update(zip(words, self.raw([" " + w for w in words])))
+        marks = {p[len(b) :] for p, b in bare.items()} - {""}
+        marked = dict(zip(marks, self.raw(list(marks))))
+        of = lambda w: fresh[w] if w in fresh else known[w]
+        fresh.update({p: of(b) + marked[p[len(b) :]] for p, b in bare.items() if len(b) < len(p)})
+        if len(known) + len(fresh) <= CACHE_PIECES:
+            known.update(fresh)
+            lookup = known.__getitem__
+        else:
+            lookup = lambda w: known[w] if w in known else fresh[w]
+        return [f + b"".join(map(lookup, c)) for f, c in zip(firsts, cut)]
 
 
 def open_folder(folder: str):
@@ -116,7 +148,7 @@ def get_array(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(file.readall(), dtype)
 
 
-def slices(frames: Iterator[pd.DataFrame], characters: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def slices(frames: Iterator[pd.DataFrame], characters: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
     """Keys and texts, few enough at a time that their ids stay small."""
     for frame in frames:
         keys, texts, held = [], [], 0
@@ -140,11 +172,15 @@ def write_token_files(
     spec = json.loads(model)
     largest = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
     dtype = "<u2" if largest < 1 << 16 else "<u4"
-    # The model file's size is that of a vocabulary, whatever the corpus.
-    shared = spark.sparkContext.broadcast(model)
+    # The model file's size is that of a vocabulary, whatever the corpus.  A worker keeps the
+    # broadcast value over its tasks, and with it the encoder.
+    shared = spark.sparkContext.broadcast({"model": model})
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, encoder = TaskContext.get().partitionId(), TextEncoder(shared.value, dtype)
+        part, held = TaskContext.get().partitionId(), shared.value
+        if "encoder" not in held:
+            held["encoder"] = TextEncoder(held["model"], dtype)
+        encoder = held["encoder"]
         end = np.array([end_id], dtype).tobytes()
         keys: list[np.ndarray] = []
         lengths: list[int] = []
