@@ -41,7 +41,8 @@ def pad_structure(df: DataFrame, name: str, length: int | None = 1024, value: in
         if _is_block(t):
             return pad_rows(col, length, value, leaf_name(t))
         if isinstance(t, T.StructType):
-            return F.struct(*[walk(col[f.name], f.dataType).alias(f.name) for f in t.fields])
+            fields = [walk(col[f.name], f.dataType).alias(f.name) for f in t.fields]
+            return F.when(col.isNotNull(), F.struct(*fields))
         if isinstance(t, T.MapType):
             return F.transform_values(col, lambda _, v: walk(v, t.valueType))
         if isinstance(t, T.ArrayType) and not isinstance(t.elementType, NUMERIC):

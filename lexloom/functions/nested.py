@@ -60,7 +60,11 @@ def map_numbers(df: DataFrame, name: str, func: Callable[[Column], Column]) -> C
 
 
 def flatten_leaves(df: DataFrame, name: str, as_type: str) -> Column:
-    """All leaves of column ``name``, depth first, as one array of ``as_type``."""
+    """All leaves of column ``name``, depth first, as one array of ``as_type``.
+
+    A null array or map has no leaves; a null scalar is one null leaf.
+    """
+    none = F.array().cast(f"array<{as_type}>")
 
     def walk(col: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.StructType):
@@ -69,8 +73,8 @@ def flatten_leaves(df: DataFrame, name: str, as_type: str) -> Column:
             return walk(F.map_values(col), T.ArrayType(dtype.valueType))
         if isinstance(dtype, T.ArrayType):
             if isinstance(dtype.elementType, (T.StructType, T.MapType, T.ArrayType)):
-                return F.flatten(F.transform(col, lambda x: walk(x, dtype.elementType)))
-            return col.cast(f"array<{as_type}>")
+                return F.coalesce(F.flatten(F.transform(col, lambda x: walk(x, dtype.elementType))), none)
+            return F.coalesce(col.cast(f"array<{as_type}>"), none)
         return F.array(col.cast(as_type))
 
     return walk(F.col(name), column_type(df, name))

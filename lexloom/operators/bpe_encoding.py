@@ -138,6 +138,6 @@ def decode(ids: Column, tok: Tokenizer, skip_specials: bool = True) -> Column:
     specials = [i for i, t in enumerate(tok.tokens) if t in tok.specials]
     kept = F.filter(ids, lambda i: ~i.isin(specials)) if skip_specials and specials else ids
     pieces = F.transform(kept, lambda i: F.get(token_list(tok), i))
-    joined = F.array_join(pieces, "")
-    bare = F.when(F.startswith(joined, F.lit(WORD_START)), F.substring(joined, 2, 2**31 - 1)).otherwise(joined)
+    # The tokens are named once, so that they are walked once.
+    bare = F.regexp_replace(F.array_join(pieces, ""), f"^{WORD_START}", "")
     return F.replace(bare, F.lit(WORD_START), F.lit(" "))

@@ -17,12 +17,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 # Widths of the buckets of a 64-bit key, as bits left of the key: 1,024 rows in a fine
 # bucket, then 2**22 buckets in each coarser one, and 1,024 in all.
 FINE_BITS = 10
 KEY_BITS = (54, 32, FINE_BITS)
+# Lengths of the prefixes that make the buckets of a string key.
+PREFIXES = (4, 8, 16)
+
+
+def key_levels(df: DataFrame, key: str) -> list[Column]:
+    """Buckets of a unique key of any type: of an integer by its value, of a string by prefixes."""
+    if isinstance(df.schema[key].dataType, T.StringType):
+        return [F.substring(key, 1, n) for n in PREFIXES]
+    return integer_levels(key)
 
 
 def integer_levels(key: str) -> list[Column]:
@@ -51,18 +61,19 @@ def running_totals(
     """Add, for each measure, the total over all earlier rows of the same ``within`` group.
 
     ``order_by`` must order the rows of a group without ties; each of ``levels``
-    must be monotone in it.  Key columns must not be null.
+    must be monotone in it.  A null group is a group of its own, a null key comes first.
     """
-    within = list(within)
     names = [f"__level{i}" for i in range(len(levels))]
     parts = {out: f"__part_{out}" for out in measures}
+    # Keys are wrapped: a struct that holds a null is itself not null, equals its like in a
+    # join, and comes first in order.
+    wrapped = {f"__within{i}": F.struct(F.col(w).alias("v")) for i, w in enumerate(within)}
     base = df.withColumns(
-        dict(zip(names, levels)) | {parts[out]: m.cast("bigint") for out, m in measures.items()}
+        wrapped
+        | {name: F.struct(level.alias("v")) for name, level in zip(names, levels)}
+        | {parts[out]: m.cast("bigint") for out, m in measures.items()}
     )
-    # The joins below imply these; stated here, every branch has the same plan up to
-    # its first exchange, and the totals are read from the table once.
-    for name in within + names:
-        base = base.filter(F.col(name).isNotNull())
+    within = list(wrapped)
 
     def total_of(frame: DataFrame, keys: list[str]) -> DataFrame:
         return frame.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in parts.values()])
@@ -105,8 +116,8 @@ def running_totals(
 
 
 def with_row_position(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
-    """Zero-based position of each row in the order of a unique integer key."""
-    return running_totals(df, {out: F.lit(1)}, [key], integer_levels(key))
+    """Zero-based position of each row in the order of a unique integer or string key, nulls first."""
+    return running_totals(df, {out: F.lit(1)}, [key], key_levels(df, key))
 
 
 def row_count(df: DataFrame) -> Column:

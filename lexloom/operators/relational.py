@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from lexloom.operators.position import row_count, with_row_position
 
-# Above this many rows a head limit goes by row position, not by one top-k task.
-TOP_K_ROWS = 100_000
-
 
 def keep_text(df: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """Only the text column, and the order key where one is named."""
@@ -36,11 +33,9 @@ def min_length(df: DataFrame, ids: str, n: int) -> DataFrame:
 
 
 def head(df: DataFrame, n: int, key: str) -> DataFrame:
-    """The first ``n`` rows in key order; a negative ``n`` keeps all."""
+    """The first ``n`` rows in key order, nulls first; a negative ``n`` keeps all."""
     if n < 0:
         return df
-    if n <= TOP_K_ROWS:
-        return df.orderBy(key).limit(n)
     return with_row_position(df, key, "__pos").filter(F.col("__pos") < n).drop("__pos")
 
 

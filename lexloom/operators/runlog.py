@@ -35,7 +35,7 @@ def with_counters(log: DataFrame, run: str = "run", step: str = "step", batch_si
         within=[run],
     )
     return before.withColumns(
-        {"n_batches": F.col("__batches") + 1, "n_examples": F.col("__examples") + F.col(batch_size)}
+        {"n_batches": F.col("__batches") + 1, "n_examples": F.col("__examples") + F.coalesce(batch_size, F.lit(0))}
     ).drop("__batches", "__examples")
 
 
@@ -76,7 +76,8 @@ def throughput(
     tokens: str | None = "n_tokens",
     steps: bool = True,
 ) -> DataFrame:
-    """Runtime per split and what passed per second; a measure not asked for is absent."""
+    """Runtime per split and what passed per second; a measure not asked for is absent, and null for a split of no
+    runtime."""
     runtime = F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))
     totals = [(runtime / 1_000_000).alias("__runtime")]
     rates = []
@@ -87,7 +88,7 @@ def throughput(
     ):
         if total is not None:
             totals.append(total.alias(f"__{name}"))
-            rates.append(F.round(F.col(f"__{name}") / F.col("__runtime"), 5).alias(f"{name}_per_second"))
+            rates.append(F.round(F.try_divide(f"__{name}", "__runtime"), 5).alias(f"{name}_per_second"))
     return log.groupBy(split).agg(*totals).select(split, F.round("__runtime", 4).alias("runtime"), *rates)
 
 

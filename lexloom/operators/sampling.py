@@ -10,13 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexloom.operators.position import FINE_BITS, hash_levels, row_count, running_totals, with_row_position
 
-# A mega-batch of at most this many rows is ranked in one window group.
-PLAIN_WINDOW_ROWS = 100_000
-
 
 def permute(df: DataFrame, key: str, seed: int = 0, epoch: int = 0, out: str = "perm_pos") -> DataFrame:
     """A repeatable random position for every row; another epoch gives another order."""
@@ -42,7 +38,7 @@ def sort_in_mega_batches(
     out: str = "flat_pos",
     n: Column | None = None,
 ) -> DataFrame:
-    """Longest first inside each mega-batch, equal lengths in permutation order.
+    """Longest first inside each mega-batch, null lengths last, equal lengths in permutation order.
 
     A mega-batch grows with the table by default, and after packing all its rows
     are equally long; so its ranks come from buckets of (length, position), not
@@ -50,18 +46,14 @@ def sort_in_mega_batches(
     """
     grouped = mega_batches(df, size, pos, n)
     base = F.col("mega") * F.col("__mega_size")
-    if size and size <= PLAIN_WINDOW_ROWS:
-        order = Window.partitionBy("mega").orderBy(F.desc(length), F.col(pos))
-        ranked = grouped.withColumn("__rank", F.row_number().over(order) - 1)
-    else:
-        grouped = grouped.withColumn("__shorter", -F.col(length))
-        ranked = running_totals(
-            grouped,
-            {"__rank": F.lit(1)},
-            ["__shorter", pos],
-            [F.col("__shorter"), F.shiftright(pos, FINE_BITS)],
-            within=["mega"],
-        )
+    grouped = grouped.withColumn("__shorter", F.coalesce(-F.col(length), F.lit(1)))  # a length is 0 at least
+    ranked = running_totals(
+        grouped,
+        {"__rank": F.lit(1)},
+        ["__shorter", pos],
+        [F.col("__shorter"), F.shiftright(pos, FINE_BITS)],
+        within=["mega"],
+    )
     return ranked.withColumn(out, (base + F.col("__rank")).cast("bigint")).drop("__rank", "__mega_size", "__shorter")
 
 

@@ -11,11 +11,14 @@ from lexloom.operators.position import row_count, with_row_position
 
 
 def shape_mismatch(df: DataFrame, part: str, shape: str) -> DataFrame:
-    """Every worker's shape when they are not all the same; no rows when they are."""
+    """Every worker's shape when they are not all the same; no rows when they are.
+
+    A missing shape is a shape of its own.
+    """
     shapes = df.groupBy(part, shape).agg(F.count(F.lit(1)).alias("n_values"))
-    lowest = df.agg(F.min(shape)).scalar()
-    highest = df.agg(F.max(shape)).scalar()
-    return shapes.withColumn("__differ", lowest != highest).filter("__differ").drop("__differ")
+    missing = F.max(F.col(shape).isNull().cast("int"))
+    different = shapes.agg((F.count_distinct(F.col(shape)) + missing).alias("n")).scalar()
+    return shapes.withColumn("__n", different).filter("__n > 1").drop("__n")
 
 
 def gather(df: DataFrame, key: str, rank: str, rows: str) -> DataFrame:

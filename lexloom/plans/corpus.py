@@ -36,13 +36,15 @@ def clean_documents(docs: DataFrame, key: str, text: str = "text", settings: Cor
     return rows.withColumn(text, clean_text(F.col(text), settings.mask_first))
 
 
-# A batch is packed in one task, so it never comes near this many rows.
+# Rows of one batch that ``row_id`` can number; a larger batch is an error.
 ROW_BITS = 24
 
 
 def number_rows(packed: DataFrame) -> DataFrame:
     """``row_id``: unique and in (batch, row) order, from the two numbers alone."""
-    return packed.withColumn("row_id", F.shiftleft("batch_id", ROW_BITS) + F.col("row_no"))
+    full = F.raise_error(F.lit(f"a batch has over 2**{ROW_BITS} rows")).cast("bigint")
+    row_no = F.when(F.col("row_no") < 1 << ROW_BITS, F.col("row_no")).otherwise(full)
+    return packed.withColumn("row_id", F.shiftleft("batch_id", ROW_BITS) + row_no)
 
 
 def prepare_corpus(

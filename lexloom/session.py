@@ -30,11 +30,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    A cluster sets ``spark.checkpoint.dir``.  Where it is unset (a test on one
-    machine) a fresh temporary folder is made and remembered in the session.
+    A cluster sets ``spark.checkpoint.dir``, and without it this is an error.  On one
+    machine (a test) a fresh temporary folder is made and remembered in the session.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder

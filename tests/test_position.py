@@ -54,11 +54,9 @@ def test_shards_and_batches(spark, n, shards, size):
     assert [(i, got[i].shard, got[i].batch_id, got[i].pos_in_batch, got[i].batch_rows) for i in range(n)] == expected
 
 
-def test_head_by_position_equals_top_k(spark, monkeypatch):
+def test_head_keeps_the_first_rows(spark):
     df = spark.range(0, 3000, 3)
-    small = [r.id for r in rel.head(df, 50, "id").orderBy("id").collect()]
-    monkeypatch.setattr(rel, "TOP_K_ROWS", 10)
-    assert [r.id for r in rel.head(df, 50, "id").orderBy("id").collect()] == small
+    assert [r.id for r in rel.head(df, 50, "id").orderBy("id").collect()] == list(range(0, 150, 3))
     assert rel.head(df, -1, "id").count() == 1000
 
 

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexloom.operators import sampling as sp
 
@@ -33,11 +34,12 @@ def test_ranks_are_disjoint_equal_and_repeatable(spark):
     assert sorted(rows) != sorted(other)
 
 
-def test_bucketed_ranks_equal_the_window(spark, monkeypatch):
+def test_bucketed_ranks_equal_the_window(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, 512).otherwise(F.col("id") % 40).alias("n"))
     permuted = sp.permute(df, "id", 4)
-    plain = sp.sort_in_mega_batches(permuted, "n", 1700).select("id", "flat_pos")
-    monkeypatch.setattr(sp, "PLAIN_WINDOW_ROWS", 0)
+    order = Window.partitionBy("mega").orderBy(F.desc("n"), "perm_pos")
+    plain = permuted.withColumn("mega", F.floor(F.col("perm_pos") / 1700))
+    plain = plain.select("id", (F.col("mega") * 1700 + F.row_number().over(order) - 1).alias("flat_pos"))
     bucketed = sp.sort_in_mega_batches(permuted, "n", 1700).select("id", "flat_pos")
     assert sorted(plain.collect()) == sorted(bucketed.collect())
 
