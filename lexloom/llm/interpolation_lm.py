@@ -27,13 +27,12 @@ and estimates without counts are zero; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import LOWER, UPPER, drop_stage
@@ -50,10 +49,10 @@ SHIFT = {1: 0, 2: 8}
 ODD = [np.uint64(f | 1) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
-def part_of(key: object) -> int:
+def part_of(key: Column) -> Column:
     """Held out where crc32 of the key's text leaves 1 by 5, deleted where 0, else training."""
-    left = zlib.crc32(("" if key is None or key != key else str(key)).encode()) % 5
-    return HELD_OUT if left == 1 else DELETED if left == 0 else TRAINING
+    left = F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5
+    return F.when(left == 1, HELD_OUT).when(left == 0, DELETED).otherwise(TRAINING)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -135,12 +134,11 @@ class Chunk:
                     yield {"kind": "asked", "chunk": chunk, "range": r, "order": order, "deleted": deleted, "blobs": [pack(steps), pack(counts[a:b])]}
 
 
-FIELDS = "kind string, chunk bigint, range int, order int, deleted boolean, keys array<{key}>, blobs array<binary>"
+FIELDS = "kind string, chunk bigint, range int, order int, deleted boolean, keys array<string>, blobs array<binary>"
 
 
 def ask(rows: DataFrame, ranges: int, chunk_tokens: int) -> DataFrame:
-    """Rows of ``Chunk`` from ``__key`` and ``__text``."""
-    kind = rows.schema["__key"].dataType.simpleString()
+    """Rows of ``Chunk`` from ``__key`` (as text, which pandas leaves as it is), ``__part`` and ``__text``."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,9 +153,7 @@ def ask(rows: DataFrame, ranges: int, chunk_tokens: int) -> DataFrame:
             made += 1
 
         for frame in frames:
-            for key, text in zip(frame["__key"].astype(object).array, frame["__text"].array):
-                key = None if key is None or key != key else key
-                kind_of = part_of(key)
+            for key, kind_of, text in zip(frame["__key"].array, frame["__part"].array, frame["__text"].array):
                 words = (text or "").translate(lower).encode("utf-8", "surrogatepass").split()
                 open_chunks[kind_of == DELETED].add(key, kind_of, words)
                 if open_chunks[kind_of == DELETED].size >= chunk_tokens:
@@ -165,7 +161,7 @@ def ask(rows: DataFrame, ranges: int, chunk_tokens: int) -> DataFrame:
         yield from close(True)
         yield from close(False)
 
-    return rows.mapInPandas(run, FIELDS.format(key=kind))
+    return rows.mapInPandas(run, FIELDS)
 
 
 def answer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -254,12 +250,12 @@ def score_documents(
 ) -> DataFrame:
     """``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = docs.select(F.col(key).cast("string").alias("__key"), part_of(F.col(key)).alias("__part"), F.col(text).alias("__text"))
     characters = rows.agg(F.sum(F.length("__text"))).first()[0] or 0
     ranges = -(-characters // range_characters) or 1
     path = new_stage_path(spark, "chunks")
     ask(rows, ranges, chunk_tokens).write.partitionBy("kind").parquet(path)
-    stage = spark.read.schema(FIELDS.format(key=rows.schema["__key"].dataType.simpleString())).parquet(path)
+    stage = spark.read.schema(FIELDS).parquet(path)
     asked = stage.filter("kind = 'asked'").select("chunk", "range", "order", "deleted", "blobs")
     answers = write_and_read(asked.groupBy("range").applyInPandas(answer, ANSWER), "answers")
     drop_stage(spark, f"{path}/kind=asked")
@@ -301,8 +297,7 @@ def score_documents(
             made.append([keys, held_out[texts], lengths[texts], known, np.full(len(known), train_tokens), *sums])
         return pd.concat([pd.DataFrame(dict(zip(names, m))) for m in made])
 
-    kind = rows.schema["__key"].dataType.simpleString()
-    schema = "key {}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    schema = "key string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     chunks = stage.filter("kind <> 'asked'").groupBy("chunk")
-    scored = chunks.cogroup(replies.groupBy("chunk")).applyInPandas(score, schema.format(kind))
-    return scored.withColumnRenamed("key", key)
+    scored = chunks.cogroup(replies.groupBy("chunk")).applyInPandas(score, schema)
+    return scored.select(F.col("key").cast(docs.schema[key].dataType).alias(key), *scored.columns[1:])

@@ -158,9 +158,10 @@ def sketch(rows: DataFrame) -> DataFrame:
                 | dict(zip(("content", "n", "buckets", "least"), zip(*out)))
             )
 
-    kind = rows.schema["__key"].dataType.simpleString()
-    schema = f"__row bigint, __key {kind}, content binary, n bigint, buckets array<bigint>, least array<int>"
-    return rows.mapInPandas(run, schema)
+    schema = "__row bigint, __key string, content binary, n bigint, buckets array<bigint>, least array<int>"
+    # A key passes as text, which pandas leaves as it is.
+    made = rows.withColumn("__key", F.col("__key").cast("string")).mapInPandas(run, schema)
+    return made.withColumn("__key", F.col("__key").cast(rows.schema["__key"].dataType))
 
 
 def kmers_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
