@@ -20,9 +20,16 @@ No bucket is expanded into all pairs:
    of one text that is the text itself.  Verified pairs give components.
 3. A bucket whose members ended in one component is done.  In the others each member
    outside the bucket's largest component is compared with all members of other
-   components, first by the least k-mers of both (all of them for texts of up to 256:
-   then the test is exact; at similarity 0.8 longer texts fail it with a chance below
-   1e-5), then by alignment.  So no candidate pair between components is left out.
+   components, so no candidate pair between components is left out.  Large buckets are
+   compared in chunks of about ``CHUNK_MEMBERS`` members.
+
+A pair is compared in three steps, each for what the one before leaves over:
+
+- Bitmaps of 1024 bits, a bit for whether an odd number of k-mers falls on it.  Two texts
+  differ in at least as many k-mers as their bitmaps in bits, so this test is exact.
+- The least k-mers of both, all of them for texts of up to 256: then this is exact too.
+  Longer texts of similarity 0.8 fail it with a chance below 1e-5.
+- Alignment.
 
 Defined cases: words are in lower case, split at ASCII white space.  Null texts and
 texts without words are equal texts.  A text of one to four words has one k-mer, all of
@@ -50,7 +57,9 @@ THRESHOLD = 0.8
 SKETCHES = 16
 PICKED = 3
 LEAST_KMERS = 256
-FIRST_LEAST = 32
+LEAST_SLACK = 0.11
+BITMAP_WORDS = 16
+CHUNK_MEMBERS = 1000
 KNOWN_WORDS = 500_000
 ROW_BITS = 33  # of monotonically_increasing_id: the place in the partition
 
@@ -117,6 +126,12 @@ class Sketcher:
         return key.view(np.int64)
 
 
+def bitmap(k: np.ndarray) -> np.ndarray:
+    """1024 bits as 64-bit integers: the parity of the number of k-mers on each."""
+    odd = np.bincount((k >> np.uint64(54)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Chained k-mers over all k-mers of both texts; 0 where the threshold is out of reach."""
     total = len(a) + len(b)
@@ -141,7 +156,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def sketch(rows: DataFrame) -> DataFrame:
-    """``__row``, ``__key``, ``content``, ``n``, ``buckets``, ``least`` from ``__row``, ``__key``, ``__text``."""
+    """``__row``, ``__key``, ``content``, ``n``, ``buckets``, ``least``, ``bits`` from ``__row``, ``__key``, ``__text``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketcher = Sketcher()
@@ -152,13 +167,13 @@ def sketch(rows: DataFrame) -> DataFrame:
                 k = sketcher.kmers(words)
                 least = np.sort(np.partition(k, LEAST_KMERS)[:LEAST_KMERS] if len(k) > LEAST_KMERS else k)
                 least = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                out.append((sketcher.hash128(b" ".join(words)), len(k), sketcher.buckets(k), least))
+                out.append((sketcher.hash128(b" ".join(words)), len(k), sketcher.buckets(k), least, bitmap(k)))
             yield pd.DataFrame(
                 {"__row": frame["__row"], "__key": frame["__key"]}
-                | dict(zip(("content", "n", "buckets", "least"), zip(*out)))
+                | dict(zip(("content", "n", "buckets", "least", "bits"), zip(*out)))
             )
 
-    schema = "__row bigint, __key string, content binary, n bigint, buckets array<bigint>, least array<int>"
+    schema = "__row bigint, __key string, content binary, n bigint, buckets array<bigint>, least array<int>, bits array<bigint>"
     # A key passes as text, which pandas leaves as it is.
     made = rows.withColumn("__key", F.col("__key").cast("string")).mapInPandas(run, schema)
     return made.withColumn("__key", F.col("__key").cast(rows.schema["__key"].dataType))
@@ -209,19 +224,28 @@ def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a bigint, b bigint")
 
 
-def may_reach(threshold: float) -> Column:
-    """Whether the numbers of k-mers and the least k-mers of both texts allow the threshold."""
-    few = F.size(F.array_intersect(F.slice("least", 1, FIRST_LEAST), F.slice("other", 1, FIRST_LEAST)))
-    many = F.size(F.array_intersect("least", "other"))
+def bitmaps_allow(threshold: float) -> Column:
+    """Whether the numbers of k-mers and the bitmaps of both texts allow the threshold."""
+    differing = sum(F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i])) for i in range(BITMAP_WORDS))
+    allowed = F.lit((1 - threshold) / (1 + threshold)) * (F.col("n") + F.col("m")) + F.lit(1e-6)
+    return (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")) & (differing <= allowed)
+
+
+def least_allow(threshold: float) -> Column:
+    """Whether the least k-mers of both texts allow the threshold."""
+    shared = F.size(F.array_intersect("least", "other_least"))
     whole = (F.col("n") <= LEAST_KMERS) & (F.col("m") <= LEAST_KMERS)
-    shared = 2 * threshold / (1 + threshold)  # of the k-mers of either text, at the threshold
-    return (
-        (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m"))
-        & (few >= F.lit(shared - 0.35) * F.least(F.size("least"), F.size("other"), F.lit(FIRST_LEAST)))
-        & F.when(whole, many >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m"))).otherwise(
-            many >= F.lit(shared - 0.15) * F.least(F.size("least"), F.size("other"))
-        )
-    )
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m"))
+    # The shorter of two texts may lie in the longer: then the threshold itself is shared.
+    usual = F.lit(threshold - LEAST_SLACK) * F.least(F.size("least"), F.size("other_least"))
+    return shared >= F.when(whole, needed - F.lit(1e-6)).otherwise(usual)
+
+
+def pass_least(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs ``a``, ``b`` whose least k-mers allow the threshold."""
+    left = texts.select(F.col("__row").alias("a"), "n", "least")
+    right = texts.select(F.col("__row").alias("b"), F.col("n").alias("m"), F.col("least").alias("other_least"))
+    return pairs.join(left, "a").join(right, "b").filter(least_allow(threshold)).select("a", "b")
 
 
 def as_pairs(df: DataFrame) -> DataFrame:
@@ -240,7 +264,7 @@ def near_duplicate_classes(
     """
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
     sketches = write_and_read(sketch(rows), "sketches")
-    texts = sketches.groupBy("content").agg(F.min(F.struct("__row", "n", "buckets", "least")).alias("t"))
+    texts = sketches.groupBy("content").agg(F.min(F.struct("__row", "n", "buckets", "least", "bits")).alias("t"))
     texts = write_and_read(texts.select("content", "t.*"), "texts")
     members = write_and_read(texts.select("__row", "n", F.explode("buckets").alias("bucket")), "members")
 
@@ -265,28 +289,35 @@ def near_duplicate_classes(
     spokes = members.join(centres.select("bucket", named.alias("centres")), "bucket")
     spokes = spokes.select("__row", "n", F.explode(F.array_distinct("centres")).alias("c")).select("__row", "n", "c.*")
     spokes = spokes.filter("__row <> __other").distinct()
-    spokes = with_least(with_least(spokes, texts, "__row", "least"), texts, "__other", "other").filter(may_reach(threshold))
-    first = write_and_read(as_pairs(spokes), "pairs")
+    bits = texts.select("__row", "bits")
+    other_bits = texts.select(F.col("__row").alias("__other"), F.col("bits").alias("other_bits"))
+    spokes = spokes.join(bits, "__row").join(other_bits, "__other").filter(bitmaps_allow(threshold))
+    first = write_and_read(pass_least(as_pairs(spokes), texts, threshold), "pairs")
     links = write_and_read(aligned(first, kmers_of(rows, first), threshold), "verified")
 
     # Buckets that more than one component shares.
     labels = connected_components(links).withColumnsRenamed({"node": "__row", "label": "part"})
     placed = members.join(labels, "__row", "left").withColumn("part", F.coalesce("part", "__row"))
     parts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("size", "part")).alias("main"))
-    mixed = mixed.filter("parts > 1").select("bucket", "main")
-    rest = write_and_read(with_least(placed.join(mixed, "bucket"), texts, "__row", "least"), "mixed")
+    mixed = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.max_by("part", F.struct("size", "part")).alias("main"),
+        F.ceil(F.sum("size") / F.lit(CHUNK_MEMBERS)).alias("chunks"),
+    )
+    mixed = mixed.filter("parts > 1").select("bucket", "main", "chunks")
+    rest = write_and_read(placed.join(mixed, "bucket").join(bits, "__row"), "mixed")
     others = rest.select(
         "bucket",
+        F.pmod(F.xxhash64("__row"), "chunks").alias("chunk"),
         F.col("__row").alias("__other"),
         F.col("n").alias("m"),
         F.col("part").alias("other_part"),
-        F.col("least").alias("other"),
+        F.col("bits").alias("other_bits"),
     )
     apart = (F.col("part") != F.col("other_part")) & ((F.col("other_part") == F.col("main")) | (F.col("__row") < F.col("__other")))
-    apart = apart & may_reach(threshold)
-    crossing = rest.filter("part <> main").join(others, "bucket").filter(apart)
-    second = as_pairs(crossing).join(first, ["a", "b"], "left_anti")
+    outside = rest.filter("part <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    crossing = outside.join(others, ["bucket", "chunk"]).filter(apart & bitmaps_allow(threshold))
+    second = pass_least(as_pairs(crossing).join(first, ["a", "b"], "left_anti"), texts, threshold)
     second = write_and_read(second, "pairs")
     links = links.union(write_and_read(aligned(second, kmers_of(rows, second), threshold), "verified"))
 
@@ -304,10 +335,6 @@ def near_duplicate_classes(
     )
 
 
-def with_least(df: DataFrame, texts: DataFrame, row: str, out: str) -> DataFrame:
-    return df.join(texts.select(F.col("__row").alias(row), F.col("least").alias(out)), row)
-
-
 def keep_one_of_each(docs: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with its columns as they were; ``docs`` is a stored table."""
     classes = near_duplicate_classes(docs, key, text, threshold)
