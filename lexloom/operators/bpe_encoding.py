@@ -1,8 +1,7 @@
 """Text to ids and back.
 
-Distinct words are encoded once and joined back to their occurrences.  The most
-frequent words go by a broadcast of fixed size, so that no common word becomes a
-hot key; only the occurrences of rarer words are shuffled by word.
+Documents stay where they are: words are split in the JVM, and each Arrow batch encodes
+its distinct words once.  Only the model goes to the tasks.
 """
 
 from __future__ import annotations
@@ -10,20 +9,18 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexloom.operators.tokenizer import UNK, WORD_START, Tokenizer, count_listed_words, normalize, split_words
-from lexloom.session import write_and_read
+from lexloom.operators.tokenizer import UNK, WORD_START, Tokenizer, normalize, split_words
 
-# The broadcast part of the word table: a fixed number of words of bounded length, so
-# under 70 MB even if all were as long as that (at most 4 bytes per character and per id).
-COMMON_WORDS = 32_768
-COMMON_WORD_LENGTH = 256
-# A short word outside them holds less than 1/32,768 of all occurrences.  A long one may
-# be frequent; its join is an ordinary shuffled one that AQE splits where it is skewed.
+COMMON_WORDS = 200_000
 
 
 def word_encoder(tok: Tokenizer):
@@ -59,18 +56,20 @@ def word_encoder(tok: Tokenizer):
     return encode
 
 
-def encode_words(words: DataFrame, tok: Tokenizer) -> DataFrame:
-    """``ids`` for each row of a table of distinct words (``word``, ``cnt``)."""
-
-    encode_word = word_encoder(tok)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(ids=frame["word"].map(encode_word))
-
-    # Words are short but costly: spread them, so that few small partitions do not queue.
-    slots = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.select("word", "cnt").repartition(slots, "word").mapInPandas(batches, "word string, cnt bigint, ids array<int>")
+def join_ids(words: pa.ListArray, ids_of: dict[str, list[int]]) -> pa.ListArray:
+    """The ids of all words of each row in a row; a null row has none."""
+    flat = words.flatten().dictionary_encode()
+    lists = [ids_of[w] for w in flat.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    pool = np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum())
+    codes = flat.indices.to_numpy()
+    taken = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(taken)])
+    starts = (np.cumsum(sizes) - sizes)[codes]
+    ids = pool[np.repeat(starts - ends[:-1], taken) + np.arange(ends[-1])]
+    n_words = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    offsets = ends[np.concatenate([[0], np.cumsum(n_words)])]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def side_columns(df: DataFrame, ids: str = "input_ids") -> DataFrame:
@@ -95,37 +94,26 @@ def encode(
 ) -> DataFrame:
     """``key``, ``input_ids`` and side columns; nothing is truncated, padded or added.
 
-    The word table is written once to the shared folder; it is read by both the
-    broadcast and the shuffled side.  Keys must be unique and not null.
+    No row is moved, so keys may be null or repeated.  A null text has no ids.  A task
+    forgets its words when it knows more than ``common_words``, and encodes them again
+    where they come again.
     """
-    words = split_words(normalize(F.col(text), ascii_only))
-    # Stated here so that both readers of the exchange below have the same plan.
-    docs = df.filter(F.col(key).isNotNull()).select(key, words.alias("words"))
-    table = write_and_read(encode_words(count_listed_words(docs), tok), "word-ids")
-    short = table.filter(F.length("word") <= COMMON_WORD_LENGTH)
-    common = short.orderBy(F.desc("cnt"), "word").limit(min(common_words, COMMON_WORDS)).select("word", "ids")
-
-    places = docs.select(key, F.posexplode_outer("words").alias("at", "word"))
-    looked_up = places.join(F.broadcast(common), "word", "left")
-    # One row per document; the exchange by key serves both readers below.
-    found = looked_up.groupBy(key).agg(
-        F.collect_list(
-            F.struct("at", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))
-        ).alias("parts")
-    )
-    missing = found.select(key, F.inline("parts")).filter(F.col("word").isNotNull())
-    rare = (
-        missing.select(key, "at", "word")
-        .join(table.select("word", "ids"), "word")
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
-    )
-    have = F.transform(
-        F.filter("parts", lambda p: p["ids"].isNotNull()), lambda p: F.struct(p["at"].alias("at"), p["ids"].alias("ids"))
-    )
-    every = F.sort_array(F.concat(F.col("have"), F.coalesce(F.col("rare"), F.slice("have", 1, 0))))
-    out = found.select(key, have.alias("have")).join(rare, key, "left")
-    return side_columns(out.select(key, F.flatten(every["ids"]).alias("input_ids")))
+    encode_word = word_encoder(tok)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for part in parts:
+            words = part.column(1)
+            if len(known) > common_words:
+                known.clear()
+            for w in words.flatten().unique().to_pylist():
+                if w not in known:
+                    known[w] = encode_word(w)
+            yield pa.RecordBatch.from_arrays([part.column(0), join_ids(words, known)], names=[key, "input_ids"])
+
+    docs = df.select(key, split_words(normalize(F.col(text), ascii_only)).alias("__words"))
+    ids = T.StructField("input_ids", T.ArrayType(T.IntegerType()))
+    return side_columns(docs.mapInArrow(batches, T.StructType([docs.schema[key], ids])))
 
 
 def token_list(tok: Tokenizer) -> Column:

@@ -98,6 +98,14 @@ def test_unknown_characters_and_raw_text(spark):
     assert got == {1: [7, 5, 0, 0], 2: [], 3: [5, 0, 0, 7]}
 
 
+def test_null_and_repeated_keys_and_null_texts_keep_their_rows(spark):
+    tok = tk.Tokenizer((*tk.TRAINED_SPECIALS, "▁", "a", "▁a"), frozenset(tk.TRAINED_SPECIALS), (("▁", "a"),))
+    df = spark.createDataFrame([(None, "a"), ("k", "a a"), ("k", None), ("k", "a")], "k string, t string")
+    encoded = enc.encode(df, "k", "t", tok)
+    assert sorted((str(r.k), r.input_ids) for r in encoded.collect()) == [("None", [7]), ("k", []), ("k", [7]), ("k", [7, 7])]
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+
+
 def test_special_tokens_are_ensured():
     tok = tk.Tokenizer((*tk.TRAINED_SPECIALS, "a"), frozenset(tk.TRAINED_SPECIALS), ()).with_specials()
     assert tok.tokens[-1] == tk.EOS and len(tok) == 7
