@@ -213,3 +213,23 @@ def test_tool_calls(spark):
     assert got[(None, "x")]["status"] == got[(2, None)]["status"] == "no_id" and got[(2, None)]["errors"] == ["missing:a"]
     assert got[(3, "o")]["status"] == "no_call"
     assert tool_calls.link_calls(calls.limit(0), results.limit(0), schemas).count() == 0
+
+
+def test_bitmaps_never_hide_a_pair_of_the_needed_similarity():
+    import numpy as np
+
+    from lexloom.llm import order_minhash as om
+
+    random, sketcher, near = np.random.default_rng(7), om.Sketcher(), 0
+    for size in (1, 4, 5, 30, 146, 800, 5000):
+        for share in (0.0, 0.01, 0.03, 0.05, 0.3):
+            words = [b"w%d" % w for w in random.integers(0, 300, size)]
+            other = [b"x" if random.random() < share else w for w in words]
+            a, b = sketcher.kmers(words), sketcher.kmers(other)
+            apart = np.bitwise_count((om.bitmap(a) ^ om.bitmap(b)).view(np.uint64)).sum()  # of signed numbers it counts the absolute value
+            common = len(np.intersect1d(a, b))
+            assert apart <= len(a) + len(b) - 2 * common
+            if om.similarity(a, b) >= om.THRESHOLD:
+                near += 1
+                assert apart <= (1 - om.THRESHOLD) / (1 + om.THRESHOLD) * (len(a) + len(b)) + 1e-6
+    assert near > 10
