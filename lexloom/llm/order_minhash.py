@@ -28,7 +28,7 @@ A pair is compared in three steps, each for what the one before leaves over:
 - Bitmaps of 1024 bits, a bit for whether an odd number of k-mers falls on it.  Two texts
   differ in at least as many k-mers as their bitmaps in bits, so this test is exact.
 - The least k-mers of both, all of them for texts of up to 256: then this is exact too.
-  Longer texts of similarity 0.8 fail it with a chance below 1e-5.
+  Longer texts of similarity 0.8 fail it with a chance of 1.4e-5 at most.
 - Alignment.
 
 Defined cases: words are in lower case, split at ASCII white space.  Null texts and
