@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +44,44 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def stored_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: 0, 1, 2, ... over its rows, the same in every job that reads it.
+
+    A row is named by its file and its place in it, not by the partition that a job
+    happens to read it in: Spark may cut the same files otherwise for the next job.
+    Anything but rows picked from parquet files is written once, and numbered there.
+    """
+    if not _picks_from_files(docs):
+        docs = write_and_read(docs, "numbered")
+    place = docs.metadataColumn("_metadata")
+    placed = docs.withColumn("__file", place["file_path"]).withColumn("__at", place["row_index"])
+    # One row for each file of the table; no column of it is read.
+    sizes = placed.groupBy("__file").agg((F.max("__at") + 1).alias("n")).collect()
+    bases, base = [], 0
+    for file, n in sorted(map(tuple, sizes)):
+        bases.append((file, base))
+        base += n
+    given = docs.sparkSession.createDataFrame(bases, "__file string, __base bigint")
+    numbered = placed.join(F.broadcast(given), "__file").withColumn("__row", F.col("__base") + F.col("__at"))
+    return numbered.drop("__file", "__at", "__base")
+
+
+def _picks_from_files(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of parquet files, or columns and rows picked from one by fixed rules."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith("LogicalRelation") and not plan.nodeName().startswith("Relation"):
+        return False
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"]).schema
+    except AnalysisException:  # no files, or not of parquet
+        return False
+    return True
+
+
 def place_rows(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     """``df`` with ``__part`` and ``__index``: dealt by range of ``order_by``, nulls first, and sorted.
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import stored_rows
 from lexloom.session import write_and_read
 
 SHINGLE = 5
@@ -59,8 +60,15 @@ def find_items(
 ) -> DataFrame:
     """``key``, ``item``, ``n_shared``, ``n_item``, ``containment``: one row for each contained item.
 
-    ``docs`` must be a stored table: rows are told apart by their place in it.
+    Rows are told apart by their place in the stored table.
     """
+    return find_in(stored_rows(docs), key, text, items, item_key, item_text, threshold)
+
+
+def find_in(
+    docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, threshold: float = THRESHOLD
+) -> DataFrame:
+    """``find_items`` for rows that have their number, ``__row``."""
     item_rows = items.select(F.col(item_key).alias("__item"), F.col(item_text).alias("__text")).withColumn(
         "__item_row", F.monotonically_increasing_id()
     )
@@ -77,7 +85,7 @@ def find_items(
     )
     # Written, so that Spark knows its size and broadcasts it only when it is small.
     probes = write_and_read(probes, "probes")
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = docs.select("__row", F.col(key).alias("__key"), F.col(text).alias("__text"))
     marked = with_shingles(rows, "__text", "__shingles").select(
         "__row", size_class(F.size("__shingles")).alias("__size_class"), F.explode_outer("__shingles").alias("__shingle")
     )  # explode() would test the size first, in a filter that makes the shingles twice
@@ -97,8 +105,8 @@ def find_items(
 
 
 def drop_contaminated(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, **options) -> DataFrame:
-    """The rows of ``docs``, a stored table, that contain no item, with their columns as they were."""
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = find_items(marked, "__row", text, items, item_key, item_text, **options)
+    """The rows of ``docs`` that contain no item, with their columns as they were."""
+    marked = stored_rows(docs)
+    found = find_in(marked, "__row", text, items, item_key, item_text, **options)
     found = write_and_read(found.select("__row").distinct(), "contaminated")
     return marked.join(found, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

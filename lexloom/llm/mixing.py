@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import running_sum, word_count
+from lexloom.llm.common import running_sum, stored_rows, word_count
 from lexloom.session import write_and_read
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -195,9 +195,9 @@ def settled(rounded: DataFrame, sources: list[dict], most: int) -> DataFrame:
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it, with their columns as they were.
 
-    ``docs`` must be a stored table: rows are told apart by their place in it.
+    Rows are told apart by their place in the stored table.
     """
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    marked = stored_rows(docs)
     copies = mix(marked, "__row", **options).filter("copies > 0").select("__row", "copies")
     taken = marked.join(copies, "__row")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(

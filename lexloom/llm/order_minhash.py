@@ -44,10 +44,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import stored_rows
 from lexloom.llm.components import connected_components
 from lexloom.llm.token_files import open_folder
 from lexloom.session import new_stage_path, write_and_read
@@ -61,7 +61,7 @@ LEAST_SLACK = 0.11
 BITMAP_WORDS = 16
 CHUNK_MEMBERS = 1000
 KNOWN_WORDS = 500_000
-ROW_BITS = 33  # of monotonically_increasing_id: the place in the partition
+LIST_BITS, LISTS_BITS = 10, 12  # rows to a list of kmers_of at least; lists at most
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -182,12 +182,14 @@ def sketch(rows: DataFrame) -> DataFrame:
 def kmers_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``__row``, ``kmers`` of the rows in ``pairs``, found where they are: no text is moved.
 
-    A row's number holds the number of its partition, so each task reads the list of its
-    own partition from the shared folder.
+    Wanted rows are listed in the shared folder by ranges of their numbers, and a task
+    reads the lists of the ranges it meets, whichever rows it was given.
     """
     folder = new_stage_path(rows.sparkSession, "wanted")
+    last = rows.agg(F.max("__row")).first()[0] or 0
+    bits = max(LIST_BITS, last.bit_length() - LISTS_BITS)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
-    wanted = wanted.withColumn("part", F.shiftright("__row", ROW_BITS))
+    wanted = wanted.withColumn("part", F.shiftright("__row", bits))
     wanted.repartition("part").write.partitionBy("part").parquet(folder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,17 +197,28 @@ def kmers_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         from pyarrow import fs
 
         store, path = open_folder(folder)
-        own = fs.FileSelector(f"{path}/part={TaskContext.get().partitionId()}", allow_not_found=True)
-        files = [f.path for f in store.get_file_info(own) if f.path.endswith(".parquet")]
-        lists = [pq.ParquetFile(store.open_input_file(f)).read(["__row"]).column(0).to_numpy() for f in files]
-        listed, sketcher = np.concatenate(lists) if lists else np.zeros(0, np.int64), Sketcher()
+
+        def listed(part: int) -> np.ndarray:
+            own = fs.FileSelector(f"{path}/part={part}", allow_not_found=True)
+            files = [f.path for f in store.get_file_info(own) if f.path.endswith(".parquet")]
+            lists = [pq.ParquetFile(store.open_input_file(f)).read(["__row"]).column(0).to_numpy() for f in files]
+            return np.concatenate(lists) if lists else np.zeros(0, np.int64)
+
+        lists, sketcher = {}, Sketcher()
         for frame in frames:
-            frame = frame[np.isin(frame["__row"].to_numpy(), listed)]
+            parts = np.unique(frame["__row"].to_numpy() >> bits).tolist()
+            lists = {p: lists[p] if p in lists else listed(p) for p in parts}
+            frame = frame[np.isin(frame["__row"].to_numpy(), np.concatenate([*lists.values(), np.zeros(0, np.int64)]))]
             if len(frame):
                 short = [(sketcher.kmers(sketcher.words(t)) >> np.uint64(32)).astype("<u4").tobytes() for t in frame["__text"].array]
                 yield pd.DataFrame({"__row": frame["__row"], "kmers": short})
 
-    return write_and_read(rows.select("__row", "__text").mapInPandas(run, "__row bigint, kmers binary"), "kmers")
+    found = write_and_read(rows.select("__row", "__text").mapInPandas(run, "__row bigint, kmers binary"), "kmers")
+    n_found = found.count()
+    n_wanted = rows.sparkSession.read.schema("__row bigint, part bigint").parquet(folder).count()
+    if n_found != n_wanted:
+        raise RuntimeError(f"{n_wanted} rows wanted, {n_found} found: the table changed between two jobs")
+    return found
 
 
 def aligned(pairs: DataFrame, kmers: DataFrame, threshold: float) -> DataFrame:
@@ -259,10 +272,14 @@ def near_duplicate_classes(
 
     ``class_id`` is the least key of the row's class, ``n_links`` the verified pairs that
     the row's text stands in, ``is_kept`` true for one row of each class, the one of
-    least key and place.  ``docs`` must be a stored table: rows are told apart by their
-    place in it.
+    least key and place.  Rows are told apart by their place in the stored table.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    return classes_of(stored_rows(docs), key, text, threshold)
+
+
+def classes_of(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """``near_duplicate_classes`` of rows that have their number, ``__row``."""
+    rows = docs.select("__row", F.col(key).alias("__key"), F.col(text).alias("__text"))
     sketches = write_and_read(sketch(rows), "sketches")
     texts = sketches.groupBy("content").agg(F.min(F.struct("__row", "n", "buckets", "least", "bits")).alias("t"))
     texts = write_and_read(texts.select("content", "t.*"), "texts")
@@ -336,8 +353,7 @@ def near_duplicate_classes(
 
 
 def keep_one_of_each(docs: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, with its columns as they were; ``docs`` is a stored table."""
-    classes = near_duplicate_classes(docs, key, text, threshold)
-    kept = classes.filter("is_kept").select("__row")
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    """One row of each class, with its columns as they were."""
+    marked = stored_rows(docs)
+    kept = classes_of(marked, key, text, threshold).filter("is_kept").select("__row")
     return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

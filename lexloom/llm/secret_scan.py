@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.llm.common import stored_rows
 from lexloom.session import write_and_read
 
 
@@ -139,10 +140,10 @@ def own_samples(rows: DataFrame, spans: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, key: str, text: str = "text", least_ratio: float = LEAST_RATIO) -> DataFrame:
     """``__row``, ``key``, ``spans``: for every row, an array of ``start``, ``order``, ``kind``, ``end``, sorted.
 
-    ``docs`` must be a stored table: rows are told apart by their place in it.
+    Rows are told apart by their place in the stored table.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("__row"),
+    rows = stored_rows(docs).select(
+        "__row",
         F.col(key).alias("__key"),
         F.coalesce(F.col(text), F.lit("")).alias("__text"),
     )

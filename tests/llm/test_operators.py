@@ -233,3 +233,45 @@ def test_bitmaps_never_hide_a_pair_of_the_needed_similarity():
                 near += 1
                 assert apart <= (1 - om.THRESHOLD) / (1 + om.THRESHOLD) * (len(a) + len(b)) + 1e-6
     assert near > 10
+
+
+def test_rows_keep_their_number_when_files_are_cut_anew(spark, monkeypatch):
+    from itertools import cycle
+
+    texts = [" ".join(f"t{(i // 2) * 100 + j}" for j in range(40)) + (" tail" if i % 2 else "") for i in range(24)]
+    docs = write_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("s")).repartition(12), "test-cut")
+    items = write_and_read(spark.createDataFrame([(1, texts[0]), (2, texts[22])], "item_id int, text string"), "test-items")
+    conf, cuts = "spark.sql.files.minPartitionNum", cycle(["1", "12", "5"])
+
+    def write_then_cut_otherwise(df, name):
+        written = write_and_read(df, name)
+        spark.conf.set(conf, next(cuts))  # as if the number of registered cores had changed
+        return written
+
+    for module in (order_minhash, dc, secret_scan, mixing):
+        monkeypatch.setattr(module, "write_and_read", write_then_cut_otherwise)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        classes = order_minhash.near_duplicate_classes(docs, "doc_id").collect()
+        assert sorted((r["doc_id"], r["class_id"]) for r in classes) == [(i, i - i % 2) for i in range(24)]
+        kept = order_minhash.keep_one_of_each(docs, "doc_id")
+        spark.conf.set(conf, "7")
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 24, 2))
+        clean = dc.drop_contaminated(docs, "text", items, "item_id", "text")
+        spark.conf.set(conf, "2")
+        assert sorted(r["doc_id"] for r in clean.collect()) == [i for i in range(24) if i not in (0, 1, 22, 23)]
+        rows = order_minhash.stored_rows(docs).select("__row", F.col("text").alias("__text"))
+        with pytest.raises(RuntimeError, match="2 rows wanted, 1 found"):
+            order_minhash.kmers_of(rows, spark.sql("SELECT 3L AS a, 99L AS b"))
+    finally:
+        spark.conf.unset(conf)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_rows_that_no_file_holds_are_written_before_they_are_numbered(spark, docs):
+    from lexloom.llm.common import stored_rows
+
+    for df in (docs, docs.filter("doc_id > 2"), docs.union(docs), docs.withColumn("r", F.rand()), docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("x"))):
+        numbers = sorted(r["__row"] for r in stored_rows(df).collect())
+        assert len(set(numbers)) == df.count() and numbers[0] >= 0
+    assert sorted(r["__row"] for r in stored_rows(docs).collect()) == list(range(docs.count()))
