@@ -275,3 +275,35 @@ def test_rows_that_no_file_holds_are_written_before_they_are_numbered(spark, doc
         numbers = sorted(r["__row"] for r in stored_rows(df).collect())
         assert len(set(numbers)) == df.count() and numbers[0] >= 0
     assert sorted(r["__row"] for r in stored_rows(docs).collect()) == list(range(docs.count()))
+
+
+def test_bare_keys_are_found_without_a_pattern(spark):
+    import random
+
+    rng = random.Random(5)
+    key = "".join(rng.choice(secret_scan.ALPHABET[:62]) for _ in range(40))
+    texts = [" ".join(rng.choice(["language", "ordinary", "sentence", "document", "identifier", "2024-11-05T10"]) for _ in range(200)) for _ in range(20)]
+    texts += [f"row one {key} row two", "seen on 2024-11-05T10/2024-11-05T10 in /documents/identifier/language-ordinary-sentence"]
+    docs = write_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "test-bare")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan_secrets(docs, "doc_id").collect()}
+    assert {i: s for i, s in found.items() if s} == {20: [("markov", 8, 48)]}
+
+
+def test_ordinary_strings_come_from_all_texts_outside_the_spans(spark):
+    texts = ["plain-words 2024-11-05 in 😀 text_one", "password: abcdefgh1 after/words token=abcdefgh1", None]
+    rows = write_and_read(spark.createDataFrame(list(enumerate(texts)), "__row bigint, __text string").fillna(""), "test-own")
+    samples = secret_scan.own_samples(rows, secret_scan.found_spans(rows)).collect()
+    assert {r["value"]: r["times"] for r in samples if r["label"] == 0} == {"plain-words": 1, "2024-11-05": 1, "text_one": 1, "after/words": 1}
+    assert sum(r["label"] for r in samples) == secret_scan.MADE_KEYS + 2
+
+
+def test_a_candidate_is_compared_without_itself(spark):
+    value = "abab-ababab/ab99"
+    samples = lambda times: spark.createDataFrame([(value, 0, times), ("abba-cab/99", 0, 3), ("q9Zx+T", 1, 2)], "v string, y int, n int")
+    with_it, without = (secret_scan.count_pairs(samples(n), "v", "y", "n") for n in (2, 1))
+    v = F.lit(value)
+    row = spark.range(1).select(
+        (secret_scan.log_ratio(v, secret_scan.ratios_of(with_it)) + secret_scan.own_weight(v, with_it)).alias("a"),
+        secret_scan.log_ratio(v, secret_scan.ratios_of(without)).alias("b"),
+    ).first()
+    assert row["a"] == pytest.approx(row["b"])
