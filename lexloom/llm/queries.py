@@ -139,20 +139,32 @@ TOOLS = {
 
 def derived_calls(turns: DataFrame) -> DataFrame:
     """Calls as assistants' turns make them, derived from the given conversations: the tool, the
-    defects of the arguments and the dependencies follow from turn number and text length."""
-    size = "coalesce(length(text), 0)"
+    defects of the arguments and the dependencies follow from turn number and text length.
+
+    Arguments hold the whole text.  A call depends on the one before it in its conversation,
+    some also on one that is not there; in one conversation of 16 some also depend on the
+    call after them, and so stand on a cycle; in another one some have no identifier."""
+    text, size = "coalesce(text, '')", "coalesce(length(text), 0)"
+    call = lambda turn: f"concat('call-', conv_id, '-', {turn})"
+    none = "cast(array() AS array<string>)"
     return turns.filter("role = 'assistant'").selectExpr(
         "conv_id AS conv",
-        "concat('call-', conv_id, '-', turn) AS id",
+        f"CASE WHEN conv_id % 16 = 5 AND {size} % 7 = 0 THEN NULL ELSE {call('turn')} END AS id",
         "turn AS position",
         "CASE turn % 6 WHEN 1 THEN 'search' WHEN 3 THEN 'summarize' ELSE 'convert' END AS name",
         f"""CASE turn % 6
-          WHEN 1 THEN concat('{{ "query": "', regexp_replace(substr(coalesce(text, ''), 1, 40), '[^A-Za-z ]', ''), '", "limit": ',
-            CASE WHEN {size} % 7 = 0 THEN '"ten"' ELSE cast({size} AS string) END, ' }}')
-          WHEN 3 THEN concat('{{"text": "t', turn, '"', CASE WHEN {size} % 5 = 0 THEN '' ELSE ', "ratio": 0.5' END, '}}')
-          ELSE concat('{{"values": [', turn, ', ', {size}, ']', CASE WHEN {size} % 3 = 0 THEN ', "added": 1' ELSE '' END, '}}')
+          WHEN 1 THEN CASE WHEN {size} % 7 = 0 THEN to_json(named_struct('query', {text}, 'limit', 'ten'), map('pretty', 'true'))
+            ELSE to_json(named_struct('query', {text}, 'limit', {size}), map('pretty', 'true')) END
+          WHEN 3 THEN CASE WHEN {size} % 5 = 0 THEN to_json(named_struct('text', {text}))
+            ELSE to_json(named_struct('text', {text}, 'ratio', 0.5)) END
+          ELSE CASE WHEN {size} % 3 = 0
+            THEN to_json(named_struct('values', array(turn, {size}), 'options', named_struct('text', {text}), 'added', 1))
+            ELSE to_json(named_struct('values', array(turn, {size}), 'options', named_struct('text', {text}))) END
           END AS arguments""",
-        "CASE WHEN turn % 8 > 1 THEN array(concat('call-', conv_id, '-', turn - 2)) ELSE array() END AS depends_on",
+        f"""concat(
+          CASE WHEN turn > 2 THEN array({call('turn - 2')}) ELSE {none} END,
+          CASE WHEN {size} % 11 = 0 THEN array({call("'none'")}) ELSE {none} END,
+          CASE WHEN conv_id % 16 = 3 AND {size} % 3 = 0 THEN array({call('turn + 2')}) ELSE {none} END) AS depends_on""",
     )
 
 

@@ -10,8 +10,11 @@ are first combined to the earliest one and their number, before the join, so tha
 identifier that very many rows share does not meet in one task.
 
 ``level`` is the length of the longest chain of dependencies below a call; ``seq`` its
-place in its conversation by level and position.  Levels are settled in rounds, one for
-each level, on the open dependencies alone; calls on a cycle never settle and have none.
+place in its conversation by level and position.  Levels are settled in rounds on the
+open dependencies alone.  In each round a dependency on a call that itself waits for one
+call only passes on to that one, so a chain takes rounds by the logarithm of its length;
+calls that wait for several take a round for each of their levels.  Calls on a cycle, and
+those that need them, never settle and have none.
 
 Defined cases: ``status`` is ``linked``, ``no_result``, ``no_call`` (a result without a
 call) or ``no_id`` (null identifier or conversation: one row for each conversation,
@@ -35,6 +38,9 @@ from lexloom.session import write_and_read
 # Tool -> argument -> (type, required).
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 
+# Base of a call that never settles.
+NEVER = 1 << 40
+
 # What the type of a JSON value is called.
 KINDS = {
     "string": ("STRING",),
@@ -82,20 +88,38 @@ def levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     needs = write_and_read(needs.join(known, ["conv", "need"], "left"), "needs")
     unknown = needs.filter("known IS NULL").select("conv", "id").distinct()
     needs = needs.filter("known").select("conv", "id", "need")
-    done = write_and_read(
-        calls.select("conv", "id").join(needs, ["conv", "id"], "left_anti").withColumn("level", F.lit(0)), "level"
-    )
-    waiting, depth, settled = needs, 0, [done]
+    most = calls.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    none = calls.select("conv", "id").join(needs, ["conv", "id"], "left_anti")
+    # level(id) = max(base, weight + level(need)) over the rows of an id; need is null where nothing is open.
+    rows = needs.selectExpr("conv", "id", "0L AS base", "need", "1L AS weight").union(
+        none.selectExpr("conv", "id", "0L AS base", "CAST(NULL AS string) AS need", "CAST(NULL AS bigint) AS weight")
+    ).withColumn("told", F.lit(False))
+    settled = []
     while True:
-        last = settled[-1].select("conv", F.col("id").alias("need"), F.lit(True).alias("ready"))
-        marked = write_and_read(waiting.join(last, ["conv", "need"], "left"), "waiting")
-        waiting = marked.filter("ready IS NULL").select("conv", "id", "need")
-        depth += 1
-        freed = marked.filter("ready").select("conv", "id").distinct().join(waiting, ["conv", "id"], "left_anti")
-        freed = write_and_read(freed.withColumn("level", F.lit(depth)), "level")
-        if freed.isEmpty():
+        rows = write_and_read(rows, "needs")
+        nodes = rows.groupBy("conv", "id").agg(
+            F.max("base").alias("base"), F.count("need").alias("n_open"), F.max("need").alias("next"), F.max("weight").alias("step"), F.max("told").alias("told")
+        )
+        nodes = write_and_read(nodes.withColumn("n_open", F.when(F.col("base") >= NEVER, 0).otherwise(F.col("n_open"))), "level")
+        settled.append(nodes.filter((F.col("n_open") == 0) & (F.col("base") < NEVER) & ~F.col("told")).select("conv", "id", F.col("base").cast("int").alias("level")))
+        waiting = rows.filter("need IS NOT NULL").join(nodes.filter("n_open > 0").select("conv", "id"), ["conv", "id"], "left_semi")
+        targets = nodes.select("conv", F.col("id").alias("need"), F.col("base").alias("below"), "n_open", "next", "step")
+        met = waiting.join(targets, ["conv", "need"])
+        weight = F.col("weight") + F.when(F.col("n_open") == 1, F.col("step")).otherwise(0)
+        cyclic = (F.col("n_open") > 0) & (weight > most)
+        need = F.when((F.col("n_open") == 0) | cyclic, F.lit(None)).when(F.col("n_open") == 1, F.col("next")).otherwise(F.col("need"))
+        base = F.when(cyclic, F.lit(NEVER)).otherwise(F.greatest("base", F.col("weight") + F.col("below")))
+        moved = met.select("conv", "id", base.alias("base"), need.alias("need"), F.when(need.isNotNull(), weight).alias("weight"), "n_open")
+        moved = write_and_read(moved, "waiting")
+        # Where all that is needed waits for two or more that wait, each call leads to a cycle.
+        if moved.filter("n_open < 2").isEmpty():
             break
-        settled.append(freed)
+        rows = moved.groupBy("conv", "id", "need").agg(F.max("base").alias("base"), F.max("weight").alias("weight"))
+        rows = rows.select("conv", "id", "base", "need", "weight", F.lit(False).alias("told"))
+        # Settled calls that others were passed on to.
+        asked = moved.filter("need IS NOT NULL").select("conv", F.col("need").alias("id")).distinct()
+        kept = nodes.filter("n_open = 0").join(asked, ["conv", "id"], "left_semi")
+        rows = rows.union(kept.selectExpr("conv", "id", "base", "CAST(NULL AS string)", "CAST(NULL AS bigint)", "true"))
     every = settled[0]
     for part in settled[1:]:
         every = every.union(part)

@@ -307,3 +307,42 @@ def test_a_candidate_is_compared_without_itself(spark):
         secret_scan.log_ratio(v, secret_scan.ratios_of(without)).alias("b"),
     ).first()
     assert row["a"] == pytest.approx(row["b"])
+
+
+def test_levels_by_brute_force(spark, monkeypatch):
+    import random
+
+    rng, needs = random.Random(11), {}
+    for i in range(300):  # a chain
+        needs[1, f"c{i}"] = [f"c{i - 1}"] if i else []
+    for conv in range(2, 30):
+        n = rng.randint(1, 12)
+        for i in range(n):
+            back = [f"c{rng.randint(0, i)}" for _ in range(rng.choice([0, 1, 1, 2, 3]))] if i and rng.random() < 0.9 else []
+            needs[conv, f"c{i}"] = back + ([f"c{rng.randint(0, n)}"] if rng.random() < 0.1 else [])
+
+    want, left = {}, dict(needs)
+    while ready := [k for k, v in left.items() if all((k[0], x) in want or (k[0], x) not in needs for x in v)]:
+        for k in ready:
+            want[k] = max((want[k[0], x] + 1 for x in left.pop(k) if (k[0], x) in needs), default=0)
+    rounds, write = [], tool_calls.write_and_read
+    monkeypatch.setattr(tool_calls, "write_and_read", lambda df, name: (rounds.append(name), write(df, name))[1])
+    got, unknown = tool_calls.levels(spark.createDataFrame([(c, i, n) for (c, i), n in needs.items()], "conv bigint, id string, depends_on array<string>"))
+    assert {(r["conv"], r["id"]): r["level"] for r in got.collect()} == want and left and want[1, "c299"] == 299
+    assert {tuple(r) for r in unknown.collect()} == {k for k, v in needs.items() if any((k[0], x) not in needs for x in v)}
+    assert rounds.count("level") < 20
+
+
+def test_derived_calls_hold_whole_texts_and_whole_chains(spark):
+    import json
+
+    from lexloom.llm import queries
+
+    text = 'quote " back \\ slash\nline é 😀 ' * 9
+    turns = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", text + "x" * (t % 4)) for c in (1, 3, 5) for t in range(40)], "conv_id bigint, turn int, role string, text string")
+    rows = tool_calls.link_calls(queries.derived_calls(turns), queries.derived_results(turns), queries.TOOLS).collect()
+    calls = [json.loads(r["json"])["arguments"] for r in rows if r["conv"] == 1]
+    found = [a.get("query") or a.get("text") or a["options"]["text"] for a in calls]
+    assert len(found) == 20 and all(f.startswith(text) for f in found)
+    assert sorted(r["level"] for r in rows if r["conv"] == 1) == list(range(20))
+    assert any(r["level"] is None and r["id"] is not None for r in rows if r["conv"] == 3)
