@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import compression_rules, decontamination, interpolation_lm, mixing, order_minhash, secret_scan, sharding, token_files, tool_calls, url_filter
+from lexloom.llm import (
+    compression_rules,
+    decontamination,
+    hard_negatives,
+    interpolation_lm,
+    license_templates,
+    mixing,
+    order_minhash,
+    secret_scan,
+    sharding,
+    spelling_variants,
+    token_files,
+    tool_calls,
+    url_filter,
+)
 from lexloom.llm.common import query, table
 from lexloom.session import new_stage_path
 
@@ -185,3 +201,82 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_deleted_interpolation")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation_lm.score_documents(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("op11_spelling_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"), "doc_id")
+
+
+OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id AS id, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM rows a JOIN rows c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
+"""
+
+
+@query("op12_kronecker_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives.mine_hard_negatives(rows, "vec_id % 100 = 0")
+
+
+def _template_pattern(template: str) -> str:
+    """A template as a regular expression over words that each have a space behind them."""
+    out = ""
+    for piece in re.split("(<<[^>]*>>)", template):
+        if not piece.startswith("<<"):
+            out += "".join(f"{w} " for w in license_templates.words_of(piece))
+        elif piece.startswith("<<any"):
+            out += "(?:[^ ]+ ){%s,%s}" % tuple(piece[6:-2].split("-"))
+        else:
+            out += {"<<optional>>": "(?:", "<</optional>>": ")?", "<<choice>>": "(?:", "<<or>>": "|", "<</choice>>": ")"}[piece]
+    return out
+
+
+def _phrase_places_sql() -> str:
+    """Places (from 0) of all phrases in the words ``w``, and the labels found."""
+    tests = []
+    for phrase, label in license_templates.PHRASES.items():
+        words = phrase.split()
+        same = " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(words))
+        tests.append(f"(SELECT list({{'at': i, 'label': '{label}'}}) FROM range(len(w) - {len(words) - 1}) r(i) WHERE {same})")
+    return "list_concat(" + ", ".join(f"coalesce({t}, [])" for t in tests) + ")"
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '{license_templates.WORD}') AS w FROM documents),
+p AS (SELECT doc_id, w, {_phrase_places_sql()} AS p, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d),
+l AS (SELECT *, list_sort(list_distinct(list_transform(p, lambda x: x.label))) AS base,
+  list_filter([{", ".join(f"CASE WHEN regexp_matches(t, ' {_template_pattern(v)}') THEN '{k}' END" for k, v in license_templates.TEMPLATES.items())}],
+    lambda x: x IS NOT NULL) AS own FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base,
+  list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word,
+  array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM l
+"""
+
+
+@query("op13_license_templates", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_templates.scan_licenses(table(spark, sf_dir, "documents"), "doc_id")
+    return found.drop("spans").withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
