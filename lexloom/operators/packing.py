@@ -238,11 +238,15 @@ def balanced_pack(
     size: str | None = None,
 ) -> DataFrame:
     """Length-balanced bins per batch, then packed.  Read ``df`` from a written stage:
-    sizes and arrays are scanned separately."""
+    sizes and arrays are scanned separately.
+
+    Rows with a ``pos_in_batch`` are told apart by it, so keys may be null or repeated.
+    """
     column = next(iter(fill))
+    place = "pos_in_batch" if "pos_in_batch" in df.columns else key
     sized = df.withColumn("__length_of", F.col(size) if size else F.size(column))
-    bins = assign_bins(sized, key, "__length_of", length, batch)
-    return pack_bins(df, bins, key, fill, length, batch, size)
+    bins = assign_bins(sized, place, "__length_of", length, batch)
+    return pack_bins(df, bins, place, fill, length, batch, size)
 
 
 def pad_batches(

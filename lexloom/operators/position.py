@@ -13,26 +13,62 @@ window group is bounded by the bucket widths, whatever the spread of the keys.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from lexloom.session import write_and_read
+
 # Widths of the buckets of a 64-bit key, as bits left of the key: 1,024 rows in a fine
 # bucket, then 2**22 buckets in each coarser one, and 1,024 in all.
 FINE_BITS = 10
 KEY_BITS = (54, 32, FINE_BITS)
-# Lengths of the prefixes that make the buckets of a string key.
-PREFIXES = (4, 8, 16)
+# Buckets of a string key: at each of up to MAX_DEPTH levels a key is compared with FAN - 1 bounds.
+FAN = 32
+MAX_DEPTH = 3
+ROWS_PER_BUCKET = 4096
+SAMPLED_PER_BUCKET = 16
+BOUND_CHARS = 256
+# More files than this are joined to their first positions by sort instead of broadcast.
+BROADCAST_FILES = 100_000
+
+
+def sampled_keys(df: DataFrame, key: str, wanted: int, rows: int) -> list:
+    """About ``wanted`` distinct keys out of ``rows``, four times as many at most, in order.  They are
+    chosen by their hash, so the same table gives the same keys again."""
+    every = max(1, rows // wanted)
+    hashed = F.xxhash64(F.col(key))
+    chosen = df.filter(F.col(key).isNotNull() & (F.pmod(hashed, F.lit(every)) == 0)).select(F.col(key).alias("k")).distinct()
+    return sorted(r.k for r in chosen.orderBy(F.xxhash64("k"), "k").limit(4 * wanted).collect())
 
 
-def key_levels(df: DataFrame, key: str) -> list[Column]:
-    """Buckets of a unique key of any type: of an integer by its value, of a string by prefixes."""
-    if isinstance(df.schema[key].dataType, T.StringType):
-        return [F.substring(key, 1, n) for n in PREFIXES]
-    return integer_levels(key)
+def with_string_levels(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that hold the bucket of a string key, coarse to fine, and their names.
+
+    The bounds are values in the plan: a task that runs again puts a row into the same bucket.
+    """
+    rows = df.select(key).count()
+    depth = 1
+    while depth < MAX_DEPTH and FAN**depth * rows_per_bucket < rows:
+        depth += 1
+    sample = sampled_keys(df, key, FAN**depth * SAMPLED_PER_BUCKET, rows)
+    # A bound is cut: then it comes a little earlier, and buckets are still in key order.
+    bounds = [sample[i * len(sample) // FAN**depth][:BOUND_CHARS] if sample else "" for i in range(FAN**depth)]
+    names: list[str] = []
+    for level in range(depth):
+        width = FAN ** (depth - level - 1)
+        listed = [[bounds[(i * FAN + j) * width] for j in range(1, FAN)] for i in range(FAN**level)]
+        all_bounds = F.from_json(F.lit(json.dumps(listed)), "array<array<string>>")
+        above = F.col(names[-1]) if names else F.lit(0)
+        passed = F.size(F.filter(F.get(all_bounds, above), lambda b: b <= F.col(key)))
+        names.append(f"__bucket{level}")
+        df = df.withColumn(names[-1], above * FAN + F.when(F.col(key).isNull(), 0).otherwise(passed))
+    return df, names
 
 
 def integer_levels(key: str) -> list[Column]:
@@ -117,7 +153,46 @@ def running_totals(
 
 def with_row_position(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
     """Zero-based position of each row in the order of a unique integer or string key, nulls first."""
-    return running_totals(df, {out: F.lit(1)}, [key], key_levels(df, key))
+    if not isinstance(df.schema[key].dataType, T.StringType):
+        return running_totals(df, {out: F.lit(1)}, [key], integer_levels(key))
+    leveled, levels = with_string_levels(df, key)
+    return running_totals(leveled, {out: F.lit(1)}, [key], [F.col(c) for c in levels]).drop(*levels)
+
+
+def _is_whole_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is all rows of parquet files, with columns picked or worked out row by row."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+        return False
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"]).schema
+    except AnalysisException:  # not files, or not of parquet
+        return False
+    return True
+
+
+def with_source_position(df: DataFrame, out: str = "row_no", broadcast_files: int = BROADCAST_FILES) -> DataFrame:
+    """Zero-based position of each row in the order of the files' paths and of the rows in a file.
+
+    Nothing is sorted or moved: a row's place in its file is known to the scan, and a table of
+    one row for each file holds how many rows stand in the files before it.  That table
+    is stored and broadcast up to ``broadcast_files`` files, and joined by sort beyond.  A
+    table that is not a plain scan of parquet files is written first, and numbered there.
+    """
+    if not _is_whole_scan(df):
+        df = write_and_read(df, "in-order")
+    place = df.metadataColumn("_metadata")
+    placed = df.withColumn("__file", place["file_path"]).withColumn("__at", place["row_index"])
+    sizes = placed.groupBy("__file").agg((F.max("__at") + 1).alias("__rows"))
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = write_and_read(sizes.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__base")), "file-bases")
+    small = bases.limit(broadcast_files + 1).count() <= broadcast_files
+    numbered = placed.join(F.broadcast(bases) if small else bases.hint("merge"), "__file")
+    return numbered.select(*df.columns, (F.col("__base") + F.col("__at")).alias(out))
 
 
 def row_count(df: DataFrame) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.position import row_count, with_row_position
+from lexloom.operators.position import row_count, sampled_keys, with_row_position
 
 
 def keep_text(df: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
@@ -32,22 +32,80 @@ def min_length(df: DataFrame, ids: str, n: int) -> DataFrame:
     return df.filter(F.size(ids) >= n)
 
 
+# Keys of a range that is small enough to be sorted as it is, and bounds tried in one pass.
+FEW_KEYS = 100_000
+BOUNDS_TRIED = 32
+
+
+def nth_key(df: DataFrame, key: str, n: int, few: int = FEW_KEYS):
+    """The key of the ``n``-th row (from 1) of a table with more rows, in key order, null for a null key.
+
+    Rows are counted between bounds from a sample of the keys; the range that holds
+    the ``n``-th row is cut again until it is small or holds one key.  Only the key column is
+    read, each pass is one count, and one row for each bound comes back.
+    """
+    keys = df.select(F.col(key).alias("k"))
+    rows, known = keys.agg(F.count(F.lit(1)), F.count("k")).first()
+    if n <= rows - known:
+        return None
+    left, size, inside = n - (rows - known), known, keys.filter("k IS NOT NULL")
+    while size > few:
+        bounds = sampled_keys(inside, "k", BOUNDS_TRIED, size)
+        if not bounds:
+            break
+        listed = F.array(*[F.lit(b) for b in bounds])
+        counted = inside.groupBy(F.size(F.filter(listed, lambda b: b < F.col("k"))).alias("i")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("k").alias("least"), F.max("k").alias("most")
+        )
+        for part in counted.orderBy("i").collect():
+            if left <= part.n:
+                break
+            left -= part.n
+        if part.least == part.most:
+            return part.least
+        if part.n == size:
+            break  # no bound inside this range was sampled
+        size, inside = part.n, keys.filter((F.col("k") >= F.lit(part.least)) & (F.col("k") <= F.lit(part.most)))
+    return inside.orderBy("k").limit(left).agg(F.max("k")).first()[0]
+
+
 def head(df: DataFrame, n: int, key: str) -> DataFrame:
-    """The first ``n`` rows in key order, nulls first; a negative ``n`` keeps all."""
+    """The first ``n`` rows in key order, nulls first; a negative ``n`` keeps all.
+
+    The rows are those of a filter by the ``n``-th key, found beforehand: nothing but the key is
+    read for it and no row is moved.  Only where several rows have that key and some of them
+    are too many, those rows alone are ordered by the other columns (as far as these have an
+    order), and the first are taken.
+    """
     if n < 0:
         return df
-    return with_row_position(df, key, "__pos").filter(F.col("__pos") < n).drop("__pos")
-
-
-def assign_batches(df: DataFrame, key: str, shards: int = 16, batch_size: int = 2024) -> DataFrame:
+    if n == 0 or df.count() <= n:
+        return df if n else df.filter(F.lit(False))
+    last = nth_key(df, key, n)
+    tied = F.col(key).isNull() if last is None else F.col(key) == F.lit(last)
+    before = F.lit(False) if last is None else F.col(key).isNull() | (F.col(key) < F.lit(last))
+    n_before, n_tied = df.agg(F.count_if(before), F.count_if(tied)).first()
+    if n_before + n_tied == n:
+        return df.filter(before | tied)
+    others = [f.name for f in df.schema.fields if f.name != key and "map<" not in f.dataType.simpleString()]
+    return df.filter(before).unionAll(df.filter(tied).orderBy(*others).limit(n - n_before))
+
+
+def assign_batches(
+    df: DataFrame, key: str | None, shards: int = 16, batch_size: int = 2024, pos: str | None = None
+) -> DataFrame:
     """Contiguous shards of almost equal size, and consecutive batches inside each.
 
+    With ``pos``, a column that already holds the row positions, no key is needed and no
+    row is moved.
+
     Adds ``shard``, ``batch_id`` (consecutive over all shards), ``pos_in_batch``
     and ``batch_rows``.  The first ``n mod shards`` shards have one row more.
     """
     if shards < 1 or batch_size < 1:
         raise ValueError("shards and batch_size must be positive")
-    out = with_row_position(df, key, "__pos").withColumn("__n", row_count(df))
+    out = df.withColumn("__pos", F.col(pos)) if pos else with_row_position(df, key, "__pos")
+    out = out.withColumn("__n", row_count(df))
     n, pos = F.col("__n"), F.col("__pos")
     small = F.floor(n / shards)
     extra = n % shards

@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from lexloom.operators.position import FINE_BITS, hash_levels, row_count, running_totals, with_row_position
 
 
-def permute(df: DataFrame, key: str, seed: int = 0, epoch: int = 0, out: str = "perm_pos") -> DataFrame:
-    """A repeatable random position for every row; another epoch gives another order."""
-    hashed = df.withColumn("__hash", F.md5(F.concat_ws("|", F.lit(str(seed + epoch)), F.col(key).cast("string"))))
-    placed = running_totals(hashed, {out: F.lit(1)}, ["__hash", key], hash_levels("__hash"))
+def permute(df: DataFrame, key: str, seed: int = 0, epoch: int | Column = 0, out: str = "perm_pos", within: Sequence[str] = ()) -> DataFrame:
+    """A repeatable random position for every row; another epoch gives another order.
+
+    ``epoch`` may be a column; with ``within`` each of these groups has an order of its own.
+    """
+    salt = F.lit(str(seed + epoch)) if isinstance(epoch, int) else (F.lit(seed) + epoch).cast("string")
+    hashed = df.withColumn("__hash", F.md5(F.concat_ws("|", salt, F.col(key).cast("string"))))
+    placed = running_totals(hashed, {out: F.lit(1)}, ["__hash", key], hash_levels("__hash"), within)
     return placed.drop("__hash")
 
 
@@ -37,6 +41,7 @@ def sort_in_mega_batches(
     pos: str = "perm_pos",
     out: str = "flat_pos",
     n: Column | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Longest first inside each mega-batch, null lengths last, equal lengths in permutation order.
 
@@ -52,7 +57,7 @@ def sort_in_mega_batches(
         {"__rank": F.lit(1)},
         ["__shorter", pos],
         [F.col("__shorter"), F.shiftright(pos, FINE_BITS)],
-        within=["mega"],
+        within=[*within, "mega"],
     )
     return ranked.withColumn(out, (base + F.col("__rank")).cast("bigint")).drop("__rank", "__mega_size", "__shorter")
 
@@ -113,6 +118,30 @@ def grouped_sampler(
     return shared if rank is None else shared.filter(F.col("rank") == rank)
 
 
+def grouped_sampler_of_epochs(
+    df: DataFrame,
+    key: str,
+    length: str,
+    ranks: int,
+    epochs: int,
+    mega_size: int | None = None,
+    seed: int = 0,
+    drop_last: bool = False,
+) -> DataFrame:
+    """``grouped_sampler`` for epochs 0 … ``epochs - 1`` at once, with a column ``epoch``.
+
+    The table is scanned once and the plan is that of one epoch: an epoch is one more level of
+    grouping for the permutation and for the order inside mega-batches.
+    """
+    check_rank(None, ranks)
+    n = row_count(df)
+    every = repeat_epochs(df.select(key, length), epochs)
+    permuted = permute(every, key, seed, F.col("epoch"), within=["epoch"])
+    flat = sort_in_mega_batches(permuted, length, mega_size, n=n, within=["epoch"]).select("epoch", key, "flat_pos")
+    shared = stride(even_out(flat, ranks, drop_last, n=n), ranks)
+    return shared.withColumn("per_rank", samples_per_rank(n, ranks, drop_last))
+
+
 def plain_sampler(df: DataFrame, key: str, ranks: int, rank: int | None = None) -> DataFrame:
     """Row order, truncated to equal shares, dealt out in turn."""
     check_rank(rank, ranks)
@@ -158,15 +187,17 @@ def assign_rank_batches(df: DataFrame, batch_size: int) -> DataFrame:
     )
 
 
-def collate(assigned: DataFrame, rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """One row per (rank, batch): each column becomes the list of its values in order.
+def collate(
+    assigned: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = ("rank", "batch")
+) -> DataFrame:
+    """One row per batch, named by the columns ``by``: each column becomes the list of its values in order.
 
     A group holds one batch, so it is as small as the batch size.
     """
-    placed = assigned.select("rank", "batch", "idx", key).join(rows.select(key, *columns), key)
+    placed = assigned.select(*by, "idx", key).join(rows.select(key, *columns), key)
     members = F.sort_array(F.collect_list(F.struct("idx", *columns)))
-    grouped = placed.groupBy("rank", "batch").agg(members.alias("__rows"))
-    return grouped.select("rank", "batch", *[F.col(f"__rows.{c}").alias(c) for c in columns])
+    grouped = placed.groupBy(*by).agg(members.alias("__rows"))
+    return grouped.select(*by, *[F.col(f"__rows.{c}").alias(c) for c in columns])
 
 
 def repeat_epochs(df: DataFrame, n: int) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +92,8 @@ def training_batches(
 ) -> DataFrame:
     """``epoch``, ``rank``, ``batch`` and lists of rows: what every worker reads, in order.
 
-    Each epoch has its own permutation, or with ``reseed=False`` repeats the first.
-    ``rows`` should be a written stage: every epoch scans it several times.
+    Each epoch has its own permutation, or with ``reseed=False`` repeats the first.  All epochs
+    are one plan.  ``rows`` should be a written stage: keys and lengths are read before the rows.
     """
     if max_examples > 0:
         rows = relational.head(rows, max_examples, key)
@@ -102,13 +101,10 @@ def training_batches(
     columns = [c for c in rows.columns if c != key]
     sized = relational.with_length(rows, "input_ids")
 
-    def one_epoch(epoch: int) -> DataFrame:
-        assigned = sampling.grouped_sampler(
-            sized, key, "length", ranks, mega_size=mega_size, seed=seed, epoch=epoch, drop_last=True
-        )
-        batches = sampling.assign_rank_batches(assigned, batch_size)
-        return sampling.collate(batches, rows, key, columns).withColumn("epoch", F.lit(epoch))
-
+    names = ["epoch", "rank", "batch"]
+    options = {"mega_size": mega_size, "seed": seed, "drop_last": True}
     if not reseed:
-        return sampling.repeat_epochs(one_epoch(0).drop("epoch"), epochs)
-    return reduce(DataFrame.unionByName, [one_epoch(e) for e in range(epochs)])
+        assigned = sampling.assign_rank_batches(sampling.grouped_sampler(sized, key, "length", ranks, **options), batch_size)
+        return sampling.repeat_epochs(sampling.collate(assigned, rows, key, columns), epochs)
+    assigned = sampling.grouped_sampler_of_epochs(sized, key, "length", ranks, epochs, **options)
+    return sampling.collate(sampling.assign_rank_batches(assigned, batch_size), rows, key, columns, names)

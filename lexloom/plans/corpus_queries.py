@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import clean_text
+from lexloom.operators import packing
+from lexloom.operators.bpe_encoding import encode
+from lexloom.operators.position import with_source_position
+from lexloom.operators.relational import assign_batches
 from lexloom.operators.sampling import split_train_eval
-from lexloom.operators.tokenizer import EOS
+from lexloom.operators.tokenizer import EOS, PAD
 from lexloom.plans import corpus
-from lexloom.plans.packing_queries import joined
+from lexloom.plans.packing_queries import BATCH, SHARDS, THRESHOLD, constant_ctes, joined
+from lexloom.plans import sql
 from lexloom.plans.registry import query, spread, table
-from lexloom.plans.tokenizer_queries import ENCODED_SQL, TRAINED_SQL, trained
+from lexloom.plans.tokenizer_queries import ENCODED_SQL, TRAINED_SQL, WORD_RE, marked, trained, trained_sql
 from lexloom.session import write_and_read
 
 SETTINGS = corpus.CorpusSettings(seq_length=128, shards=4, batch_size=60)
@@ -45,3 +51,34 @@ def prepared_training_batches(spark: SparkSession, folder: str) -> DataFrame:
     return batches.select(
         "epoch", "rank", "batch", F.array_join(F.transform("input_ids", lambda r: joined(r)), "|").alias("rows")
     )
+
+
+TURN_LENGTH = 512
+# Words of the turns take part in the replay of the merges with a count of 0.
+TURN_WORDS = f"""turns as materialized (
+  select row_no, regexp_extract_all({marked('t')}, {WORD_RE}) as ws
+  from (select row_number() over () - 1 as row_no, {sql.clean('text')} as t from conversations)),"""
+
+
+@query(
+    "conversation_pack",
+    trained_sql(TURN_WORDS, "select unnest(ws) as word from turns").rstrip()
+    + f""",
+places as (select row_no, unnest(ws) as word, unnest(range(len(ws))) as i from turns),
+turn_ids as (
+  select t.row_no, coalesce(e.ids, []) as ids from turns t left join (
+    select p.row_no, flatten(list(w.ids order by p.i)) as ids from places p join word_ids w using (word) group by p.row_no) e
+  using (row_no)),
+{constant_ctes('turn_ids', 'row_no', TURN_LENGTH, f"(select id from vocab where token = '{EOS}')", f"(select id from vocab where token = '{PAD}')")}
+select batch_id, row_no, array_to_string(ids, ',') as ids, array_to_string(mask, ',') as mask from packed""",
+)
+def conversation_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """A table without a unique key: cleaned, encoded and packed in the order of its files."""
+    tok = trained(spark, folder)
+    turns = with_source_position(table(spark, folder, "conversations").select("text"))
+    turns = turns.withColumn("text", clean_text(F.col("text")))
+    encoded = encode(turns, "row_no", "text", tok, ascii_only=True).select("row_no", "input_ids", "attention_mask")
+    batched = assign_batches(write_and_read(encoded, "encoded"), None, SHARDS, BATCH, pos="row_no")
+    fill = packing.fill_values(["input_ids", "attention_mask"], tok.id_of(EOS), tok.id_of(PAD))
+    rows = packing.constant_length_pack(batched.withColumnRenamed("row_no", "turn"), "turn", fill, TURN_LENGTH, THRESHOLD)
+    return rows.select("batch_id", "row_no", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask"))

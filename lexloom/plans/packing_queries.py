@@ -67,35 +67,39 @@ def chunk_several_columns(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_no", joined("ids").alias("ids"), joined("places").alias("places"))
 
 
-CONSTANT_SQL = f"""with {sql.IDS},
-{sql.batches('ids', 'doc_id', SHARDS, BATCH)},
+def constant_ctes(source: str, key: str, length: int = LENGTH, eos: str = str(EOS), pad: str = str(PAD)) -> str:
+    """``packed``: the rows of each batch of ``source``, which has ``key`` and ``ids``, in ``key`` order."""
+    return f"""{sql.batches(source, key, SHARDS, BATCH)},
 flagged as (
-  select *, abs(len(ids) - {LENGTH}) <= {THRESHOLD} as alone,
-         count(*) filter (where abs(len(ids) - {LENGTH}) <= {THRESHOLD}) over (partition by batch_id) as n_alone
+  select *, abs(len(ids) - {length}) <= {THRESHOLD} as alone,
+         count(*) filter (where abs(len(ids) - {length}) <= {THRESHOLD}) over (partition by batch_id) as n_alone
   from batched),
 alone_rows as (
-  select batch_id, row_number() over (partition by batch_id order by doc_id) - 1 as row_no,
-         list_concat(ids, list_transform(range(greatest({LENGTH} - len(ids), 0)), lambda x: {PAD})) as ids,
+  select batch_id, row_number() over (partition by batch_id order by {key}) - 1 as row_no,
+         list_concat(ids, list_transform(range(greatest({length} - len(ids), 0)), lambda x: {pad})) as ids,
          list_concat(list_transform(ids, lambda x: 1),
-                     list_transform(range(greatest({LENGTH} - len(ids), 0)), lambda x: 0)) as mask
+                     list_transform(range(greatest({length} - len(ids), 0)), lambda x: 0)) as mask
   from flagged where alone),
 stream as (
-  select batch_id, n_alone, doc_id, unnest(list_append(ids, {EOS})) as id,
+  select batch_id, n_alone, {key}, unnest(list_append(ids, {eos})) as id,
          unnest(range(len(ids) + 1)) as i from flagged where not alone),
 placed as (
-  select *, row_number() over (partition by batch_id order by doc_id, i) - 1 as pos from stream),
+  select *, row_number() over (partition by batch_id order by {key}, i) - 1 as pos from stream),
 cut as (
-  select batch_id, n_alone + pos // {LENGTH} as row_no, list(id order by pos) as ids
-  from placed group by batch_id, n_alone, pos // {LENGTH}),
+  select batch_id, n_alone + pos // {length} as row_no, list(id order by pos) as ids
+  from placed group by batch_id, n_alone, pos // {length}),
 cut_rows as (
   select batch_id, row_no,
-         list_concat(ids, list_transform(range({LENGTH} - len(ids)), lambda x: {PAD})) as ids,
-         list_concat(list_transform(ids, lambda x: 1), list_transform(range({LENGTH} - len(ids)), lambda x: 0)) as mask
+         list_concat(ids, list_transform(range({length} - len(ids)), lambda x: {pad})) as ids,
+         list_concat(list_transform(ids, lambda x: 1), list_transform(range({length} - len(ids)), lambda x: 0)) as mask
   from cut),
 packed as (select * from alone_rows union all select * from cut_rows)
 """
 
 
+CONSTANT_SQL = f"with {sql.IDS},\n{constant_ctes('ids', 'doc_id')}"
+
+
 def constant_rows(spark: SparkSession, folder: str, **options) -> DataFrame:
     docs = batched_ids(spark, folder).withColumn("attention_mask", F.transform("ids", lambda _: F.lit(1)))
     fill = packing.fill_values(["ids", "attention_mask"], EOS, PAD, mask_compat=options.pop("mask_compat", False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import relational as rel
+from lexloom.operators.position import with_row_position, with_source_position
 from lexloom.plans import sql
 from lexloom.plans.registry import query, table
 
@@ -53,6 +54,52 @@ def head_limit(spark: SparkSession, folder: str) -> DataFrame:
     return rel.head(table(spark, folder, "documents").select("doc_id", "text"), 100, "doc_id")
 
 
+@query(
+    "head_limit_ties",
+    """select k, doc_id, text from (
+      select case when doc_id % 7 = 0 then null else lang end as k, doc_id, text from documents)
+    order by k nulls first, doc_id limit 300""",
+)
+def head_limit_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """A key that many rows share and some lack: the tied rows are taken by their other columns."""
+    lang = F.when(F.col("doc_id") % 7 != 0, F.col("lang"))
+    return rel.head(table(spark, folder, "documents").select(lang.alias("k"), "doc_id", "text"), 300, "k")
+
+
+STRING_KEY = "concat('document-', lpad(cast(doc_id * 7919 % 1000003 as varchar(20)), 12, '0'))"
+
+
+@query("head_limit_string", f"select {STRING_KEY} as k, text from documents order by k limit 150")
+def head_limit_string(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.expr(STRING_KEY).alias("k"), "text")
+    return rel.head(docs, 150, "k")
+
+
+LINE_KEY = "concat('order-', lpad(cast(l_orderkey as varchar(20)), 12, '0'), '-line-', cast(l_linenumber as varchar(20)))"
+
+
+@query(
+    "string_key_position",
+    f"select k, row_number() over (order by k) - 1 as pos from (select {LINE_KEY} as k from lineitem)",
+)
+def string_key_position(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that share their first characters."""
+    return with_row_position(table(spark, folder, "lineitem").select(F.expr(LINE_KEY).alias("k")), "k")
+
+
+@query(
+    "source_order_batches",
+    f"""with turns as (select row_number() over () - 1 as row_no, text from conversations),
+{sql.batches('turns', 'row_no', SHARDS, BATCH)}
+select row_no, text, shard::bigint as shard, batch_id, pos_in_batch from batched""",
+)
+def source_order_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """A table without a unique key, batched in the order of its files: no row is moved."""
+    turns = with_source_position(table(spark, folder, "conversations").select("text"))
+    rows = rel.assign_batches(turns, None, SHARDS, BATCH, pos="row_no")
+    return rows.select("row_no", "text", *[F.col(c).cast("bigint").alias(c) for c in ("shard", "batch_id", "pos_in_batch")])
+
+
 @query(
     "shard_and_batch",
     f"""with {sql.batches('documents', 'doc_id', SHARDS, BATCH)}

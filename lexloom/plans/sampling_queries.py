@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators import permutation as keyed
 from lexloom.operators import sampling as sp
-from lexloom.operators.position import with_row_position
+from lexloom.operators.position import with_row_position, with_source_position
 from lexloom.plans import sql
 from lexloom.plans.packing_queries import word_ids
 from lexloom.plans.registry import query, table
@@ -189,6 +190,93 @@ def collate_batches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+EPOCHS = 20
+ALL_EPOCHS = f"""every as (select epoch, doc_id, n_chars from documents, range({EPOCHS}) as e(epoch)),
+shuffled as (
+  select *, row_number() over (partition by epoch order by md5(({SEED} + epoch) || '|' || doc_id), doc_id) - 1 as perm_pos
+  from every),
+flat as (
+  select epoch, doc_id, (perm_pos // {MEGA}) * {MEGA}
+      + row_number() over (partition by epoch, perm_pos // {MEGA} order by n_chars desc, perm_pos) - 1 as flat_pos
+  from shuffled),
+counts as (select count(*) as n from documents),
+evened as (
+  select epoch, doc_id, flat_pos from flat, counts
+  where flat_pos < case when n % {RANKS} = 0 then n else ((n - 1) // {RANKS}) * {RANKS} end)"""
+
+
+def of_all_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lengths(spark, folder)
+    return sp.grouped_sampler_of_epochs(rows, "doc_id", "n_chars", RANKS, EPOCHS, MEGA, SEED, drop_last=True)
+
+
+@query(
+    "grouped_sampler_of_epochs",
+    f"with {ALL_EPOCHS} select epoch, doc_id, flat_pos % {RANKS} as rank, flat_pos // {RANKS} as idx from evened",
+)
+def grouped_sampler_of_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    return as_bigint(of_all_epochs(spark, folder).select("epoch", "doc_id", "rank", "idx"))
+
+
+@query(
+    "collate_batches_of_epochs",
+    f"""with {ALL_EPOCHS}, {sql.IDS},
+    ranked as (select epoch, doc_id, flat_pos % {RANKS} as rank, flat_pos // {RANKS} as idx from evened),
+    batched as (
+      select *, idx // {BATCH} as batch from ranked
+      qualify count(*) over (partition by epoch, rank, idx // {BATCH}) = {BATCH})
+    select epoch, rank, batch, md5(string_agg(array_to_string(ids, ','), '|' order by idx)) as rows,
+      string_agg(doc_id, ',' order by idx) as doc_ids
+    from batched join ids using (doc_id) group by epoch, rank, batch""",
+)
+def collate_batches_of_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """The batches of all epochs out of one plan: each epoch in its own order."""
+    docs = word_ids(spark, folder).withColumn("doc", F.col("doc_id"))
+    assigned = sp.assign_rank_batches(of_all_epochs(spark, folder), BATCH)
+    rows = sp.collate(assigned, docs, "doc_id", ["ids", "doc"], ["epoch", "rank", "batch"])
+    text = F.transform("ids", lambda r: F.array_join(F.transform(r, lambda i: i.cast("string")), ","))
+    return rows.select(
+        F.col("epoch").cast("bigint").alias("epoch"),
+        F.col("rank").cast("bigint").alias("rank"),
+        "batch",
+        F.md5(F.array_join(text, "|")).alias("rows"),
+        F.array_join(F.transform("doc", lambda i: i.cast("string")), ",").alias("doc_ids"),
+    )
+
+
+DONE = 3
+
+
+def permuted_sql(source: str, seed: int) -> str:
+    """One pass of the keyed permutation over column ``v`` of ``source``; ``side`` and ``n`` are its columns."""
+    p = keyed.PRIME
+    text = f"select row_no, n, side, v // side as l, v % side as r from {source}"
+    for factor, addend in keyed.round_keys(seed):
+        line = f"((r * {factor} + {addend}) % {p})"
+        text = f"select row_no, n, side, r as l, (l + {line} * {line} % {p} + r * {addend} % {p}) % side as r from ({text})"
+    return f"select row_no, n, side, l * side + r as v from ({text})"
+
+
+@query(
+    "resume_by_inverse",
+    f"""with recursive counted as (
+      select row_number() over () - 1 as row_no, doc_id, text, count(*) over () as n from documents),
+    start as (select row_no, n, ceil(sqrt(n))::bigint as side, row_no as v from counted),
+    walk as (
+      {permuted_sql('start', SEED + EPOCH)}
+      union all
+      {permuted_sql('(select * from walk where v >= n)', SEED + EPOCH)})
+    select v % {RANKS} as rank, v // {RANKS * BATCH} as batch, v // {RANKS} as idx, doc_id, text
+    from walk join counted using (row_no)
+    where v < walk.n and v >= {DONE * RANKS * BATCH} and v < (walk.n // {RANKS} // {BATCH}) * {RANKS * BATCH}""",
+)
+def resume_by_inverse(spark: SparkSession, folder: str) -> DataFrame:
+    """The batches still to come of a stopped epoch, from their numbers alone."""
+    docs = with_source_position(table(spark, folder, "documents").select("doc_id", "text"), "pos")
+    rows = keyed.batch_rows(spark, docs.count(), RANKS, BATCH, SEED, EPOCH, first_batch=DONE)
+    return rows.join(docs, "pos").select(*[F.col(c).cast("bigint").alias(c) for c in ("rank", "batch", "idx")], "doc_id", "text")
+
+
 BATCH_LIST = f"{BATCHED}, batches as (select distinct rank, batch from batched)"
 
 

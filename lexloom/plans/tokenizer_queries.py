@@ -15,7 +15,7 @@ from lexloom.plans.registry import query, spread, table
 from lexloom.session import new_stage_path, write_and_read
 from lexloom.sources import stages
 
-VOCAB_SIZE, MIN_FREQUENCY = 80, 10
+VOCAB_SIZE, MIN_FREQUENCY = 300, 10
 FIRST_MERGED = bpe.FIRST_MERGED
 
 WORD_RE = f"'{tk.WORD_PATTERN}'"
@@ -36,22 +36,51 @@ characters as materialized (select distinct unnest(string_split(word, '')) as ch
 alphabet as materialized (
   select row_number() over (order by unicode(ch)) + {len(tk.TRAINED_SPECIALS) - 1} as id, ch as token from characters)"""
 
-# One merge per step over all words; a merged symbol is numbered above all code points.
-TRAINED_SQL = f"""with recursive {ALPHABET_SQL},
-state as (
-  select 0 as step, word, cnt, 0 as l, 0 as r,
-         array_to_string(list_transform(string_split(word, ''), lambda c: ' ' || unicode(c) || ' '), '') as syms
-  from words
-  union all
-  select s.step + 1, s.word, s.cnt, b.l, b.r,
-         replace(s.syms, ' ' || b.l || '  ' || b.r || ' ', ' ' || ({FIRST_MERGED} + s.step) || ' ')
-  from state s, (
-    select p[1]::int as l, p[2]::int as r from (
-      select unnest(list_zip(x[:-2], x[2:])) as p, cnt
-      from (select string_split(trim(syms), '  ')::int[] as x, cnt from state) where len(x) > 1)
-    group by 1, 2 having sum(cnt) >= {MIN_FREQUENCY} order by sum(cnt) desc, 1, 2 limit 1) b
-  where s.step < {VOCAB_SIZE} - {len(tk.TRAINED_SPECIALS)} - (select count(*) from alphabet)),
-steps as materialized (select distinct step, l, r from state where step > 0),
+
+
+def symbol_pairs(syms: str) -> str:
+    return f"unnest(list_zip(string_split(trim({syms}), '  ')[:-2], string_split(trim({syms}), '  ')[2:]))"
+
+
+def trained_sql(more_ctes: str = "", more_words: str | None = None) -> str:
+    """One merge per step; a merged symbol is numbered above all code points.
+
+    The state keeps a row for each word, each pair and each step, replaced where a merge changes
+    it.  ``more_words`` (of one column ``word``) are merged too, but not counted.
+    """
+    extra = f"union all select word, 0 from ({more_words}) where word not in (select word from words) group by word" if more_words else ""
+    room = f"{VOCAB_SIZE} - {len(tk.TRAINED_SPECIALS)} - (select count(*) from alphabet)"
+    pair = "' ' || b.l || '  ' || b.r || ' '"
+    return f"""with recursive {ALPHABET_SQL},
+{more_ctes}
+all_words as materialized (
+  select word, cnt, array_to_string(list_transform(string_split(word, ''), lambda c: ' ' || unicode(c) || ' '), '') as syms
+  from (select word, cnt from words {extra})),
+state(kind, id, cnt, l, r, syms) using key (kind, id) as (
+  select 'word' as kind, word as id, cnt::bigint as cnt, 0 as l, 0 as r, syms from all_words
+  union
+  select 'pair', p[1] || ' ' || p[2], sum(cnt)::bigint, p[1]::int, p[2]::int, '' from (
+    select {symbol_pairs('syms')} as p, cnt from all_words where cnt > 0) group by p
+  union
+  select * from (
+    with b as materialized (
+      select l, r, step from (
+        select l, r from recurring.state where kind = 'pair' and cnt >= {MIN_FREQUENCY} order by cnt desc, l, r limit 1),
+        (select count(*) as step from recurring.state where kind = 'step') where step < {room}),
+    changed as materialized (
+      select s.id, s.cnt, s.syms as old, replace(s.syms, {pair}, ' ' || ({FIRST_MERGED} + b.step) || ' ') as new
+      from recurring.state s, b where s.kind = 'word' and contains(s.syms, {pair}))
+    select 'word', id, cnt, 0, 0, new from changed
+    union all
+    select 'pair', d.id, (d.n + coalesce(o.cnt, 0))::bigint, d.l, d.r, '' from (
+      select p[1] || ' ' || p[2] as id, p[1]::int as l, p[2]::int as r, sum(cnt) as n from (
+        select {symbol_pairs('old')} as p, -cnt as cnt from changed where cnt > 0
+        union all
+        select {symbol_pairs('new')} as p, cnt from changed where cnt > 0) group by p) d
+      left join (select id, cnt from recurring.state where kind = 'pair') o on o.id = d.id
+    union all
+    select 'step', step::varchar, step + 1, l, r, '' from b)),
+steps as materialized (select cnt as step, l, r from state where kind = 'step'),
 learned as (
   select 0 as step, []::varchar[] as tokens
   union all
@@ -69,16 +98,19 @@ vocab as materialized (
   union all select {len(tk.TRAINED_SPECIALS)} + (select count(*) from alphabet) + (select len(tokens) from merged),
     '{tk.EOS}', true),
 word_ids as materialized (
-  select word, list(case when c < {FIRST_MERGED} then id
+  select word, list(case when c < {FIRST_MERGED} then coalesce(id, 0)
       else {len(tk.TRAINED_SPECIALS)} + (select count(*) from alphabet) + c - {FIRST_MERGED} end order by i) as ids
   from (select word, unnest(string_split(trim(syms), '  ')::int[]) as c,
                unnest(range(len(string_split(trim(syms), '  ')))) as i
-        from state where step = (select max(step) from state))
+        from (select id as word, syms from state where kind = 'word'))
     left join (select id, unicode(token) as code from alphabet) on code = c
   group by word)
 """
 
 
+TRAINED_SQL = trained_sql()
+
+
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", clean_text(F.col("text")).alias("text"))
@@ -126,7 +158,7 @@ def initial_alphabet(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PAIRS_SQL = f"""with {WORDS_SQL},
-pairs as (
+pairs as materialized (
   select p[1] as l, p[2] as r, sum(cnt)::bigint as n from (
     select unnest(list_zip(x[:-2], x[2:])) as p, cnt
     from (select list_transform(string_split(word, ''), lambda c: unicode(c)) as x, cnt from words) where len(x) > 1)
@@ -136,13 +168,13 @@ pairs as (
 @query("pair_counts", f"{PAIRS_SQL} select l, r, n from pairs")
 def pair_counts(spark: SparkSession, folder: str) -> DataFrame:
     state = word_table(spark, folder).select(bpe.as_symbols(F.col("word")).alias("symbols"), "cnt")
-    pairs = bpe.count_pairs(bpe.count_runs(bpe.extract_runs(state)))
+    pairs = bpe.count_pairs(state)
     return pairs.select(F.col("a").alias("l"), F.col("b").alias("r"), "n")
 
 
 @query(
     "merge_step",
-    f"""{PAIRS_SQL}, best as (select l, r from pairs order by n desc, l, r limit 1)
+    f"""{PAIRS_SQL}, best as materialized (select l, r from pairs order by n desc, l, r limit 1)
     select word, replace(
       array_to_string(list_transform(string_split(word, ''), lambda c: ' ' || unicode(c) || ' '), ''),
       ' ' || l || '  ' || r || ' ', ' {FIRST_MERGED} ') as symbols
@@ -151,7 +183,7 @@ def pair_counts(spark: SparkSession, folder: str) -> DataFrame:
 def merge_step(spark: SparkSession, folder: str) -> DataFrame:
     """The first merge, on every word."""
     state = word_table(spark, folder).select("word", bpe.as_symbols(F.col("word")).alias("symbols"), "cnt")
-    pairs = bpe.count_pairs(bpe.count_runs(bpe.extract_runs(state)))
+    pairs = bpe.count_pairs(state)
     best = pairs.orderBy(F.desc("n"), "a", "b").first()
     return state.select("word", bpe.merge_symbols(F.col("symbols"), best.a, best.b, FIRST_MERGED).alias("symbols"))
 

@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -37,11 +41,65 @@ def test_small_trainings(spark, texts, merges, batched):
     assert list(tok.merges) == merges
 
 
-def test_certain_prefix():
-    pairs = [bpe.Pair(1, 2, 10, 3), bpe.Pair(3, 4, 9, 8), bpe.Pair(5, 6, 8, 0), bpe.Pair(7, 8, 7, 0)]
-    assert bpe.certain_prefix(pairs, lambda p: False) == pairs[:2]
-    assert bpe.certain_prefix(pairs, lambda p: p.left == 3) == pairs[:1]
-    assert bpe.certain_prefix([bpe.Pair(1, 1, 5, 0), *pairs], lambda p: False) == [bpe.Pair(1, 1, 5, 0)]
+def brute_force_log(words, merges):
+    """Change of every pair count by each merge, over plain lists of codes."""
+
+    def count(words):
+        pairs = Counter()
+        for codes, n in words:
+            for pair in zip(codes, codes[1:]):
+                pairs[pair] += n
+        return pairs
+
+    log = []
+    for left, right, code in merges:
+        after = []
+        for codes, n in words:
+            out = []
+            for c in codes:
+                if out and (out[-1], c) == (left, right):
+                    out[-1] = code
+                else:
+                    out.append(c)
+            after.append((out, n))
+        one, two = count(words), count(after)
+        log.append({p: two[p] - one[p] for p in one | two if two[p] != one[p]})
+        words = after
+    return log, words
+
+
+def test_merging_reports_every_changed_count():
+    rng = random.Random(4)
+    words = [([rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(1, 12))], rng.randint(1, 9)) for _ in range(300)]
+    merges = [(1, 1, 10), (10, 2, 11), (10, 10, 12), (3, 1, 13), (2, 3, 14), (7, 7, 15)]
+    expected, after = brute_force_log(words, merges)
+    batch = pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.list_(pa.int32())), pa.array([n for _, n in words])], names=["symbols", "cnt"])
+    log = [{} for _ in merges]
+    for part in bpe.change_log([], merges)(iter([batch])):
+        for row in part.to_pylist():
+            log[row["step"]][row["left"], row["right"]] = row["change"]
+    assert log == expected
+    rewritten = [r for part in bpe.rewriter(merges)(iter([batch])) for r in part.to_pylist()]
+    assert [(r["symbols"], r["cnt"]) for r in rewritten] == after
+
+
+def test_known_pairs_are_sure_of_the_first_only():
+    known = bpe.KnownPairs([(1, 2, 9), (3, 4, 7), (5, 6, 7)], limit=3, least=2)
+    assert known.best() == (-9, 1, 2)
+    assert known.leading(2) == [(-9, 1, 2), (-7, 3, 4)] and known.best() == (-9, 1, 2)
+    known.change([(1, 2, -9), (3, 4, -1), (8, 20, 7), (20, 1, 8), (20, 2, 1), (4, 1, 50)], 20, lambda a, b: True)
+    # (3, 4) fell behind the last known pair, (8, 20) comes behind it, (4, 1) was not known before.
+    assert known.count == {(5, 6): 7, (20, 1): 8} and known.best() == (-8, 20, 1)
+    known.change([(20, 1, -8), (5, 6, -1)], 21, lambda a, b: True)
+    assert known.best() is None
+
+
+def test_result_does_not_depend_on_what_the_driver_holds(spark, small):
+    texts = spark.read.parquet(f"{small}/documents.parquet").select(clean_text(F.col("text")).alias("text"))
+    words = tk.count_words(texts, "text", True).persist()
+    one = bpe.train_bpe(words, 180, 4)
+    assert one == bpe.train_bpe(words, 180, 4, known_pairs=25, guess_words=40, merges_per_base=11)
+    assert len(one) == 180
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +110,14 @@ def cleaned(spark, small):
 
 @pytest.fixture(scope="module")
 def trained(spark, cleaned):
-    return bpe.train_bpe(tk.count_words(cleaned, "text", True), 110, 4, max_token_length=6)
+    before = jobs_so_far(spark)
+    tok = bpe.train_bpe(tk.count_words(cleaned, "text", True), 1000, 2, max_token_length=8)
+    assert jobs_so_far(spark) - before < 0.5 * len(tok.merges)
+    return tok
+
+
+def jobs_so_far(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
 
 
 @pytest.fixture(scope="module")
@@ -65,10 +130,10 @@ def public(cleaned):
     )
     tok.decoder = lib.decoders.Metaspace()
     trainer = lib.trainers.BpeTrainer(
-        vocab_size=110,
-        min_frequency=4,
+        vocab_size=1000,
+        min_frequency=2,
         special_tokens=list(tk.TRAINED_SPECIALS),
-        max_token_length=6,
+        max_token_length=8,
         show_progress=False,
     )
     tok.train_from_iterator([r.text for r in cleaned.collect()], trainer)
@@ -77,7 +142,7 @@ def public(cleaned):
 
 def test_vocabulary_equals_the_public_library(trained, public):
     assert {t: i for i, t in enumerate(trained.tokens)} == public.get_vocab()
-    assert max(len(t) for t in trained.tokens if t not in trained.specials) < 6
+    assert len(trained) == 1000 and max(len(t) for t in trained.tokens if t not in trained.specials) < 8
 
 
 def test_ids_and_text_equal_the_public_library(spark, cleaned, trained, public):

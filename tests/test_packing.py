@@ -126,3 +126,12 @@ def test_padding(spark):
     assert to_two == [[1, 0], [1, 2, 3]]
     longest = sorted(r.ids for r in pk.pad_batches(df, "ids", None).collect())
     assert longest == [[1, 0, 0], [1, 2, 3]]
+
+
+def test_balanced_pack_with_null_and_repeated_keys(spark):
+    rows = [(None if i % 5 == 0 else i // 3, 0, i, [i] * (i % 6)) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, batch_id int, pos_in_batch int, ids array<int>")
+    packed = pk.balanced_pack(df, "k", {"ids": (-1, -2)}, 8).collect()
+    tokens = sorted(t for r in packed for t in r.ids if t >= 0)
+    assert tokens == sorted(i for i in range(30) for _ in range(i % 6))
+    assert sum(t == -1 for r in packed for t in r.ids) == 30 and all(len(r.ids) == 8 for r in packed)

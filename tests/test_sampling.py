@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.operators import permutation
 from lexloom.operators import sampling as sp
 
 
@@ -72,3 +73,41 @@ def test_batches_keep_their_order(spark):
     assert [(r.rank, r.batch, r.v) for r in got] == [
         (k, b, [(b * 5 + i) * 3 + k for i in range(5)]) for k in range(3) for b in range(2)
     ]
+
+
+def test_all_epochs_are_one_plan(spark):
+    df = spark.range(500).select("id", (F.col("id") * 7 % 50).alias("n"))
+    plan_of = lambda k: sp.grouped_sampler_of_epochs(df, "id", "n", 3, k, 40, 5)
+    rows = plan_of(4).collect()
+    for epoch in range(4):
+        one = sp.grouped_sampler(df, "id", "n", 3, mega_size=40, seed=5, epoch=epoch)
+        assert sorted(tuple(r) for r in one.collect()) == sorted((r.id, r.flat_pos, r.rank, r.idx, r.per_rank) for r in rows if r.epoch == epoch)
+    size = lambda k: plan_of(k)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(20) == size(2)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 5003])
+def test_keyed_permutation_and_its_inverse(spark, n):
+    df = spark.range(n).select("id", permutation.shuffled_position(F.col("id"), n, 3).alias("p"))
+    rows = df.select("id", "p", permutation.original_position(F.col("p"), n, 3).alias("back")).collect()
+    assert sorted(r.p for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
+    if n > 1000:
+        other = df.select("id", "p", permutation.shuffled_position(F.col("id"), n, 4).alias("q"))
+        assert other.filter("p = q").count() < 10 and other.filter("abs(p - id) < 50").count() < 150
+        assert abs(other.stat.corr("id", "p")) < 0.05
+
+
+def test_large_positions_stay_exact(spark):
+    n = 2**61 + 12345
+    df = spark.createDataFrame([(0,), (1,), (n - 1,), (2**60,)], "x bigint")
+    df = df.withColumn("p", permutation.shuffled_position(F.col("x"), n, 9))
+    rows = df.withColumn("back", permutation.original_position(F.col("p"), n, 9)).collect()
+    assert all(0 <= r.p < n and r.back == r.x for r in rows) and len({r.p for r in rows}) == 4
+
+
+def test_resumed_batches_are_the_rest_of_the_epoch(spark):
+    whole = permutation.batch_rows(spark, 1003, 4, 16, seed=2, epoch=1).collect()
+    assert len(whole) == 1003 // 4 // 16 * 64 and len({r.pos for r in whole}) == len(whole)
+    rest = permutation.batch_rows(spark, 1003, 4, 16, seed=2, epoch=1, first_batch=9).collect()
+    assert sorted(rest) == sorted(r for r in whole if r.batch >= 9) and min(r.batch for r in rest) == 9
+    assert permutation.batch_rows(spark, 1003, 4, 16, first_batch=99).count() == 0 == permutation.batch_rows(spark, 0, 4, 16).count()

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from lexloom.session import new_stage_path, shared_folder, write_and_read
@@ -27,16 +29,58 @@ def test_table_from_columns(spark):
         readers.table_from_columns(spark, {"a": [1], "b": []})
 
 
-def test_stage_is_built_once(spark):
-    path, built = new_stage_path(spark, "stage"), []
+def folders(path):
+    return sorted(p.name for p in Path(path).iterdir() if p.is_dir())
 
-    def build():
-        built.append(1)
-        return spark.range(5)
 
+def test_stage_is_written_once(spark, tmp_path):
+    path, build = str(tmp_path / "stage"), lambda: spark.range(5)
     assert stages.cached_stage(spark, path, build).count() == 5
-    assert stages.cached_stage(spark, path, build).count() == 5
-    assert built == [1]
+    before = folders(path)
+    assert stages.cached_stage(spark, path, build).count() == 5 and folders(path) == before and len(before) == 1
+
+
+def test_stage_is_built_again_when_something_changed(spark, tmp_path):
+    given, path = str(tmp_path / "given"), str(tmp_path / "stage")
+    spark.range(5).write.parquet(given)
+    seen = []
+
+    def stage(build, version=""):
+        rows = sorted(r.id for r in stages.cached_stage(spark, path, build, version).collect())
+        seen.append(folders(path))
+        assert len(seen[-1]) == 1
+        return rows, len(seen) < 2 or seen[-1] != seen[-2]
+
+    build = lambda: spark.read.parquet(given)
+    assert stage(build) == ([0, 1, 2, 3, 4], True) and stage(build) == ([0, 1, 2, 3, 4], False)
+    spark.range(5, 7).write.mode("append").parquet(given)
+    assert stage(build) == (list(range(7)), True) and stage(build)[1] is False
+    spark.range(7).write.mode("overwrite").parquet(given)  # the same rows in other files
+    assert stage(build)[1] is True
+    other = lambda: spark.read.parquet(given).filter("id > 2")
+    assert stage(other) == ([3, 4, 5, 6], True) and stage(other)[1] is False
+    assert stage(other, "2")[1] is True and stage(other, "2")[1] is False
+
+    def in_tasks(add):
+        def plus(parts):
+            for part in parts:
+                yield part.assign(id=part["id"] + add)
+
+        return plus
+
+    one = lambda: spark.read.parquet(given).mapInPandas(in_tasks(10), "id long")
+    two = lambda: spark.read.parquet(given).mapInPandas(in_tasks(20), "id long")
+    assert stage(one)[0] == list(range(10, 17)) and stage(one)[1] is False and stage(two)[0] == list(range(20, 27))
+
+
+def test_half_written_stage_is_not_read(spark, tmp_path):
+    path = tmp_path / "stage"
+    (path / "rows-of-a-lost-run").mkdir(parents=True)
+    spark.range(3).write.mode("overwrite").parquet(str(path / "rows-of-a-lost-run"))
+    (path / stages.MANIFEST).write_text('{"fingerprint": "x", "ro')
+    build = lambda: spark.range(4)
+    assert stages.cached_stage(spark, str(path), build).count() == 4
+    assert stages.cached_stage(spark, str(path), build).count() == 4
 
 
 def test_shared_folder_is_the_one_of_the_session(spark):
