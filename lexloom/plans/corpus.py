@@ -51,11 +51,10 @@ def prepare_corpus(
 ) -> DataFrame:
     """``row_id``, ``input_ids``, ``attention_mask`` of at least ``seq_length`` tokens per row.
 
-    The cleaned, the encoded and the packed stage are written to the shared folder:
-    encoding reads its texts twice, packing scans its sizes and its arrays
-    separately, and sampling reads keys and lengths before it reads rows.
+    The encoded and the packed stage are written to the shared folder: packing scans its
+    sizes and its arrays separately, and sampling reads keys and lengths before it reads rows.
     """
-    cleaned = write_and_read(clean_documents(docs, key, text, settings), "cleaned")
+    cleaned = clean_documents(docs, key, text, settings)
     encoded = encode(cleaned, key, text, tok, ascii_only=True)
     if not settings.pack:
         encoded = relational.drop_columns(encoded, ["length", "token_type_ids"])

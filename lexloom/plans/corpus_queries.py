@@ -11,7 +11,7 @@ from lexloom.operators.bpe_encoding import encode
 from lexloom.operators.position import with_source_position
 from lexloom.operators.relational import assign_batches
 from lexloom.operators.sampling import split_train_eval
-from lexloom.operators.tokenizer import EOS, PAD
+from lexloom.operators.tokenizer import EOS, PAD, TRAINED_SPECIALS
 from lexloom.plans import corpus
 from lexloom.plans.packing_queries import BATCH, SHARDS, THRESHOLD, constant_ctes, joined
 from lexloom.plans import sql
@@ -19,7 +19,7 @@ from lexloom.plans.registry import query, spread, table
 from lexloom.plans.tokenizer_queries import ENCODED_SQL, TRAINED_SQL, WORD_RE, marked, trained, trained_sql
 from lexloom.session import write_and_read
 
-SETTINGS = corpus.CorpusSettings(seq_length=128, shards=4, batch_size=60)
+SETTINGS = corpus.CorpusSettings(seq_length=512, shards=4, batch_size=60)
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +69,7 @@ turn_ids as (
   select t.row_no, coalesce(e.ids, []) as ids from turns t left join (
     select p.row_no, flatten(list(w.ids order by p.i)) as ids from places p join word_ids w using (word) group by p.row_no) e
   using (row_no)),
-{constant_ctes('turn_ids', 'row_no', TURN_LENGTH, f"(select id from vocab where token = '{EOS}')", f"(select id from vocab where token = '{PAD}')")}
+{constant_ctes('turn_ids', 'row_no', TURN_LENGTH, f"(select id from vocab where token = '{EOS}')", str(TRAINED_SPECIALS.index(PAD)))}
 select batch_id, row_no, array_to_string(ids, ',') as ids, array_to_string(mask, ',') as mask from packed""",
 )
 def conversation_pack(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,3 +82,25 @@ def conversation_pack(spark: SparkSession, folder: str) -> DataFrame:
     fill = packing.fill_values(["input_ids", "attention_mask"], tok.id_of(EOS), tok.id_of(PAD))
     rows = packing.constant_length_pack(batched.withColumnRenamed("row_no", "turn"), "turn", fill, TURN_LENGTH, THRESHOLD)
     return rows.select("batch_id", "row_no", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask"))
+
+
+RAW_WORDS = f"""raw as materialized (
+  select doc_id, regexp_extract_all({marked('t')}, {WORD_RE}) as ws from (select doc_id, lower(text) as t from documents)),"""
+
+
+@query(
+    "plain_chunks",
+    trained_sql(RAW_WORDS, "select unnest(ws) as word from raw").rstrip()
+    + f""",
+places as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as i from raw),
+tokens as (
+  select unnest(w.ids) as id, p.doc_id, p.i, unnest(range(len(w.ids))) as j from places p join word_ids w using (word)),
+placed as (select id, row_number() over (order by doc_id, i, j) - 1 as pos from tokens)
+select pos // {TURN_LENGTH} as row_no, string_agg(id, ',' order by pos) as ids
+from placed group by pos // {TURN_LENGTH} having count(*) = {TURN_LENGTH}""",
+)
+def plain_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain variant: texts as they are, encoded, concatenated and cut."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = corpus.plain_chunks(docs, "doc_id", trained(spark, folder), length=TURN_LENGTH)
+    return rows.select("row_no", joined("input_ids").alias("ids"))

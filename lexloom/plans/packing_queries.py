@@ -17,7 +17,7 @@ from lexloom.plans import sql
 from lexloom.plans.registry import query, spread, table
 from lexloom.session import write_and_read
 
-LENGTH, THRESHOLD, EOS, PAD = 64, 10, 2, 3
+LENGTH, THRESHOLD, EOS, PAD = 512, 10, 2, 3
 SHARDS, BATCH = 4, 60
 
 

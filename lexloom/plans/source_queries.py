@@ -41,10 +41,17 @@ def pattern_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("recursive_scan", "select 'orders.parquet' as file_name, count(*) as n_rows from orders")
+@query(
+    "recursive_scan",
+    "select lang as folder, count(*) as n_rows, sum(n_chars)::bigint as n_chars from documents group by lang",
+)
 def recursive_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = readers.read_recursive(spark, folder, "orders*")
-    return found.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Documents written to one folder for each language, read back as one flat folder."""
+    path = new_stage_path(spark, "folders")
+    table(spark, folder, "documents").withColumn("name", F.col("lang")).write.partitionBy("name").parquet(path)
+    found = readers.read_recursive(spark, path)
+    named = found.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), "name=([^/]*)/[^/]*$", 1))
+    return named.groupBy("folder").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"))
 
 
 @query(

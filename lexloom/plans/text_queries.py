@@ -16,15 +16,31 @@ DOCUMENTS = ("documents", "doc_id", "text")
 PAGES = ("pages", "page_id", "html")
 
 
-def rule(name: str, source: tuple[str, str, str], func: Callable[[Column], Column], oracle: str) -> None:
-    """One rule on the whole of one text column; ``oracle`` is SQL with ``{}`` for the text."""
+def rule(name: str, source: tuple[str, str, str], func: Callable[[Column], Column], oracle: str, derived: str = "") -> None:
+    """One rule on the whole of one text column; ``oracle`` is SQL with ``{}`` for the text.
+
+    ``derived`` is SQL that both engines read: the text with something added that the
+    given tables do not hold.
+    """
     name_of_table, key, text = source
+    derived = derived or text
 
     def plan(spark: SparkSession, folder: str) -> DataFrame:
         rows = spread(table(spark, folder, name_of_table).select(key, text))
-        return rows.select(key, func(F.col(text)).alias("text"))
+        return rows.select(key, func(F.expr(derived)).alias("text"))
+
+    from_rows = f"(select {key}, {derived} as {text} from {name_of_table})"
+    query(name, f"select {key}, {oracle.replace('{}', text)} as text from {from_rows}")(plan)
+
 
-    query(name, f"select {key}, {oracle.replace('{}', text)} as text from {name_of_table}")(plan)
+# Characters, numbers and literals that no page or document of the tables holds.
+WITH_ASTRAL = "concat(html, case page_id % 4 when 0 then ' 😀x' when 1 then '𝄞' when 2 then ' plain' else ' 🚀🚀.' end)"
+WITH_SYMBOLS = "concat(html, case page_id % 4 when 0 then ' ©x' when 1 then '☀' when 2 then ' → + €' else ' 21°♥' end)"
+WITH_DASHED_PHONE = """concat(html, ' call 555-', lpad(cast(page_id % 1000 as string), 3, '0'), '-',
+  lpad(cast(page_id * 7 % 10000 as string), 4, '0'), case page_id % 3 when 0 then '9' else ' now' end)"""
+WITH_INTERNATIONAL_PHONE = """concat(text, ' +', cast(doc_id % 900 as string), ' ', cast(doc_id * 7919 as string),
+  case doc_id % 3 when 0 then ' or +x' else '+12' end)"""
+WITH_BYTES_LITERAL = """concat(html, ' b''raw ', cast(page_id as string), ''' and Bob''s dog''s b''a', chr(10), 'c''')"""
 
 
 ALLOWED = sql.allowed("{}")
@@ -36,8 +52,8 @@ def after_allow_list(func: Callable[[Column], Column], keep: bool = False) -> Ca
 
 
 rule("html_tags", PAGES, rules.mark_html, sql.replace_all("{}", "<[^>]*>", "[HTML]"))
-rule("astral_characters", PAGES, rules.blank_astral, sql.replace_all("{}", r"[\x{10000}-\x{10FFFF}]", " "))
-rule("symbol_characters", PAGES, rules.blank_symbols, sql.replace_all("{}", r"\p{So}", " "))
+rule("astral_characters", PAGES, rules.blank_astral, sql.replace_all("{}", r"[\x{10000}-\x{10FFFF}]", " "), WITH_ASTRAL)
+rule("symbol_characters", PAGES, rules.blank_symbols, sql.replace_all("{}", r"\p{So}", " "), WITH_SYMBOLS)
 rule("allow_list", DOCUMENTS, rules.allow_list, ALLOWED)
 rule(
     "phone_ten_digits",
@@ -50,12 +66,14 @@ rule(
     PAGES,
     after_allow_list(rules.mark_dashed_phone),
     sql.replace_all(ALLOWED, r"\b\d{3}-\d{3}-\d{4}\b", "[Phone Number]"),
+    WITH_DASHED_PHONE,
 )
 rule(
     "phone_international",
     DOCUMENTS,
     after_allow_list(rules.mark_international_phone, True),
     sql.replace_all(LOOSE, r"\+\d{1,3}\s?\d{1,14}", "[Phone Number]"),
+    WITH_INTERNATIONAL_PHONE,
 )
 rule(
     "email",
@@ -69,6 +87,7 @@ rule(
     PAGES,
     after_allow_list(rules.blank_bytes_literal),
     sql.replace_all(ALLOWED, r"b'(.*?)'", " "),
+    WITH_BYTES_LITERAL,
 )
 rule(
     "control_characters",

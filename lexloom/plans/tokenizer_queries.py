@@ -12,8 +12,8 @@ from lexloom.operators import tokenizer as tk
 from lexloom.plans import sql
 from lexloom.plans.packing_queries import joined
 from lexloom.plans.registry import query, spread, table
-from lexloom.session import new_stage_path, write_and_read
-from lexloom.sources import stages
+from lexloom.session import new_stage_path
+from lexloom.sources import readers, stages
 
 VOCAB_SIZE, MIN_FREQUENCY = 300, 10
 FIRST_MERGED = bpe.FIRST_MERGED
@@ -31,18 +31,17 @@ WORDS_SQL = f"""texts as materialized (select doc_id, {sql.clean('text')} as t f
 doc_words as materialized (select doc_id, regexp_extract_all({marked('t')}, {WORD_RE}) as ws from texts),
 words as materialized (select word, count(*) as cnt from (select unnest(ws) as word from doc_words) group by word)"""
 
-ALPHABET_SQL = f"""{WORDS_SQL},
-characters as materialized (select distinct unnest(string_split(word, '')) as ch from words),
+ALPHABET_CTES = f"""characters as materialized (select distinct unnest(string_split(word, '')) as ch from words),
 alphabet as materialized (
   select row_number() over (order by unicode(ch)) + {len(tk.TRAINED_SPECIALS) - 1} as id, ch as token from characters)"""
-
+ALPHABET_SQL = f"{WORDS_SQL},\n{ALPHABET_CTES}"
 
 
 def symbol_pairs(syms: str) -> str:
     return f"unnest(list_zip(string_split(trim({syms}), '  ')[:-2], string_split(trim({syms}), '  ')[2:]))"
 
 
-def trained_sql(more_ctes: str = "", more_words: str | None = None) -> str:
+def trained_sql(more_ctes: str = "", more_words: str | None = None, words: str = WORDS_SQL) -> str:
     """One merge per step; a merged symbol is numbered above all code points.
 
     The state keeps a row for each word, each pair and each step, replaced where a merge changes
@@ -51,7 +50,8 @@ def trained_sql(more_ctes: str = "", more_words: str | None = None) -> str:
     extra = f"union all select word, 0 from ({more_words}) where word not in (select word from words) group by word" if more_words else ""
     room = f"{VOCAB_SIZE} - {len(tk.TRAINED_SPECIALS)} - (select count(*) from alphabet)"
     pair = "' ' || b.l || '  ' || b.r || ' '"
-    return f"""with recursive {ALPHABET_SQL},
+    return f"""with recursive {words},
+{ALPHABET_CTES},
 {more_ctes}
 all_words as materialized (
   select word, cnt, array_to_string(list_transform(string_split(word, ''), lambda c: ' ' || unicode(c) || ' '), '') as syms
@@ -123,9 +123,13 @@ def word_table(spark: SparkSession, folder: str) -> DataFrame:
 _TRAINED: dict[str, tk.Tokenizer] = {}
 
 
-def trained(spark: SparkSession, folder: str) -> tk.Tokenizer:
-    """The tokenizer of a folder, learned once per process from all its documents."""
-    if folder not in _TRAINED:
+def trained(spark: SparkSession, folder: str, again: bool = False) -> tk.Tokenizer:
+    """The tokenizer of a folder, learned from all its documents.
+
+    The queries of the vocabulary and the merges learn it each time; those that use a
+    tokenizer take the one learned last in this process.
+    """
+    if again or folder not in _TRAINED:
         tok = bpe.train_bpe(word_table(spark, folder), VOCAB_SIZE, MIN_FREQUENCY)
         _TRAINED[folder] = tok.with_specials()
     return _TRAINED[folder]
@@ -190,7 +194,7 @@ def merge_step(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("bpe_vocab", TRAINED_SQL + "select id::bigint as id, token, is_special from vocab")
 def bpe_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    vocab = trained(spark, folder).vocab_table(spark)
+    vocab = trained(spark, folder, again=True).vocab_table(spark)
     return vocab.select(F.col("id").cast("bigint").alias("id"), "token", "is_special")
 
 
@@ -202,7 +206,7 @@ def bpe_vocab(spark: SparkSession, folder: str) -> DataFrame:
     from steps, merged""",
 )
 def bpe_merges(spark: SparkSession, folder: str) -> DataFrame:
-    merges = trained(spark, folder).merges_table(spark)
+    merges = trained(spark, folder, again=True).merges_table(spark)
     return merges.select("rank", F.col("left").alias("left_token"), F.col("right").alias("right_token"))
 
 
@@ -220,6 +224,24 @@ def stored_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
     return vocab.select(F.col("id").cast("bigint").alias("id"), "token", "is_special")
 
 
+LINE_WORDS_SQL = f"""lines as materialized (select lower(unnest(string_split(text, chr(10)))) as t from documents),
+words as materialized (
+  select word, count(*) as cnt from (select unnest(regexp_extract_all({marked('t')}, {WORD_RE})) as word from lines) group by word)"""
+
+
+@query(
+    "vocab_from_lines",
+    trained_sql(words=LINE_WORDS_SQL) + "select id::bigint as id, token, is_special from vocab where token <> '[EOS]'",
+)
+def vocab_from_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A vocabulary straight from text files, each line a text."""
+    path = new_stage_path(spark, "lines")
+    table(spark, folder, "documents").select("text").write.option("lineSep", "\n").text(path)
+    words = tk.count_words(readers.read_lines(spark, path), "text", ascii_only=True)
+    vocab = bpe.train_bpe(words, VOCAB_SIZE, MIN_FREQUENCY).vocab_table(spark)
+    return vocab.select(F.col("id").cast("bigint").alias("id"), "token", "is_special")
+
+
 ENCODED_SQL = """occurrences as (
   select doc_id, unnest(ws) as word, unnest(range(len(ws))) as i from doc_words),
 encoded as (
@@ -229,8 +251,7 @@ encoded as (
 
 
 def encoded(spark: SparkSession, folder: str) -> DataFrame:
-    """Encoding reads its texts twice, so the cleaned ones are written first."""
-    return enc.encode(write_and_read(cleaned(spark, folder), "cleaned"), "doc_id", "text", trained(spark, folder), ascii_only=True)
+    return enc.encode(cleaned(spark, folder), "doc_id", "text", trained(spark, folder), ascii_only=True)
 
 
 @query(
@@ -276,10 +297,7 @@ N_SPECIAL = len(tk.TRAINED_SPECIALS)
     select d.doc_id, coalesce(array_to_string(ids, ','), '') as ids from documents d left join encoded using (doc_id)""",
 )
 def unknown_characters(spark: SparkSession, folder: str) -> DataFrame:
-    """An alphabet of few characters and no merges; every other one is unknown by itself.
-
-    Two common words only go by broadcast, so nearly all go by the shuffled side.
-    """
+    """An alphabet of few characters and no merges; every other one is unknown by itself."""
     tok = tk.Tokenizer((*tk.TRAINED_SPECIALS, *FEW, tk.WORD_START), frozenset(tk.TRAINED_SPECIALS), ())
     rows = enc.encode(cleaned(spark, folder), "doc_id", "text", tok, ascii_only=True, common_words=2)
     return rows.select("doc_id", joined("input_ids").alias("ids"))

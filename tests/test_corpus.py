@@ -1,5 +1,9 @@
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import clean_text
+from lexloom.operators.bpe_encoding import encode
+from lexloom.operators.position import with_source_position
+from lexloom.operators.relational import assign_batches
 from lexloom.operators.tokenizer import TRAINED_SPECIALS, Tokenizer
 from lexloom.plans import corpus
 
@@ -40,3 +44,13 @@ def test_partial_batches_can_be_dropped(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     settings = corpus.CorpusSettings(shards=3, batch_size=30, drop_partial_batches=True)
     assert corpus.clean_documents(docs, "doc_id", settings=settings).count() == 3 * 60
+
+
+def test_rows_without_a_key_are_encoded_where_they_stand(spark, small):
+    turns = with_source_position(spark.read.parquet(f"{small}/conversations.parquet").select("text"))
+    cleaned = turns.withColumn("text", clean_text(F.col("text")))
+    plan = encode(cleaned, "row_no", "text", char_tokenizer(), ascii_only=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") and "Sort" not in plan
+    batched = assign_batches(turns, None, 4, 60, pos="row_no")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in batched.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert not any("text" in line or "hashpartitioning" in line for line in moved)
