@@ -11,7 +11,7 @@ from lexloom.functions.text import clean_text
 from lexloom.operators import packing, relational, sampling
 from lexloom.operators.bpe_encoding import encode
 from lexloom.operators.tokenizer import EOS, PAD, Tokenizer
-from lexloom.session import write_and_read
+from lexloom.session import write_and_read, write_bucketed
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,7 @@ class CorpusSettings:
     mask_first: bool = False
     drop_partial_batches: bool = False
     mask_compat: bool = False
+    buckets: int = 0
 
 
 def clean_documents(docs: DataFrame, key: str, text: str = "text", settings: CorpusSettings = CorpusSettings()) -> DataFrame:
@@ -53,6 +54,8 @@ def prepare_corpus(
 
     The encoded and the packed stage are written to the shared folder: packing scans its
     sizes and its arrays separately, and sampling reads keys and lengths before it reads rows.
+    With ``buckets`` the packed rows lie in that many buckets by ``row_id``, so that collating
+    them into batches, once or for many runs, moves each row once only.
     """
     cleaned = clean_documents(docs, key, text, settings)
     encoded = encode(cleaned, key, text, tok, ascii_only=True)
@@ -68,6 +71,8 @@ def prepare_corpus(
     packed = packing.balanced_pack(batched, key, fill, settings.seq_length, size="length")
     long_enough = relational.min_length(packed, "input_ids", settings.seq_length)
     rows = number_rows(long_enough).select("row_id", "input_ids", "attention_mask")
+    if settings.buckets:
+        return write_bucketed(rows, "row_id", settings.buckets, "packed")
     return write_and_read(rows, "packed")
 
 

@@ -29,6 +29,11 @@ def word_ids(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", ids.alias("ids"))
 
 
+def stored_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids as a stage, with their number: totals are then read without the ids."""
+    return write_and_read(word_ids(spark, folder).withColumn("n", F.size("ids")), "ids")
+
+
 def batched_ids(spark: SparkSession, folder: str) -> DataFrame:
     return assign_batches(word_ids(spark, folder), "doc_id", SHARDS, BATCH)
 
@@ -49,7 +54,8 @@ def sizes(ids: str) -> Column:
     from placed group by pos // {LENGTH} having count(*) = {LENGTH}""",
 )
 def chunk_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    rows = packing.chunk(word_ids(spark, folder), "doc_id", ["ids"], LENGTH)
+    docs = stored_ids(spark, folder)
+    rows = packing.chunk(docs, "doc_id", ["ids"], LENGTH, size="n")
     return rows.select("row_no", joined("ids").alias("ids"))
 
 
@@ -62,8 +68,8 @@ def chunk_corpus(spark: SparkSession, folder: str) -> DataFrame:
     from placed group by pos // {LENGTH} having count(*) = {LENGTH}""",
 )
 def chunk_several_columns(spark: SparkSession, folder: str) -> DataFrame:
-    docs = word_ids(spark, folder).withColumn("places", F.transform("ids", lambda _, i: i))
-    rows = packing.chunk(docs, "doc_id", ["ids", "places"], LENGTH)
+    docs = stored_ids(spark, folder).withColumn("places", F.transform("ids", lambda _, i: i))
+    rows = packing.chunk(docs, "doc_id", ["ids", "places"], LENGTH, size="n")
     return rows.select("row_no", joined("ids").alias("ids"), joined("places").alias("places"))
 
 
@@ -155,9 +161,39 @@ def pack_given_bins(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("batch_id", "row_no", joined("ids").alias("ids"))
 
 
+@query(
+    "pack_given_bins_masks",
+    f"""with {sql.IDS},
+{sql.batches('ids', 'doc_id', SHARDS, BATCH)},
+stream as (
+  select batch_id, pos_in_batch % 7 as bin, pos_in_batch // 7 as pos_in_bin, unnest(list_append(ids, {EOS})) as id,
+         unnest(list_append(list_transform(ids, lambda x: 1), {EOS})) as compat, unnest(range(len(ids) + 1)) as i from batched),
+placed as (
+  select *, row_number() over (partition by batch_id, bin order by pos_in_bin, i) - 1 as pos from stream),
+cut as (
+  select batch_id, bin, pos // {LENGTH} as r, list(id order by pos) as ids, list(compat order by pos) as compat
+  from placed group by batch_id, bin, r),
+padded as (select *, list_transform(range({LENGTH} - len(ids)), lambda x: {PAD}) as pad from cut)
+select batch_id, row_number() over (partition by batch_id order by bin, r) - 1 as row_no,
+  array_to_string(list_concat(ids, pad), ',') as ids,
+  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(pad, lambda x: 0)), ',') as mask,
+  array_to_string(list_concat(compat, pad), ',') as compat
+from padded""",
+)
+def pack_given_bins_masks(spark: SparkSession, folder: str) -> DataFrame:
+    """The mask beside the ids, and the mask that is packed with the values of the ids."""
+    docs = batched_ids(spark, folder).withColumn("attention_mask", F.transform("ids", lambda _: F.lit(1)))
+    docs = docs.withColumn("compat", F.col("attention_mask"))
+    fill = packing.fill_values(["ids", "attention_mask"], EOS, PAD) | packing.fill_values(["compat"], EOS, PAD, "compat", mask_compat=True)
+    rows = packing.pack_bins(docs, synthetic_bins(docs), "doc_id", fill, LENGTH)
+    return rows.select(
+        "batch_id", "row_no", joined("ids").alias("ids"), joined("attention_mask").alias("mask"), joined("compat").alias("compat")
+    )
+
+
 # The greedy step as a recursion over the sorted documents of each batch.  Bins of
 # equal total are left out of the order, which there follows the heap.
-BINS_SQL = f"""with recursive {sql.IDS},
+BINS_CTES = f"""with recursive {sql.IDS},
 {sql.batches('ids', 'doc_id', SHARDS, BATCH)},
 loads as (select batch_id, doc_id, pos_in_batch as idx, len(ids) as n, len(ids) % {LENGTH} as load from batched),
 ranked as (
@@ -172,7 +208,8 @@ greedy as (
            then list_append(g.bins[2:], struct_pack(s := g.bins[1].s + r.load, m := list_append(g.bins[1].m, r.idx)))
            else list_append(g.bins, struct_pack(s := r.load, m := [r.idx])) end)
   from greedy g join ranked r on r.batch_id = g.batch_id and r.step = g.step + 1),
-bins as (select batch_id, unnest(bins) as b from greedy where step = steps),
+bins as (select batch_id, unnest(bins) as b from greedy where step = steps)"""
+BINS_SQL = f"""{BINS_CTES},
 members as (select batch_id, b.m as members, unnest(b.m) as idx from bins)
 select m.batch_id, array_to_string(m.members, ',') as members, sum(l.n)::bigint as total
 from members m join loads l on l.batch_id = m.batch_id and l.idx = m.idx group by m.batch_id, m.members"""
@@ -215,6 +252,31 @@ def length_balanced_pack(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("batch_id", "row_no", joined("ids").alias("ids"))
 
 
+@query(
+    "length_balanced_pack_rows",
+    f"""{BINS_CTES},
+numbered as (select batch_id, row_number() over () as bin, b.m as m from bins),
+placed_docs as (select batch_id, bin, unnest(m) as idx, unnest(range(len(m))) as pos_in_bin from numbered),
+stream as (
+  select p.batch_id, bin, pos_in_bin, unnest(list_append(ids, {EOS})) as id, unnest(range(len(ids) + 1)) as i
+  from placed_docs p join batched b on b.batch_id = p.batch_id and b.pos_in_batch = p.idx),
+placed as (
+  select *, row_number() over (partition by batch_id, bin order by pos_in_bin, i) - 1 as pos from stream),
+cut as (
+  select batch_id, bin, pos // {LENGTH} as r, list(id order by pos) as ids from placed group by batch_id, bin, r),
+padded as (select *, list_transform(range({LENGTH} - len(ids)), lambda x: {PAD}) as pad from cut)
+select batch_id, array_to_string(list_concat(ids, pad), ',') as ids,
+  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(pad, lambda x: 0)), ',') as mask
+from padded""",
+)
+def length_balanced_pack_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The packed rows with their mask, whatever the order of bins with equal totals."""
+    docs = batched_ids(spark, folder).withColumn("attention_mask", F.transform("ids", lambda _: F.lit(1)))
+    fill = packing.fill_values(["ids", "attention_mask"], EOS, PAD)
+    rows = packing.balanced_pack(write_and_read(docs, "ids"), "doc_id", fill, LENGTH)
+    return rows.select("batch_id", joined("ids").alias("ids"), joined("attention_mask").alias("mask"))
+
+
 @query(
     "pad_to_length",
     f"""with {sql.IDS}

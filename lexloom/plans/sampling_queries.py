@@ -11,6 +11,7 @@ from lexloom.operators.position import with_row_position, with_source_position
 from lexloom.plans import sql
 from lexloom.plans.packing_queries import word_ids
 from lexloom.plans.registry import query, table
+from lexloom.session import write_bucketed
 
 SEED, EPOCH, MEGA, RANKS, BATCH, FULL_BATCH = 7, 3, 50, 7, 16, 64
 PERMUTED = sql.permuted("documents", "doc_id", SEED)
@@ -171,15 +172,13 @@ def rank_batches_query(spark: SparkSession, folder: str) -> DataFrame:
     return as_bigint(rank_batches(spark, folder).select("doc_id", "rank", "idx", "batch"))
 
 
-@query(
-    "collate_batches",
-    f"""with {BATCHED}, {sql.IDS}
+COLLATED_SQL = f"""with {BATCHED}, {sql.IDS}
     select rank, batch, string_agg(array_to_string(ids, ','), '|' order by idx) as rows,
       string_agg(doc_id, ',' order by idx) as doc_ids
-    from batched join ids using (doc_id) group by rank, batch""",
-)
-def collate_batches(spark: SparkSession, folder: str) -> DataFrame:
-    docs = word_ids(spark, folder).withColumn("doc", F.col("doc_id"))
+    from batched join ids using (doc_id) group by rank, batch"""
+
+
+def collated(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
     rows = sp.collate(rank_batches(spark, folder), docs, "doc_id", ["ids", "doc"])
     text = F.transform("ids", lambda r: F.array_join(F.transform(r, lambda i: i.cast("string")), ","))
     return rows.select(
@@ -190,6 +189,18 @@ def collate_batches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("collate_batches", COLLATED_SQL)
+def collate_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return collated(spark, folder, word_ids(spark, folder).withColumn("doc", F.col("doc_id")))
+
+
+@query("collate_bucketed", COLLATED_SQL)
+def collate_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """Out of rows that lie in buckets by their key."""
+    docs = word_ids(spark, folder).withColumn("doc", F.col("doc_id"))
+    return collated(spark, folder, write_bucketed(docs, "doc_id", 8, "bucketed"))
+
+
 EPOCHS = 20
 ALL_EPOCHS = f"""every as (select epoch, doc_id, n_chars from documents, range({EPOCHS}) as e(epoch)),
 shuffled as (

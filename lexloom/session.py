@@ -54,6 +54,18 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` dealt into ``buckets`` by ``key`` and sorted by it, as a table of the session's catalog.
+
+    A join or grouping by ``key`` then reads the rows where they lie, without an exchange.
+    """
+    path = new_stage_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    dealt = df.repartition(buckets, key).write.format("parquet").option("path", path)
+    dealt.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; later plans start from it."""
     context = df.sparkSession.sparkContext

@@ -5,7 +5,9 @@ from lexloom.operators.bpe_encoding import encode
 from lexloom.operators.position import with_source_position
 from lexloom.operators.relational import assign_batches
 from lexloom.operators.tokenizer import TRAINED_SPECIALS, Tokenizer
+from lexloom.operators import sampling
 from lexloom.plans import corpus
+from lexloom.session import write_bucketed
 
 
 def char_tokenizer():
@@ -54,3 +56,30 @@ def test_rows_without_a_key_are_encoded_where_they_stand(spark, small):
     batched = assign_batches(turns, None, 4, 60, pos="row_no")._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in batched.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
     assert not any("text" in line or "hashpartitioning" in line for line in moved)
+
+
+def test_bucketed_rows_are_moved_once(spark):
+    rows = spark.range(4000).select("id", F.array_repeat(F.col("id"), 300).alias("ids"))
+    bucketed = write_bucketed(rows, "id", 8, "bucketed")
+    assigned = sampling.assign_rank_batches(sampling.plain_sampler(bucketed.select("id"), "id", 3), 16)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = sampling.collate(assigned, bucketed, "id", ["ids"])
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        physical = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan
+    # The rows' side of the join is the bare scan; the one exchange of rows is that by batch.
+    assert "SelectedBucketsCount: 8 out of 8" in physical
+    lines = physical.splitlines()
+    scan = max(i for i, line in enumerate(lines) if "FileScan" in line and "ids" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    path, level = [], depth(lines[scan])
+    for line in reversed(lines[:scan]):
+        if depth(line) < level:
+            path.append(line)
+            level = depth(line)
+    assert sum("Exchange" in line for line in path) == 1
+    assert made.count() == 4000 // 3 // 16 * 3
