@@ -66,6 +66,14 @@ def stored_rows(docs: DataFrame) -> DataFrame:
     return numbered.drop("__file", "__at", "__base")
 
 
+def named_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """``docs`` with columns named by their place, the new name of each column, and the columns
+    as they were: whatever names a table has, they do not meet those of an operator."""
+    apart = docs.toDF(*[f"__column{i}" for i in range(len(docs.columns))])
+    names = dict(zip(docs.columns, apart.columns))
+    return apart, names, [F.col(new).alias(old) for old, new in names.items()]
+
+
 def _picks_from_files(df: DataFrame) -> bool:
     """Whether ``df`` is a scan of parquet files, or columns and rows picked from one by fixed rules."""
     plan = df._jdf.queryExecution().analyzed()
@@ -120,16 +128,6 @@ def number_rows(df: DataFrame, order_by: Sequence[str], out: str, name: str = "n
     return numbered.select(*df.columns, (F.col("__base") + F.col("__index")).alias(out))
 
 
-def running_sum(df: DataFrame, order_by: Sequence[str], amount: str, out: str, name: str = "summed") -> DataFrame:
-    """``out``: the sum of the bigint column ``amount`` over all rows before, in the order of ``order_by``."""
-    placed = place_rows(df, order_by, name)
-    bases = part_bases(placed, F.col(amount), "__base")
-    before = Window.partitionBy("__part").orderBy("__index").rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("__within", F.coalesce(F.sum(amount).over(before), F.lit(0)))
-    summed = summed.join(F.broadcast(bases), "__part")
-    return summed.select(*df.columns, (F.col("__base") + F.col("__within")).alias(out))
-
-
 def drop_stage(spark: SparkSession, path: str) -> None:
     """Delete a stage of the shared folder that no later plan reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

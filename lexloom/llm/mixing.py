@@ -7,14 +7,18 @@ token constraint, so for each source, and rates are exponentially tilted by size
 ``r = min(MOST, exp(multiplier * size / mean size))``.  Safeguarded Newton iterations
 find the multipliers; each is one distributed sum over the counts of (source, size).
 
-Rates become whole copies by carrying fractions along the order of source, size and
-key, and what then lacks to a source's target, about one long document at most, is
-made up with its smallest documents.  All sums are sums of integers, so reruns agree.
-
-Defined cases: a null source is one source, last in order; a null text has no words
-and is taken as often as the rounding says, for nothing; repeated rows are rounded one
-by one; an empty table gives no rows.  More sources than ``max_sources`` are an error:
-their targets are settled on the driver.
+Rates become whole copies by adding a fixed random fraction to each rate, from the number of
+the row, and taking the whole part.  What then lacks to a source's target is made up by a shift
+of all its fractions, found from sums over narrowing ranges of fractions: the largest shift that
+does not go beyond the target.  So the copies of a row are an expression of the row and of
+its source's few numbers: no row is moved, ordered or looked up.  Rates are taken to 2**-24 and
+sums of rates are sums of integers, so reruns agree.
+
+Defined cases: a null source is one source, last in order; sources that are not strings are
+ordered by their own order and come back as they are; a null text has no words and is taken
+once, for nothing; repeated rows are rounded one by one, rows of one key too; an empty table
+gives no rows; columns may have any names.  More sources than ``max_sources`` are an error: their
+targets are settled on the driver.
 """
 
 from __future__ import annotations
@@ -24,15 +28,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lexloom.llm.common import running_sum, stored_rows, word_count
+from lexloom.llm.common import named_apart, stored_rows, word_count
 from lexloom.session import write_and_read
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 MAX_SOURCES = 100_000
 ROUND_LIMIT = 100
-FRACTION_BITS = 20
+FRACTION_BITS = 24
+RANGE_BITS = 12  # a range of fractions is cut into so many, twice
 SUM_SCALE = 1024
 
 
@@ -100,106 +106,143 @@ def solve_multipliers(counts: DataFrame, sources: list[dict], most: int = MOST,
             s["multiplier"] = step
 
 
-def mix(
-    docs: DataFrame,
-    key: str,
-    text: str = "text",
-    source: str = "source",
-    weights: Sequence[float] = WEIGHTS,
-    most: int = MOST,
-    max_sources: int = MAX_SOURCES,
-) -> DataFrame:
-    """``key``, ``size`` (words), ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
+def fraction_of(row: Column) -> Column:
+    """A number below 2**FRACTION_BITS that belongs to the row."""
+    return F.xxhash64(row).bitwiseAND(F.lit((1 << FRACTION_BITS) - 1))
 
-    Keys, sources and sizes are written once; every later pass reads those, not the texts.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("__key"), F.col(source).alias("__source"), word_count(F.col(text)).alias("size"))
-    sized = write_and_read(rows, "mix-sizes")
+
+def copies_of(size: Column, rate: Column, fraction: Column, shift: Column, most: int) -> Column:
+    """Rate, fraction and shift together, rounded down; a row without words is taken once."""
+    unit = 1 << FRACTION_BITS
+    total = F.round(rate * unit).cast("bigint") + fraction + shift
+    return F.when(size == 0, 1).otherwise(F.least(F.greatest(F.shiftright(total, FRACTION_BITS), F.lit(0)), F.lit(most))).cast("int")
+
+
+def rate_of(size: Column, most: int) -> Column:
+    return F.when(size == 0, F.lit(1.0)).otherwise(tilted(F.col("multiplier"), size, F.col("mean"), most))
+
+
+def find_shifts(rated: DataFrame, sources: list[dict], most: int) -> None:
+    """Set ``shift`` of each source; ``rated``: ``__number``, ``size``, ``__rate``, ``__fraction``."""
+    spark = rated.sparkSession
+    copies = copies_of(F.col("size"), F.col("__rate"), F.col("__fraction"), F.lit(0), most)
+    counted = write_and_read(rated.withColumn("copies", copies), "mix-fractions")
+    for s in sources:
+        s["shift"] = 0
+    taken = counted.groupBy("__number").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+    lacks = {r["__number"]: int(round(sources[r["__number"]]["target"] - r["taken"])) for r in taken}
+    # How far a row is from one copy more, or from one less where the source has too much.
+    lack = F.col("__lack")
+    total = F.round(F.col("__rate") * (1 << FRACTION_BITS)).cast("bigint") + F.col("__fraction")
+    beyond = total - F.shiftleft(F.shiftright(total, FRACTION_BITS), FRACTION_BITS)
+    way = F.when(lack > 0, (1 << FRACTION_BITS) - beyond).otherwise(beyond + 1) - 1
+    can = (F.col("size") > 0) & F.when(lack > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    start = {n: 0 for n, x in lacks.items() if x}
+    left = {n: abs(lacks[n]) for n in start}
+    for level in range(FRACTION_BITS // RANGE_BITS):
+        if not start:
+            break
+        step = FRACTION_BITS - RANGE_BITS * (level + 1)
+        given = spark.createDataFrame([(n, lacks[n], start[n], left[n]) for n in start], "__number int, __lack bigint, __start bigint, __left bigint")
+        near = counted.join(F.broadcast(given), "__number").filter(can)  # at most max_sources rows
+        near = near.withColumn("__range", F.shiftright(way - F.col("__start"), step)).filter(f"__range BETWEEN 0 AND {(1 << RANGE_BITS) - 1}")
+        sums = near.groupBy("__number", "__left", "__range").agg(F.sum("size").alias("words"))
+        upto = Window.partitionBy("__number").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        passed = sums.withColumn("upto", F.sum("words").over(upto)).filter("upto <= __left")
+        # The ranges before the first one that would go too far, empty ones included.
+        over = sums.withColumn("upto", F.sum("words").over(upto)).filter("upto > __left").groupBy("__number").agg(F.min("__range").alias("first"))
+        reached = passed.groupBy("__number").agg(F.max("upto").alias("words"))
+        found = reached.join(over, "__number", "full").collect()
+        first = {r["__number"]: (1 << RANGE_BITS) if r["first"] is None else r["first"] for r in found}
+        for n in list(start):
+            start[n] += first.get(n, 1 << RANGE_BITS) << step
+            left[n] -= next((r["words"] or 0 for r in found if r["__number"] == n), 0)
+            sources[n]["shift"] = start[n] if lacks[n] > 0 else -start[n]
+            if first.get(n, 1 << RANGE_BITS) == 1 << RANGE_BITS:
+                del start[n], left[n]  # every row that could change has changed
+
+
+def source_table(sized: DataFrame, weights: Sequence[float], most: int, max_sources: int) -> DataFrame:
+    """``__number``, ``__name``, ``source_size``, ``target``, ``mean``, ``multiplier``, ``shift``: one row for
+    each source, at most ``max_sources``; ``sized`` has ``__row``, ``__source``, ``size``."""
+    spark = sized.sparkSession
+    kind = sized.schema["__source"].dataType.simpleString()
     found = sized.groupBy("__source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     found = found.limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     # Python orders strings by code point, as UTF-8 does.
-    found.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
+    named, unnamed = [r for r in found if r["__source"] is not None], [r for r in found if r["__source"] is None]
+    found = sorted(named, key=lambda r: r["__source"]) + unnamed
     targets = source_targets([r["size"] for r in found], weights, most)
     sources = [
         {"index": i, "name": r["__source"], "size": r["size"], "target": t, "mean": max(r["size"] / r["n"], 1e-9)}
         for i, (r, t) in enumerate(zip(found, targets))
     ]
-    schema = "__number int, __name string, source_size bigint, target double, mean double, multiplier double"
+    schema = f"__number int, __name {kind}, source_size bigint, target double, mean double, multiplier double, shift bigint"
 
     def given() -> DataFrame:
-        return F.broadcast(  # at most max_sources rows
-            spark.createDataFrame(
-                [(s["index"], s["name"], s["size"], s["target"], s["mean"], s.get("multiplier", 0.0)) for s in sources],
-                schema,
-            )
-        )
+        fields = ("index", "name", "size", "target", "mean")
+        rows = [(*(s[f] for f in fields), s.get("multiplier", 0.0), s.get("shift", 0)) for s in sources]
+        return F.broadcast(spark.createDataFrame(rows, schema))
 
     def with_source() -> DataFrame:
         return sized.join(given(), F.col("__source").eqNullSafe(F.col("__name")))
 
     counts = with_source().filter("size > 0").groupBy("__number", "size").agg(F.count(F.lit(1)).alias("n"))
     solve_multipliers(write_and_read(counts, "mix-counts"), sources, most)
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(
-        tilted(F.col("multiplier"), F.col("size"), F.col("mean"), most)
+    rated = with_source().select(
+        "__number", "size", rate_of(F.col("size"), most).alias("__rate"), fraction_of(F.col("__row")).alias("__fraction")
     )
-    rated = with_source().withColumn("rate", rate)
-    unit = 1 << FRACTION_BITS
-    rated = rated.withColumn("__rate", F.round(F.col("rate") * unit).cast("bigint"))
-    summed = running_sum(
-        rated.select("__number", "size", "__key", "source_size", "target", "rate", "__rate"),
-        ["__number", "size", "__key"],
-        "__rate",
-        "__before",
-        "mix-rates",
+    find_shifts(rated, sources, most)
+    return given()
+
+
+def mix(
+    docs: DataFrame,
+    key: str,
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    most: int = MOST,
+    max_sources: int = MAX_SOURCES,
+) -> DataFrame:
+    """``key``, ``size`` (words), ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
+
+    Row numbers, keys, sources and sizes are written once; every later pass reads those, not the texts.
+    """
+    apart, names, _ = named_apart(docs)
+    rows = stored_rows(apart).select(
+        "__row", F.col(names[key]).alias("__key"), F.col(names[source]).alias("__source"), word_count(F.col(names[text])).alias("size")
     )
-    copies = F.shiftright(F.col("__before") + F.col("__rate"), FRACTION_BITS) - F.shiftright("__before", FRACTION_BITS)
-    rounded = write_and_read(summed.withColumn("copies", copies.cast("int")).drop("__before", "__rate"), "mix-copies")
-    return settled(rounded, sources, most).select(
-        F.col("__key").alias(key),
-        "size",
-        "source_size",
-        "target",
-        "rate",
-        "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+    sized = write_and_read(rows, "mix-sizes")
+    given = source_table(sized.select("__row", "__source", "size"), weights, most, max_sources)
+    rated = sized.join(given, F.col("__source").eqNullSafe(F.col("__name"))).withColumn("rate", rate_of(F.col("size"), most))
+    copies = copies_of(F.col("size"), F.col("rate"), fraction_of(F.col("__row")), F.col("shift"), most)
+    return rated.withColumn("copies", copies).select(
+        F.col("__key").alias(key), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def settled(rounded: DataFrame, sources: list[dict], most: int) -> DataFrame:
-    """``rounded`` with one copy more or less of the smallest documents that allow it, as many
-    as fit into what their source still lacks or has too much."""
-    taken = F.sum(F.col("copies") * F.col("size")).alias("taken")
-    lacking = {r["__number"]: sources[r["__number"]]["target"] - r["taken"] for r in rounded.groupBy("__number").agg(taken).collect()}
-    lacks = rounded.sparkSession.createDataFrame(
-        [(n, int(round(x))) for n, x in lacking.items()], "__number int, __lack bigint"
-    )
-    open_rows = rounded.join(F.broadcast(lacks), "__number")  # at most max_sources rows
-    allows = F.when(F.col("__lack") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-    room = F.when(allows & (F.col("size") > 0) & (F.col("__lack") != 0), F.col("size")).otherwise(0).cast("bigint")
-    open_rows = open_rows.withColumn("__room", room)
-    rooms = {r["__number"]: r["room"] for r in open_rows.groupBy("__number").agg(F.sum("__room").alias("room")).collect()}
-    starts, start = [], 0
-    for n in sorted(rooms):
-        starts.append((n, start))
-        start += rooms[n]
-    given = rounded.sparkSession.createDataFrame(starts, "__number int, __start bigint")
-    summed = running_sum(open_rows, ["__number", "size", "__key"], "__room", "__before", "mix-rooms")
-    summed = summed.join(F.broadcast(given), "__number")
-    fits = (F.col("__room") > 0) & (F.col("__before") - F.col("__start") + F.col("__room") <= F.abs("__lack"))
-    return summed.withColumn("copies", (F.col("copies") + F.when(fits, F.signum("__lack")).otherwise(0)).cast("int"))
-
-
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+def repeat_rows(
+    docs: DataFrame,
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    most: int = MOST,
+    max_sources: int = MAX_SOURCES,
+) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it, with their columns as they were.
 
-    Rows are told apart by their place in the stored table.
+    The copies of a row are worked out where it stands: no text is moved.
     """
-    marked = stored_rows(docs)
-    copies = mix(marked, "__row", **options).filter("copies > 0").select("__row", "copies")
-    taken = marked.join(copies, "__row")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    apart, names, as_they_were = named_apart(docs)
+    marked = stored_rows(apart)
+    size = word_count(F.col(names[text]))
+    sized = write_and_read(marked.select("__row", F.col(names[source]).alias("__source"), size.alias("size")), "mix-sizes")
+    given = source_table(sized, weights, most, max_sources)
+    # The size is worked out once more, beside the text, rather than joined to it.
+    rows = marked.withColumn("__size", size).join(given, F.col(names[source]).eqNullSafe(F.col("__name")))
+    copies = copies_of(F.col("__size"), rate_of(F.col("__size"), most), fraction_of(F.col("__row")), F.col("shift"), most)
+    times = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("__copy", F.explode(times)).select(*as_they_were)
