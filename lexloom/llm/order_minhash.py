@@ -44,10 +44,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored_rows
+from lexloom.llm.common import named_apart, stored_rows
 from lexloom.llm.components import connected_components
 from lexloom.llm.token_files import open_folder
 from lexloom.session import new_stage_path, write_and_read
@@ -179,36 +180,52 @@ def sketch(rows: DataFrame) -> DataFrame:
     return made.withColumn("__key", F.col("__key").cast(rows.schema["__key"].dataType))
 
 
-def kmers_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``__row``, ``kmers`` of the rows in ``pairs``, found where they are: no text is moved.
-
-    Wanted rows are listed in the shared folder by ranges of their numbers, and a task
-    reads the lists of the ranges it meets, whichever rows it was given.
-    """
+def list_numbers(rows: DataFrame, numbers: DataFrame) -> tuple[str, int]:
+    """A folder of the shared folder with ``numbers`` (``__row``) by ranges, and the bits of a range."""
     folder = new_stage_path(rows.sparkSession, "wanted")
     last = rows.agg(F.max("__row")).first()[0] or 0
     bits = max(LIST_BITS, last.bit_length() - LISTS_BITS)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
-    wanted = wanted.withColumn("part", F.shiftright("__row", bits))
-    wanted.repartition("part").write.partitionBy("part").parquet(folder)
+    listed = numbers.withColumn("part", F.shiftright("__row", bits))
+    listed.repartition("part").write.partitionBy("part").parquet(folder)
+    return folder, bits
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
 
-        store, path = open_folder(folder)
+def listed_among(folder: str, bits: int):
+    """A function from row numbers to which of them are listed, for one task: it reads the
+    lists of the ranges it meets, whichever rows it was given, and keeps those of the last call."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = open_folder(folder)
+    lists: dict[int, np.ndarray] = {}
+
+    def listed(part: int) -> np.ndarray:
+        own = fs.FileSelector(f"{path}/part={part}", allow_not_found=True)
+        files = [f.path for f in store.get_file_info(own) if f.path.endswith(".parquet")]
+        read = [pq.ParquetFile(store.open_input_file(f)).read(["__row"]).column(0).to_numpy() for f in files]
+        return np.concatenate(read) if read else np.zeros(0, np.int64)
+
+    def among(numbers: np.ndarray) -> np.ndarray:
+        parts = np.unique(numbers >> bits).tolist()
+        now = {p: lists[p] if p in lists else listed(p) for p in parts}
+        lists.clear()
+        lists.update(now)
+        return np.isin(numbers, np.concatenate([*now.values(), np.zeros(0, np.int64)]))
+
+    return among
 
-        def listed(part: int) -> np.ndarray:
-            own = fs.FileSelector(f"{path}/part={part}", allow_not_found=True)
-            files = [f.path for f in store.get_file_info(own) if f.path.endswith(".parquet")]
-            lists = [pq.ParquetFile(store.open_input_file(f)).read(["__row"]).column(0).to_numpy() for f in files]
-            return np.concatenate(lists) if lists else np.zeros(0, np.int64)
 
-        lists, sketcher = {}, Sketcher()
+def kmers_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``__row``, ``kmers`` of the rows in ``pairs``, found where they are: no text is moved.
+
+    Wanted rows are listed in the shared folder by ranges of their numbers.
+    """
+    folder, bits = list_numbers(rows, pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        among, sketcher = listed_among(folder, bits), Sketcher()
         for frame in frames:
-            parts = np.unique(frame["__row"].to_numpy() >> bits).tolist()
-            lists = {p: lists[p] if p in lists else listed(p) for p in parts}
-            frame = frame[np.isin(frame["__row"].to_numpy(), np.concatenate([*lists.values(), np.zeros(0, np.int64)]))]
+            frame = frame[among(frame["__row"].to_numpy())]
             if len(frame):
                 short = [(sketcher.kmers(sketcher.words(t)) >> np.uint64(32)).astype("<u4").tobytes() for t in frame["__text"].array]
                 yield pd.DataFrame({"__row": frame["__row"], "kmers": short})
@@ -353,7 +370,20 @@ def classes_of(docs: DataFrame, key: str, text: str, threshold: float) -> DataFr
 
 
 def keep_one_of_each(docs: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, with its columns as they were."""
-    marked = stored_rows(docs)
-    kept = classes_of(marked, key, text, threshold).filter("is_kept").select("__row")
-    return marked.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each class, with its columns as they were.
+
+    The rows that go are listed by ranges of their numbers, and each task leaves out those it
+    meets: the texts are not moved.
+    """
+    apart, names, as_they_were = named_apart(docs)
+    marked = stored_rows(apart)
+    dropped = classes_of(marked, names[key], names[text], threshold).filter("NOT is_kept").select("__row")
+    folder, bits = list_numbers(marked, dropped)
+
+    def left_over(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = listed_among(folder, bits)
+        for part in parts:
+            yield part.filter(pa.array(~among(part.column(part.num_columns - 1).to_numpy())))
+
+    rows = marked.select(*apart.columns, "__row")
+    return rows.mapInArrow(left_over, rows.schema).select(*as_they_were)
