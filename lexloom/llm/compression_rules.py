@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import named_apart
+
 # (bytes at least, least ratio, greatest ratio)
 LIMITS = ((64, 0.70, 3.0), (256, 1.05, 4.0), (1024, 1.25, 5.0), (4096, 1.40, 6.0), (16384, 1.50, 7.0))
 CHUNK_BYTES = 4096
@@ -127,5 +129,5 @@ def judge_quality(
 
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows that pass, with their columns as they were."""
-    judged = judge_quality(docs, text, out="__quality", **limits)
-    return judged.filter(F.col("__quality.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    apart, names, as_they_were = named_apart(docs)
+    return judge_quality(apart, names[text], out="__quality", **limits).filter(F.col("__quality.kept")).select(*as_they_were)

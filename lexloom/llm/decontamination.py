@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored_rows
+from lexloom.llm.common import named_apart, stored_rows
 from lexloom.session import write_and_read
 
 SHINGLE = 5
@@ -49,6 +49,12 @@ def with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
     )
 
 
+def unsearched_items(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """``item_key`` of the items that ``find_items`` looks for nowhere: those of fewer words than a shingle."""
+    rows = items.select(F.col(item_key).alias("__item"), F.col(item_text).alias("__text"))
+    return with_shingles(rows, "__text", "__set").filter(F.size("__set") == 0).select(F.col("__item").alias(item_key))
+
+
 def size_class(n: Column) -> Column:
     """Partition of a set of n shingles: the power of two at or below n."""
     # Never null, so that no test for null makes the shingles twice.
@@ -77,7 +83,7 @@ def find_in(
     least = F.min_by("__shingle", F.xxhash64("__shingle", "__seed"))
     probes = (
         sets.select("__item_row", F.size("__set").alias("__n"), F.explode("__set").alias("__shingle"))
-        .crossJoin(docs.sparkSession.range(MINIMA).select(F.col("id").alias("__seed")))  # MINIMA rows
+        .withColumn("__seed", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(MINIMA - 1).cast("bigint"))))
         .groupBy("__item_row", "__seed", "__n")
         .agg(least.alias("__shingle"))
         .select("__item_row", "__shingle", size_class(F.ceil(F.col("__n") * threshold)).alias("__class"))
@@ -106,7 +112,8 @@ def find_in(
 
 def drop_contaminated(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, **options) -> DataFrame:
     """The rows of ``docs`` that contain no item, with their columns as they were."""
-    marked = stored_rows(docs)
-    found = find_in(marked, "__row", text, items, item_key, item_text, **options)
+    apart, names, as_they_were = named_apart(docs)
+    marked = stored_rows(apart)
+    found = find_in(marked, "__row", names[text], items, item_key, item_text, **options)
     found = write_and_read(found.select("__row").distinct(), "contaminated")
-    return marked.join(found, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(found, "__row", "left_anti").select(*as_they_were)

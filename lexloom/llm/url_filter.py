@@ -23,6 +23,8 @@ from lexloom.llm.common import LOWER, UPPER, ascii_lower
 STRICT_TERMS = ("porn", "porno", "xxx", "hentai", "camgirls", "milf", "escorts", "hardcore-sex")
 SOFT_TERMS = ("adult", "sex", "nude", "casino", "betting", "poker", "viagra", "dating", "lingerie", "webcam", "free", "hot")
 SOFT_LIMIT = 2
+STRICT_WEIGHT = 1.0
+MOST_TERMS = 1_000_000
 
 # (rule, verdict): host, then path from the first slash on.
 RULES = (
@@ -54,6 +56,23 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]], v
     return F.lit(None).cast("string") if chosen is None else chosen
 
 
+def terms_from_table(
+    terms: DataFrame, term: str = "term", weight: str = "weight", strict_weight: float = STRICT_WEIGHT, most: int = MOST_TERMS
+) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms for ``judge_urls`` out of a table: strict from ``strict_weight`` on, soft
+    with a weight above 0, by the highest weight of a term that stands there several times.
+
+    Terms are compared with A-Z in lower case; null and empty ones and those without a weight
+    are left out.  A vocabulary of more than ``most`` terms is an error, as it goes to every task.
+    """
+    rows = terms.select(ascii_lower(F.col(term)).alias("t"), F.col(weight).cast("double").alias("w"))
+    rows = rows.filter("t <> '' AND w > 0").groupBy("t").agg(F.max("w").alias("w")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    strict = tuple(sorted(r["t"] for r in rows if r["w"] >= strict_weight))
+    return strict, tuple(sorted(r["t"] for r in rows if r["w"] < strict_weight))
+
+
 def term_hits(strict: Sequence[str], soft: Sequence[str]):
     """A column function from url to the distinct strict and soft terms in it, sorted.
 
