@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from lexloom.session import write_and_read
 
 NULL_KEY = -(1 << 63)
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
+WORDS_AT_ONCE = 250
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
@@ -72,6 +73,25 @@ class TextEncoder:
         self.tokenizer, self.dtype = Tokenizer.from_str(model), np.dtype(dtype)
         self.by_piece, self.lone_space = splits_at_spaces(model), re.compile(r"(?<=\S) (?=\S)")
         self.known: dict[str, bytes] = {}
+        # By id, whether a token begins with a space, which byte-level models write as Ġ.
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it, many words to one call: a space
+        begins a piece, so the tokens that begin with one tell the words apart."""
+        lines = [" " + " ".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        out: list[bytes] = []
+        for i in range(0, len(lines), 100):
+            for encoded in self.tokenizer.encode_batch_fast(lines[i : i + 100], add_special_tokens=False):
+                ids = np.array(encoded.ids, self.dtype)
+                ends = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
+                flat, size = ids.tobytes(), self.dtype.itemsize
+                out += [flat[a * size : b * size] for a, b in zip(ends, ends[1:])]
+        if len(out) != len(words):
+            raise RuntimeError("words and tokens that begin with a space do not agree")
+        return out
 
     def raw(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -103,7 +123,11 @@ class TextEncoder:
         bare = {p: p.rstrip(".,;:!?") for p in new}
         bare = {p: b if b and b[-1].isalnum() else p for p, b in bare.items()}
         words = list(set(bare.values()).difference(known))
-        fresh.update(zip(words, self.raw([" " + w for w in words])))
+        # Pieces with a space inside or at the end are left to the pattern.
+        odd = [w for w in words if " " in w or w[-1:].isspace()]
+        words = list(set(words).difference(odd))
+        fresh.update(zip(words, self.words(words)))
+        fresh.update(zip(odd, self.raw([" " + w for w in odd])))
         marks = {p[len(b) :] for p, b in bare.items()} - {""}
         marked = dict(zip(marks, self.raw(list(marks))))
         of = lambda w: fresh[w] if w in fresh else known[w]
