@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages from documents to shards, each calling one operator of lexloom.llm."""
+"""The corpus pipeline: stages from documents to shards, each calling one operator of lexloom.llm.
+
+Defined cases, for every stage: columns that the operators do not name may have any name and type,
+and all but the last stage return them as they were.  A null or empty text has no words and goes
+in the first stage; null keys and null sources stay, a null source being one source.  Repeated
+rows are near duplicates of each other: one stays.  Ties go by the place of the row.  An empty table
+gives an empty one.
+"""
 
 from __future__ import annotations
 

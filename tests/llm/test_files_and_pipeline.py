@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexloom.llm import token_files
@@ -43,3 +44,19 @@ def test_stages_keep_columns_and_clean_rows(spark, small):
         if name != "sharding":
             assert docs.columns == columns
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0.5 * sizes[0] and sizes[4] == sizes[5]
+
+
+def test_stages_on_nulls_ties_repeated_rows_and_nothing(spark, small):
+    prose = [" ".join(f"w{(i * 37 + j * j) % 911}" for j in range(80 + i)) for i in range(4)]
+    rows = [(1, prose[0], "a", 5), (1, prose[0], "a", 5), (None, prose[1], None, None), (2, None, "b", 1), (3, "", None, 1), (None, prose[2], "b", 2), (4, prose[3], None, 3)]
+    schema = "doc_id bigint, text string, source string, copies int"
+    docs = write_and_read(spark.createDataFrame(rows, schema).withColumn("__row", F.lit("x")).withColumn("quality", F.lit(0)), "test-edge")
+    for frame, counts in ((docs, (5, 4, 4)), (write_and_read(docs.limit(0), "test-edge"), (0, 0, 0))):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = frame.columns
+            frame = write_and_read(stage(spark, frame, small), "test-edge")
+            if i < 3:
+                assert frame.count() == counts[i], name
+            if i < 4:
+                assert frame.columns == columns and frame.filter("__row <> 'x' OR quality <> 0").isEmpty()
+        assert frame.filter("shard NOT BETWEEN 0 AND 15").isEmpty() and frame.isEmpty() == (counts[0] == 0)
