@@ -100,11 +100,24 @@ def found_spans(rows: DataFrame) -> DataFrame:
     )
 
 
+def places_of(value: Column) -> Column:
+    """The place in the alphabet of each character of a string, 0 for others: cut into characters
+    once, as to look for each one from the beginning takes the square of the length."""
+    return F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
+def pair_codes(value: Column) -> Column:
+    """``first * letters + second`` for each two neighbouring characters."""
+    places = places_of(value)
+    n = F.greatest(F.length(value) - 1, F.lit(0))
+    letters = len(ALPHABET) + 1
+    return F.zip_with(F.slice(places, 1, n), F.slice(places, 2, n), lambda a, b: a * letters + b)
+
+
 def character_pairs(strings: DataFrame, value: str, *keep: str) -> DataFrame:
-    """One row for each two neighbouring characters: their places in the alphabet, 0 for others."""
-    place = lambda at: F.instr(F.lit(ALPHABET), F.substring(F.col(value), at, F.lit(1)))
-    pairs = strings.filter(F.length(value) >= 2).withColumn("__at", F.explode(F.sequence(F.lit(2), F.length(value))))
-    return pairs.select(*keep, place(F.col("__at") - 1).alias("first"), place(F.col("__at")).alias("second"))
+    """One row for each two neighbouring characters: their ``code``."""
+    # explode() would test the size first, in a filter that makes the codes twice
+    return strings.select(*keep, F.explode_outer(pair_codes(F.col(value))).alias("code")).filter("code IS NOT NULL")
 
 
 def count_pairs(samples: DataFrame, value: str, label: str, times: str | None = None) -> dict[int, list[int]]:
@@ -113,10 +126,10 @@ def count_pairs(samples: DataFrame, value: str, label: str, times: str | None =
     A sample counts as often as its column ``times`` says."""
     letters = len(ALPHABET) + 1
     samples = samples.withColumn("__times", F.col(times) if times else F.lit(1))
-    counted = character_pairs(samples, value, label, "__times").groupBy(label, "first", "second").agg(F.sum("__times").alias("count"))
+    counted = character_pairs(samples, value, label, "__times").groupBy(label, "code").agg(F.sum("__times").alias("count"))
     counts = {0: [0] * letters**2, 1: [0] * letters**2}
     for row in counted.collect():  # two labels, all pairs of letters at most
-        counts[int(row[label])][row["first"] * letters + row["second"]] = row["count"]
+        counts[int(row[label])][row["code"]] = row["count"]
     return counts
 
 
@@ -139,13 +152,9 @@ def ratios_of(counts: dict[int, list[int]]) -> list[float]:
 
 def log_ratio(value: Column, ratios: list[float]) -> Column:
     """Sum of the ratios of all neighbouring characters of a string."""
-    letters = len(ALPHABET) + 1
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
-    place = lambda at: F.instr(F.lit(ALPHABET), F.substring(value, at, F.lit(1)))
-    step = lambda total, at: total + F.element_at(table, place(at - 1) * letters + place(at) + 1)
-    return F.when(F.length(value) < 2, F.lit(0.0)).otherwise(
-        F.aggregate(F.sequence(F.lit(2), F.length(value)), F.lit(0.0), step)
-    )
+    step = lambda total, code: total + F.element_at(table, code + 1)
+    return F.aggregate(pair_codes(value), F.lit(0.0), step)
 
 
 def own_weight(value: Column, counts: dict[int, list[int]]) -> Column:
@@ -153,8 +162,7 @@ def own_weight(value: Column, counts: dict[int, list[int]]) -> Column:
     letters = len(ALPHABET) + 1
     pairs = counts[0]
     after = [sum(pairs[i * letters : (i + 1) * letters]) for i in range(letters)]
-    place = lambda at: F.instr(F.lit(ALPHABET), F.substring(value, at, F.lit(1)))
-    codes = F.transform(F.sequence(F.lit(2), F.length(value)), lambda at: place(at - 1) * letters + place(at))
+    codes = pair_codes(value)
 
     def gain(codes: Column, numbers: list[int], floor: float) -> Column:
         # Of each code that stands run times in the value, run times the log of its number with the value over that without.

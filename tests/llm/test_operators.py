@@ -47,6 +47,34 @@ def test_urls_by_brute_force(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id int, url string"), "page_id", "url").count() == 0
 
 
+def test_vocabulary_of_thousands_of_terms(spark):
+    """Verdicts come from the vocabulary: one strict term, two distinct soft ones, at boundaries only."""
+    words = [f"t{i * 7919 % 100003}x" for i in range(4000)]
+    rows = [(w if i % 3 else w.upper(), 1.5 if i % 4 == 0 else 0.4) for i, w in enumerate(words)]
+    rows += [(words[1], 2.0), (words[2], 0.1), ("", 1.0), (None, 1.0), ("nothing", 0.0), ("unweighed", None)]
+    table = spark.createDataFrame(rows, "term string, weight double")
+    strict, soft = url_filter.terms_from_table(table)
+    assert set(strict) == {words[1], *words[::4]} and len(strict) + len(soft) == 4000 and words[2] in soft
+    urls = []
+    for i in range(0, 3990, 5):
+        a, b = words[i : i + 2]
+        urls += [f"s://h/{a}", f"s://h/{a}/{b}", f"s://h/{a}-{a}", f"s://h/z{a}/{b}9", f"s://{b.upper()}.h/?q={a}", f"s://h/{a}{b}"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(frame, "page_id", "url", rules=(), strict=strict, soft=soft).collect()}
+    verdicts = Counter()
+    for i, url in enumerate(urls):
+        found = set(re.split("[^a-z0-9]+", url.lower()))
+        hard, mild = sorted(found & set(strict)), sorted(found & set(soft))
+        assert (got[i]["strict_terms"], got[i]["soft_terms"]) == (hard, mild)
+        assert got[i]["verdict"] == ("block" if hard or len(mild) > 1 else "allow")
+        verdicts[bool(hard), min(len(mild), 2)] += 1
+    assert min(verdicts.values()) > 50 and len(verdicts) >= 5
+    with pytest.raises(ValueError):
+        url_filter.terms_from_table(table, most=100)
+    allowed = url_filter.judge_urls(frame, "page_id", "url", rules=(), strict=(), soft=())
+    assert allowed.filter("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
+
+
 def test_quality_by_brute_force(docs, none):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -68,6 +96,69 @@ def test_quality_by_brute_force(docs, none):
     assert kept.filter("doc_id = 3").count() == 2 and cr.keep_good(none).count() == 0
 
 
+def test_compression_bands_by_brute_force(spark):
+    """Ratios of whole texts and of chunks against zstandard itself, over texts of every length class."""
+    import base64
+    import hashlib
+
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=cr.LEVEL, write_content_size=False, write_checksum=False)
+    noise = lambda n, seed: base64.b64encode(b"".join(hashlib.sha256(f"{seed}{i}".encode()).digest() for i in range(n // 32 + 1)))[:n].decode()
+    spaced = lambda t: " ".join(t[i : i + 7] for i in range(0, len(t), 7))
+    plain = [" ".join(f"{w}{(i * j) % 613}" for j, w in enumerate("the of and one two some more".split() * k)) for i, k in enumerate((1, 3, 9, 40, 170, 700), 1)]
+    texts = [None, "", "short", *plain, *[spaced(noise(n, n)) for n in (50, 100, 500, 3000, 30_000)]]
+    texts += ["word " * n for n in (5, 30, 100, 800, 9000)] + [f"line {i} of one and the same long list\n" * 60 for i in range(2)]
+    texts += [plain[5] + spaced(noise(n, 1)) for n in (4000, 20_000, 60_000)] + [plain[5] + "same again " * n for n in (300, 3000)]
+
+    def expected(text):
+        raw = (text or "").encode()
+        band = [(low, high) for least, low, high in cr.LIMITS if len(raw) >= least][-1:]
+        if not band:
+            return None, 0.0, False
+        ratio = len(raw) / len(packer.compress(raw))
+        outside, bad = not band[0][0] <= ratio <= band[0][1], 0
+        if len(raw) > cr.CHUNK_BYTES:
+            for at in range(0, len(raw), cr.CHUNK_BYTES):
+                piece = raw[at : at + cr.CHUNK_BYTES]
+                low, high = [(low, high) for least, low, high in cr.LIMITS if len(piece) >= least][-1:][0] if len(piece) >= 64 else (0, 1e9)
+                if len(piece) >= cr.LEAST_CHUNK and not low <= len(piece) / len(packer.compress(piece)) <= high:
+                    bad += len(piece)
+        return ratio, bad / len(raw), outside or bad / len(raw) >= cr.CHUNK_SHARE
+
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    seen = Counter()
+    for r in cr.judge_quality(frame).collect():
+        q, (ratio, bad, goes) = r["quality"], expected(r["text"])
+        assert q["ratio"] == (None if ratio is None else pytest.approx(ratio)) or (ratio is None and math.isnan(q["ratio"]))
+        assert q["bad_chunk_share"] == pytest.approx(bad) and q["kept"] == (not goes and not q["base_failed"])
+        seen[goes, q["base_failed"], bad > 0] += 1
+    # Texts that go by their band alone, by their chunks, and texts that stay.
+    assert seen[True, False, True] and seen[False, False, False] and sum(n for (goes, _, _), n in seen.items() if goes) >= 4
+
+
+def test_places_by_brute_force(spark):
+    """Every place of the permutation against the same network over plain numbers."""
+
+    def place(x, n, seed):
+        a, b = sharding.rectangle(n)
+        while True:
+            left, right = x % a, x // a
+            for i, key in enumerate(sharding.round_keys(seed)):
+                v = ((right if i % 2 == 0 else left) + key) & sharding.MASK
+                for factor, shift in ((739982445, 15), (695872825, 12)):
+                    v = v * factor & sharding.MASK
+                    v ^= v >> shift
+                left, right = ((left + v) % a, right) if i % 2 == 0 else (left, (right + v) % b)
+            x = left + right * a
+            if x < n:
+                return x
+
+    for n, seed in ((1, 0), (5, 1), (777, 2), (4099, 3)):
+        got = spark.range(n).select("id", sharding.permute(F.col("id"), n, seed).alias("p")).collect()
+        assert all(r["p"] == place(r["id"], n, seed) for r in got)
+
+
 def test_shards_are_a_permutation(docs, none):
     rows = sharding.assign_shards(docs, "doc_id", "text", 4).collect()
     assert len(rows) == docs.count()
@@ -184,6 +275,68 @@ def test_language_model_by_brute_force(docs, none):
     assert lm.score_documents(none, "doc_id").count() == 0
 
 
+def test_log_ratios_by_brute_force(spark):
+    letters = len(secret_scan.ALPHABET) + 1
+    ratios = [math.sin(i) for i in range(letters**2)]
+    values = ["", "a", "ab", "AKIA99==", "x y\u00e9", "a" * 500, *secret_scan.made_keys(20)]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secret_scan.log_ratio(F.col("v"), ratios).alias("r"))
+    place = lambda c: secret_scan.ALPHABET.find(c) + 1
+    for r in got.collect():
+        assert r["r"] == pytest.approx(sum(ratios[place(a) * letters + place(b)] for a, b in zip(r["v"], r["v"][1:])))
+
+
+def test_secrets_in_one_very_long_run(spark):
+    """The work grows with the length of a run, not with its square."""
+    run = "".join(secret_scan.made_keys(6000))
+    assert len(run) > 200_000
+    docs = spark.createDataFrame([(1, f"image {run} password = hunter2hunter2"), (2, None)], "doc_id bigint, text string")
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan_secrets(docs, "doc_id").collect()}
+    assert ("assign", len(run) + 7, len(run) + 7 + 25) in spans[1] and spans[2] == []
+
+
+def test_items_too_short_to_search_are_listed(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (2, "one two three four five"), (3, None)], "item_id int, text string")
+    assert sorted(r["item_id"] for r in dc.unsearched_items(items, "item_id", "text").collect()) == [1, 3]
+
+
+def test_mix_of_many_rows(spark):
+    """Every source comes within a short document of its target, a hot one and whole-number names too."""
+    rows = [(i, " ".join(["w"] * (1 + i * i % 97)), [0, 0, 0, 1, 2, None, -3][i % 7]) for i in range(3000)]
+    frame = write_and_read(spark.createDataFrame(rows, "doc_id bigint, text string, source int"), "test-mix")
+    mixed = mixing.mix(frame, "doc_id").collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    name = {i: s for i, _, s in rows}
+    for r in mixed:
+        s = name[r["doc_id"]]
+        sizes[s] += r["size"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"] and r["rate"] <= 3
+    ordered = [-3, 0, 1, 2, None]
+    expected = mixing.source_targets([sizes[s] for s in ordered], (1.0, 2.0, 3.0))
+    for s, t in zip(ordered, expected):
+        assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= 97
+    # The rates of a source tilt one way, by size.
+    for s in (0, 1):
+        pairs = sorted({(r["size"], r["rate"]) for r in mixed if name[r["doc_id"]] == s})
+        rates = [r for _, r in pairs]
+        assert rates in (sorted(rates), sorted(rates, reverse=True)) and len(set(rates)) > 5
+    again = mixing.mix(frame, "doc_id").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, mixed))
+
+
+def test_columns_with_the_names_of_operators_stay(spark, docs):
+    own = {"quality": "mine", "copies": 7, "__row": "a", "__file": "b", "__at": 1, "size": 5, "__size": 3, "multiplier": 0.5}
+    frame = docs.select("doc_id", "text", "source", *[F.lit(v).alias(k) for k, v in own.items()])
+    frame = write_and_read(frame, "test-clash")
+    items = spark.createDataFrame([(1, PROSE[2])], "item_id int, text string")
+    for made in (cr.keep_good(frame), order_minhash.keep_one_of_each(frame, "doc_id"), mixing.repeat_rows(frame),
+                 dc.drop_contaminated(frame, "text", items, "item_id", "text")):
+        assert made.columns == frame.columns and made.count() > 0
+        assert made.select(*own).distinct().collect() == [tuple(own.values())]
+        assert made.join(frame, "doc_id", "left_semi").count() >= made.filter("doc_id IS NOT NULL").count()
+
+
 def test_em_finds_the_mixture(spark):
     events = spark.createDataFrame([(1, 0.1, 0.9, 90), (1, 0.1, 0.0, 10)], 'class int, p1 double, p2 double, n bigint')
     weights = lm.learn_weights(events, 1e-6, rounds=200, tolerance=0)
