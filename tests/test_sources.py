@@ -22,6 +22,15 @@ def test_recursive_scan_skips_junk(spark, tmp_path):
     assert found.select("file_name").distinct().count() == 2
 
 
+def test_subset_of_tables_that_are_files_or_folders(spark, tmp_path):
+    for name, n in (("docs_a", 3), ("docs_b", 4), ("other", 5)):
+        spark.range(n).repartition(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    one = next((tmp_path / "docs_b.parquet").glob("part-*.parquet"))
+    (tmp_path / "docs_c.parquet").write_bytes(one.read_bytes())
+    in_c = spark.read.parquet(str(one)).count()
+    assert readers.read_subset(spark, str(tmp_path), "doc*.parquet").count() == 7 + in_c
+
+
 def test_table_from_columns(spark):
     df = readers.table_from_columns(spark, {"input_ids": [[1, 2], [3]], "n": [2, 1]})
     assert [tuple(r) for r in df.orderBy("n").collect()] == [([3], 1), ([1, 2], 2)]
