@@ -46,9 +46,17 @@ def check_equal_lengths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumn(first, F.when(same, F.col(first)).otherwise(F.raise_error(message)))
 
 
-def split_evenly(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """``part``: equal contiguous shares; rows not divisible by ``parts`` are a run-time error."""
+def split_evenly(df: DataFrame, key: str, parts: int, remainder: bool = False) -> DataFrame:
+    """``part``: equal contiguous shares; rows not divisible by ``parts`` are a run-time error.
+
+    With ``remainder`` the rows left over, fewer than ``parts``, come last as a part of their own,
+    numbered ``parts``; with fewer rows than ``parts`` these are all rows.
+    """
     placed = with_row_position(df, key, "__pos").withColumn("__n", row_count(df))
-    message = F.lit(f"the number of rows must be evenly divisible by {parts}")
-    share = F.when(F.col("__n") % parts == 0, F.col("__n") / parts).otherwise(F.raise_error(message))
-    return placed.withColumn("part", F.floor(F.col("__pos") / share).cast("int")).drop("__pos", "__n")
+    share = F.floor(F.col("__n") / parts)
+    if remainder:
+        part = F.when(F.col("__pos") < share * parts, F.floor(F.col("__pos") / share)).otherwise(parts)
+    else:
+        message = F.lit(f"the number of rows must be evenly divisible by {parts}")
+        part = F.floor(F.col("__pos") / F.when(F.col("__n") % parts == 0, share).otherwise(F.raise_error(message)))
+    return placed.withColumn("part", part.cast("int")).drop("__pos", "__n")

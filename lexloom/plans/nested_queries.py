@@ -143,5 +143,6 @@ def reduce_average(spark: SparkSession, folder: str) -> DataFrame:
     """select doc_id, (row_number() over (order by doc_id) - 1) // (count(*) over () // 4) as part from documents""",
 )
 def split_evenly(spark: SparkSession, folder: str) -> DataFrame:
+    """Equal shares for any number of documents; those left over are a part of their own."""
     docs = table(spark, folder, "documents").select("doc_id")
-    return workers.split_evenly(docs, "doc_id", WORKERS).select("doc_id", F.col("part").cast("bigint").alias("part"))
+    return workers.split_evenly(docs, "doc_id", WORKERS, remainder=True).select("doc_id", F.col("part").cast("bigint").alias("part"))

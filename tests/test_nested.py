@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import nested
 from lexloom.functions.arrays import pad_structure
 from lexloom.operators import workers
+from lexloom.plans import nested_queries
 
 
 def test_strings_only(spark):
@@ -41,6 +42,15 @@ def test_even_split_needs_divisible_rows(spark):
         workers.split_evenly(spark.range(7), "id", 3).collect()
 
 
+def test_even_split_of_any_number_of_rows(spark, tmp_path):
+    for n, wanted in ((6, [0, 0, 1, 1, 2, 2]), (8, [0, 0, 1, 1, 2, 2, 3, 3]), (2, [3, 3]), (0, [])):
+        parts = workers.split_evenly(spark.range(n), "id", 3, remainder=True).orderBy("id").collect()
+        assert [r.part for r in parts] == wanted
+    spark.range(10).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    got = nested_queries.split_evenly(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.part for r in got] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
 def test_columns_of_unequal_length_are_an_error(spark):
     df = spark.sql("select array(1, 2) as a, array(1) as b")
     with pytest.raises(PySparkException, match="same length"):
