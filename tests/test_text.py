@@ -1,7 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as rules
+from lexloom.plans.registry import spread
 
 CASES = [
     (
@@ -53,3 +56,36 @@ def test_plan_stays_in_codegen(spark, small, capsys):
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Exchange" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_allow_list_is_the_set_of_its_characters(spark):
+    allowed = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\n,.!?'\"-")
+    points = [*range(0x3000), *range(0xD700, 0xD800), *range(0xE000, 0xE100), 0xFFFF, 0x10000, 0x1F600, 0x10FFFF]
+    rows = spark.createDataFrame([(i, f"a{chr(i)}b") for i in points], "i int, t string")
+    held = F.regexp_replace("t", rules.NOT_ALLOWED_OR_HELD, " ").alias("held")
+    for r in rows.select("i", rules.allow_list(F.col("t")).alias("plain"), rules.allow_list(F.col("t"), True).alias("more"), held).collect():
+        assert r.plain == f"a{chr(r.i) if chr(r.i) in allowed else ' '}b"
+        assert r.more == f"a{chr(r.i) if chr(r.i) in allowed | {'+', '@'} else ' '}b"
+        assert r.held == f"a{chr(r.i) if chr(r.i) in allowed or 0xE000 <= r.i <= 0xE003 else ' '}b"
+
+
+def test_allow_list_costs_no_more_than_other_sets(spark):
+    rows = spark.range(1).select(F.repeat(F.lit("some plain words, as they come "), 200_000).alias("t")).localCheckpoint()
+
+    def seconds(rule):
+        taken = []
+        for _ in range(3):
+            begun = time.perf_counter()
+            rows.agg(F.sum(F.length(rule(F.col("t"))))).collect()
+            taken.append(time.perf_counter() - begun)
+        return min(taken)
+
+    assert seconds(rules.allow_list) < 5 * seconds(rules.blank_control) + 0.2
+
+
+def test_tasks_of_a_corpus_stay_small(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.range(1000).repartition(2).write.parquet(path)
+    dealt = spread(spark.read.parquet(path), rows_per_task=50)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100
