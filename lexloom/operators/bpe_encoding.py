@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from lexloom.operators.tokenizer import UNK, WORD_START, Tokenizer, normalize, split_words
 
 COMMON_WORDS = 200_000
+# Characters of text whose ids a task makes at a time; a row is not divided.
+CHARACTERS_AT_ONCE = 2_000_000
 
 
 def word_encoder(tok: Tokenizer):
@@ -72,6 +74,19 @@ def join_ids(words: pa.ListArray, ids_of: dict[str, list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
+def in_slices(part: pa.RecordBatch, words: int, at_once: int = CHARACTERS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """A batch as runs of rows whose ``words`` begin within ``at_once`` characters; no row is copied."""
+    column = part.column(words)
+    listed = column.flatten()
+    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(listed), 0).to_numpy(zero_copy_only=False))])
+    n_words = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = before[np.cumsum(n_words)]
+    cuts = np.flatnonzero(np.diff(ends // at_once)) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), part.num_rows]):
+        if begin < end:
+            yield part.slice(begin, end - begin)
+
+
 def side_columns(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     """``length``, a mask of ones and type ids of zeros."""
     n = F.size(ids)
@@ -94,7 +109,8 @@ def encode(
 ) -> DataFrame:
     """``key``, ``input_ids`` and side columns; nothing is truncated, padded or added.
 
-    No row is moved, so keys may be null or repeated.  A null text has no ids.  A task
+    No row is moved, so keys may be null or repeated.  A null text has no ids.  A task makes
+    the ids of a bounded number of characters at a time, however many rows a batch holds.  It
     forgets its words when it knows more than ``common_words``, and encodes them again
     where they come again.
     """
@@ -102,7 +118,7 @@ def encode(
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
-        for part in parts:
+        for part in chain.from_iterable(in_slices(p, 1) for p in parts):
             words = part.column(1)
             if len(known) > common_words:
                 known.clear()

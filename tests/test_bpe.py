@@ -185,3 +185,30 @@ def test_store_refuses_an_existing_target(spark):
     assert stages.load_tokenizer(spark, path).tokens[-1] == tk.EOS
     with pytest.raises(AnalysisException):
         stages.save_tokenizer(spark, tok, path)
+
+
+def test_ids_are_made_in_bounded_slices(spark):
+    rows = [["ab", "c"], None, [], ["abcdef"], ["a", None], ["bc"], ["a" * 50], []]
+    part = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(rows, pa.list_(pa.string()))], names=["k", "w"])
+    for batch in (part, part.slice(1, 6)):
+        for at_once in (1, 4, 7, 1000):
+            slices = list(enc.in_slices(batch, 1, at_once))
+            assert pa.Table.from_batches(slices).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+            for s in slices:
+                sizes = [sum(len(w or "") for w in r or []) for r in s.column(1).to_pylist()]
+                assert sum(sizes) <= at_once + max(sizes)
+    assert len(list(enc.in_slices(part, 1, 4))) > 2 and not list(enc.in_slices(part.slice(0, 0), 1))
+    tok = tk.Tokenizer((*tk.TRAINED_SPECIALS, "a", "b", tk.WORD_START), frozenset(tk.TRAINED_SPECIALS), ())
+    df = spark.createDataFrame([(i, "ab " * i) for i in range(20)], "k int, t string")
+    assert [len(r.input_ids) for r in enc.encode(df, "k", "t", tok).orderBy("k").collect()] == [0] + [3 * i + 1 for i in range(1, 20)]
+
+
+def test_a_job_applies_few_old_merges(spark, monkeypatch):
+    replayed = []
+    log = bpe.change_log
+    monkeypatch.setattr(bpe, "change_log", lambda done, tried: replayed.append(len(done)) or log(done, tried))
+    random.seed(3)
+    words = ["".join(random.choice("abcdefgh") for _ in range(random.randint(2, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(w, 20) for w in set(words)], "word string, cnt long")
+    assert len(bpe.train_bpe(df, 150).merges) > 100
+    assert max(replayed) < 24
