@@ -76,7 +76,7 @@ def conversation_pack(spark: SparkSession, folder: str) -> DataFrame:
     """A table without a unique key: cleaned, encoded and packed in the order of its files."""
     tok = trained(spark, folder)
     turns = with_source_position(table(spark, folder, "conversations").select("text"))
-    turns = turns.withColumn("text", clean_text(F.col("text")))
+    turns = spread(turns).withColumn("text", clean_text(F.col("text")))
     encoded = encode(turns, "row_no", "text", tok, ascii_only=True).select("row_no", "input_ids", "attention_mask")
     batched = assign_batches(write_and_read(encoded, "encoded"), None, SHARDS, BATCH, pos="row_no")
     fill = packing.fill_values(["input_ids", "attention_mask"], tok.id_of(EOS), tok.id_of(PAD))
