@@ -6,10 +6,13 @@ when batches are collated.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.operators.position import FINE_BITS, hash_levels, row_count, running_totals, with_row_position
 
@@ -187,17 +190,49 @@ def assign_rank_batches(df: DataFrame, batch_size: int) -> DataFrame:
     )
 
 
+def packing() -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """A text as its compressed bytes, and a list of such bytes as the texts again."""
+
+    # Nested, so that they travel to the workers by value.
+    def pack(texts: pd.Series) -> pd.Series:
+        codec = pa.Codec("zstd", 9)
+        return texts.map(lambda t: len(b := t.encode()).to_bytes(8, "little") + codec.compress(b, asbytes=True), na_action="ignore")
+
+    def unpack(lists: pd.Series) -> pd.Series:
+        codec = pa.Codec("zstd")
+
+        def text(b: bytes | None) -> str | None:
+            if b is None:
+                return None
+            size = int.from_bytes(b[:8], "little")
+            return codec.decompress(b[8:], size, asbytes=True).decode() if size else ""
+
+        return lists.map(lambda row: [text(b) for b in row], na_action="ignore")
+
+    return F.pandas_udf(pack, T.BinaryType()), F.pandas_udf(unpack, T.ArrayType(T.StringType()))
+
+
 def collate(
-    assigned: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = ("rank", "batch")
+    assigned: DataFrame,
+    rows: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    by: Sequence[str] = ("rank", "batch"),
+    packed: Sequence[str] = (),
 ) -> DataFrame:
     """One row per batch, named by the columns ``by``: each column becomes the list of its values in order.
 
-    A group holds one batch, so it is as small as the batch size.
+    A group holds one batch, so it is as small as the batch size.  Columns of text named in ``packed``
+    are compressed once for each row, moved so, and unpacked in their batches: for rows
+    that are taken in many epochs.
     """
-    placed = assigned.select(*by, "idx", key).join(rows.select(key, *columns), key)
+    pack, unpack = packing()
+    whole = rows.select(key, *[pack(F.col(c)).alias(c) if c in packed else c for c in columns])
+    placed = assigned.select(*by, "idx", key).join(whole, key)
     members = F.sort_array(F.collect_list(F.struct("idx", *columns)))
     grouped = placed.groupBy(*by).agg(members.alias("__rows"))
-    return grouped.select(*by, *[F.col(f"__rows.{c}").alias(c) for c in columns])
+    listed = grouped.select(*by, *[F.col(f"__rows.{c}").alias(c) for c in columns])
+    return listed.withColumns({c: unpack(F.col(c)) for c in packed}) if packed else listed
 
 
 def repeat_epochs(df: DataFrame, n: int) -> DataFrame:

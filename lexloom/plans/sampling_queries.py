@@ -9,7 +9,7 @@ from lexloom.operators import permutation as keyed
 from lexloom.operators import sampling as sp
 from lexloom.operators.position import with_row_position, with_source_position
 from lexloom.plans import sql
-from lexloom.plans.packing_queries import word_ids
+from lexloom.plans.packing_queries import joined, word_ids
 from lexloom.plans.registry import query, table
 from lexloom.session import write_bucketed
 
@@ -242,15 +242,14 @@ def grouped_sampler_of_epochs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def collate_batches_of_epochs(spark: SparkSession, folder: str) -> DataFrame:
     """The batches of all epochs out of one plan: each epoch in its own order."""
-    docs = word_ids(spark, folder).withColumn("doc", F.col("doc_id"))
+    docs = word_ids(spark, folder).select("doc_id", joined("ids").alias("text"), F.col("doc_id").alias("doc"))
     assigned = sp.assign_rank_batches(of_all_epochs(spark, folder), BATCH)
-    rows = sp.collate(assigned, docs, "doc_id", ["ids", "doc"], ["epoch", "rank", "batch"])
-    text = F.transform("ids", lambda r: F.array_join(F.transform(r, lambda i: i.cast("string")), ","))
+    rows = sp.collate(assigned, docs, "doc_id", ["text", "doc"], ["epoch", "rank", "batch"], packed=["text"])
     return rows.select(
         F.col("epoch").cast("bigint").alias("epoch"),
         F.col("rank").cast("bigint").alias("rank"),
         "batch",
-        F.md5(F.array_join(text, "|")).alias("rows"),
+        F.md5(F.array_join("text", "|")).alias("rows"),
         F.array_join(F.transform("doc", lambda i: i.cast("string")), ",").alias("doc_ids"),
     )
 

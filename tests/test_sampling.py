@@ -111,3 +111,17 @@ def test_resumed_batches_are_the_rest_of_the_epoch(spark):
     rest = permutation.batch_rows(spark, 1003, 4, 16, seed=2, epoch=1, first_batch=9).collect()
     assert sorted(rest) == sorted(r for r in whole if r.batch >= 9) and min(r.batch for r in rest) == 9
     assert permutation.batch_rows(spark, 1003, 4, 16, first_batch=99).count() == 0 == permutation.batch_rows(spark, 0, 4, 16).count()
+
+
+def test_packed_columns_are_small_and_come_back(spark):
+    texts = ["", None, "é😀\n", *(",".join(str((i * j) % 997) for j in range(400)) for i in range(3, 30))]
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id long, t string, n long")
+    assigned = sp.repeat_epochs(rows.select("id", F.lit(0).alias("rank"), (F.col("id") % 4).alias("batch"), F.col("id").alias("idx")), 3)
+    by = ["epoch", "rank", "batch"]
+    plain = sp.collate(assigned, rows, "id", ["t", "n"], by).orderBy(*by).collect()
+    assert sp.collate(assigned, rows, "id", ["t", "n"], by, packed=["t"]).orderBy(*by).collect() == plain and len(plain) == 12
+    pack, _ = sp.packing()
+    # 400 ids to a row: less than half of what they take as four bytes each.
+    assert rows.filter("id > 2").agg(F.max(F.length(pack(F.col("t"))))).first()[0] < 2 * 400
+    nothing = sp.collate(assigned.limit(0), rows, "id", ["t"], by, packed=["t"])
+    assert nothing.collect() == []
