@@ -61,7 +61,8 @@ LEAST_KMERS = 256
 LEAST_SLACK = 0.11
 BITMAP_WORDS = 16
 CHUNK_MEMBERS = 1000
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
+ROWS_AT_ONCE = 500  # rows whose sketches a task holds
 LIST_BITS, LISTS_BITS = 10, 12  # rows to a list of kmers_of at least; lists at most
 
 
@@ -75,6 +76,13 @@ SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 PLACE = [np.uint64(f | 1) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+def in_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows, ``ROWS_AT_ONCE`` at a time: what is made of them is larger than its texts."""
+    for frame in frames:
+        for begin in range(0, len(frame), ROWS_AT_ONCE):
+            yield frame.iloc[begin : begin + ROWS_AT_ONCE]
+
+
 class Sketcher:
     """Labelled k-mers and sketches of texts; the hashes of words are kept, bounded in number."""
 
@@ -161,7 +169,7 @@ def sketch(rows: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketcher = Sketcher()
-        for frame in frames:
+        for frame in in_pieces(frames):
             out = []
             for text in frame["__text"].array:
                 words = sketcher.words(text)
@@ -224,7 +232,7 @@ def kmers_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         among, sketcher = listed_among(folder, bits), Sketcher()
-        for frame in frames:
+        for frame in in_pieces(frames):
             frame = frame[among(frame["__row"].to_numpy())]
             if len(frame):
                 short = [(sketcher.kmers(sketcher.words(t)) >> np.uint64(32)).astype("<u4").tobytes() for t in frame["__text"].array]

@@ -198,6 +198,15 @@ def test_minhash_classes_by_brute_force(docs, none):
     assert order_minhash.near_duplicate_classes(none, "doc_id").count() == 0
 
 
+def test_sketches_are_made_of_few_rows_at_a_time():
+    import pandas as pd
+
+    frames = [pd.DataFrame({"n": range(begin, begin + size)}) for begin, size in ((0, 1200), (1200, 0), (1200, 3))]
+    pieces = list(order_minhash.in_pieces(iter(frames)))
+    assert [n for p in pieces for n in p["n"]] == list(range(1203))
+    assert max(map(len, pieces)) <= 500 and order_minhash.KNOWN_WORDS <= 100_000
+
+
 def test_alignment_keeps_order():
     import numpy as np
 
