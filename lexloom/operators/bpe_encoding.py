@@ -1,28 +1,33 @@
 """Text to ids and back.
 
-Documents stay where they are: words are split in the JVM, and each Arrow batch encodes
-its distinct words once.  Only the model goes to the tasks.
+Documents stay where they are: texts are cut at their spaces in the JVM, and each Arrow batch
+encodes its distinct chunks once, many at a time.  Only the model goes to the tasks.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.operators.tokenizer import UNK, WORD_START, Tokenizer, normalize, split_words
+from lexloom.operators.tokenizer import PUNCTUATION, UNK, WORD_START, Tokenizer, normalize, split_chunks
 
 COMMON_WORDS = 200_000
 # Characters of text whose ids a task makes at a time; a row is not divided.
 CHARACTERS_AT_ONCE = 2_000_000
+# Words encoded together, and the characters of the longest that is encoded with others.
+WORDS_AT_ONCE = 16_384
+LONGEST_TOGETHER = 48
+NO_MERGE = np.iinfo(np.int32).max
 
 
 def word_encoder(tok: Tokenizer):
@@ -58,10 +63,78 @@ def word_encoder(tok: Tokenizer):
     return encode
 
 
-def join_ids(words: pa.ListArray, ids_of: dict[str, list[int]]) -> pa.ListArray:
-    """The ids of all words of each row in a row; a null row has none."""
-    flat = words.flatten().dictionary_encode()
-    lists = [ids_of[w] for w in flat.dictionary.to_pylist()]
+def words_encoder(tok: Tokenizer):
+    """A function from words to the ids of each, the same as ``word_encoder`` gives: every round makes
+    the next merge of each word, for all words at once."""
+    one_by_one = word_encoder(tok)
+    ids = {t: i for i, t in enumerate(tok.tokens)}
+    end = len(tok)  # stands behind a word
+    single = {ord(t): i for t, i in ids.items() if len(t) == 1}
+    table = np.full(max(single, default=0) + 2, ids[UNK], np.int32)
+    table[list(single)] = list(single.values())
+    ranks = {ids[a] * (end + 1) + ids[b]: rank for rank, (a, b) in reversed(list(enumerate(tok.merges)))}
+    pairs = np.array([*sorted(ranks), np.iinfo(np.int64).max])
+    rank_at = np.array([*(ranks[p] for p in sorted(ranks)), NO_MERGE], np.int32)
+    made = np.array([ids[a + b] for a, b in tok.merges], np.int32)
+
+    def ranks_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left.astype(np.int64) * (end + 1) + right
+        at = np.searchsorted(pairs, pair)
+        return np.where(pairs[at] == pair, rank_at[at], NO_MERGE)
+
+    def together(words: Sequence[str]) -> list[list[int]]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        place = np.arange(sizes.max(initial=0) + 1)
+        merged = np.full((len(words), len(place)), end, np.int32)
+        merged[place < sizes[:, None]] = table[np.minimum(codes, len(table) - 1)]
+        rows, symbols = np.arange(len(words)), merged
+        rank = ranks_of(symbols[:, :-1], symbols[:, 1:])
+        while len(rows) and rank.shape[1]:
+            at = rank.argmin(axis=1)  # of the lowest rank the leftmost
+            best = rank[np.arange(len(rows)), at]
+            more = best < NO_MERGE
+            merged[rows[~more]] = symbols[~more]
+            rows, at, best = rows[more], at[more], best[more]
+            row, kept = np.arange(len(rows)), place[:-1] + (place[:-1] > at[:, None])
+            symbols = np.pad(np.take_along_axis(symbols[more], kept, 1), ((0, 0), (0, 1)), constant_values=end)
+            symbols[row, at] = made[best]
+            gap = place[:-1] + (place[:-1] >= at[:, None])
+            rank = np.take_along_axis(np.pad(rank[more], ((0, 0), (0, 1)), constant_values=NO_MERGE), gap, 1)
+            rank[row, at] = ranks_of(symbols[row, at], symbols[row, at + 1])
+            before = at > 0
+            row, at = row[before], at[before]
+            rank[row, at - 1] = ranks_of(symbols[row, at - 1], symbols[row, at])
+        stays = merged != end
+        flat, ends = merged[stays].tolist(), np.cumsum(stays.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode(words: Sequence[str]) -> list[list[int]]:
+        found: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        short = [i for i in order if len(words[i]) <= LONGEST_TOGETHER]
+        for begin in range(0, len(short), WORDS_AT_ONCE):
+            taken = short[begin : begin + WORDS_AT_ONCE]
+            for i, made_of in zip(taken, together([words[i] for i in taken])):
+                found[i] = made_of
+        for i in order[len(short) :]:
+            found[i] = one_by_one(words[i])
+        return found
+
+    return encode
+
+
+def for_chunks(spark: SparkSession, tok: Tokenizer) -> Tokenizer:
+    """``tok`` without merges of punctuation, which stands alone: it gives a chunk the ids of its words."""
+    known = "".join(sorted({ch for pair in tok.merges for ch in "".join(pair)}))
+    apart = F.regexp_extract_all(F.lit(known), F.lit(f"[{PUNCTUATION}]"), F.lit(0))
+    alone = set(spark.range(1).select(apart).first()[0])
+    return replace(tok, merges=tuple(pair for pair in tok.merges if alone.isdisjoint("".join(pair))))
+
+
+def join_ids(words: pa.ListArray, flat: pa.DictionaryArray, lists: list[list[int]]) -> pa.ListArray:
+    """The ids of all words of each row in a row, of ``lists`` by the places in the dictionary of
+    the ``flat`` words; a null row has none."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     pool = np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum())
     codes = flat.indices.to_numpy()
@@ -75,10 +148,11 @@ def join_ids(words: pa.ListArray, ids_of: dict[str, list[int]]) -> pa.ListArray:
 
 
 def in_slices(part: pa.RecordBatch, words: int, at_once: int = CHARACTERS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """A batch as runs of rows whose ``words`` begin within ``at_once`` characters; no row is copied."""
+    """A batch as runs of rows whose ``words`` begin within ``at_once`` characters, a mark counted
+    for each; no row is copied."""
     column = part.column(words)
     listed = column.flatten()
-    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(listed), 0).to_numpy(zero_copy_only=False))])
+    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(listed), 0).to_numpy(zero_copy_only=False) + 1)])
     n_words = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     ends = before[np.cumsum(n_words)]
     cuts = np.flatnonzero(np.diff(ends // at_once)) + 1
@@ -111,23 +185,25 @@ def encode(
 
     No row is moved, so keys may be null or repeated.  A null text has no ids.  A task makes
     the ids of a bounded number of characters at a time, however many rows a batch holds.  It
-    forgets its words when it knows more than ``common_words``, and encodes them again
+    forgets its chunks when it knows more than ``common_words``, and encodes them again
     where they come again.
     """
-    encode_word = word_encoder(tok)
+    encode_words = words_encoder(for_chunks(df.sparkSession, tok))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for part in chain.from_iterable(in_slices(p, 1) for p in parts):
-            words = part.column(1)
+            chunks = part.column(1)
+            flat = chunks.flatten().dictionary_encode()
+            listed = flat.dictionary.to_pylist()
             if len(known) > common_words:
                 known.clear()
-            for w in words.flatten().unique().to_pylist():
-                if w not in known:
-                    known[w] = encode_word(w)
-            yield pa.RecordBatch.from_arrays([part.column(0), join_ids(words, known)], names=[key, "input_ids"])
+            new = [c for c in listed if c not in known]
+            known.update(zip(new, encode_words([WORD_START + c for c in new])))
+            ids = join_ids(chunks, flat, [known[c] for c in listed])
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "input_ids"])
 
-    docs = df.select(key, split_words(normalize(F.col(text), ascii_only)).alias("__words"))
+    docs = df.select(key, split_chunks(normalize(F.col(text), ascii_only)).alias("__chunks"))
     ids = T.StructField("input_ids", T.ArrayType(T.IntegerType()))
     return side_columns(docs.mapInArrow(batches, T.StructType([docs.schema[key], ids])))
 

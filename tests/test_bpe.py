@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -212,3 +213,57 @@ def test_a_job_applies_few_old_merges(spark, monkeypatch):
     df = spark.createDataFrame([(w, 20) for w in set(words)], "word string, cnt long")
     assert len(bpe.train_bpe(df, 150).merges) > 100
     assert max(replayed) < 24
+
+
+def random_words(rng, n, letters="abcd▁x", longest=12):
+    return ["".join(rng.choices(letters, k=rng.randint(1, longest))) for _ in range(n)]
+
+
+def random_tokenizer(rng, n_merges=60, letters="abcd▁."):
+    tokens, merges = [*tk.TRAINED_SPECIALS, *letters], []
+    while len(merges) < n_merges:
+        pair = tuple(rng.choices(tokens[len(tk.TRAINED_SPECIALS):], k=2))
+        if pair not in merges and len("".join(pair)) < 7:
+            merges.append(pair)
+            tokens += [t for t in ["".join(pair)] if t not in tokens]
+    return tk.Tokenizer(tuple(tokens), frozenset(tk.TRAINED_SPECIALS), tuple(merges))
+
+
+def test_words_are_encoded_together_as_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    for size in (7, enc.WORDS_AT_ONCE):
+        monkeypatch.setattr(enc, "WORDS_AT_ONCE", size)
+        for n_merges in (0, 1, 60):
+            tok = random_tokenizer(rng, n_merges)
+            words = [*random_words(rng, 400), "", "a" * 47, "ab" * 24, "ab" * 40, "é😀a"]
+            assert enc.words_encoder(tok)(words) == [enc.word_encoder(tok)(w) for w in words]
+    assert enc.words_encoder(tok)([]) == []
+
+
+def test_words_are_encoded_faster_together():
+    rng = random.Random(6)
+    tok = random_tokenizer(rng, 200, "abcdefghij")
+    words = random_words(rng, 20_000, "abcdefghij", 14)
+
+    def seconds(encode):
+        begin = time.perf_counter()
+        encode()
+        return time.perf_counter() - begin
+
+    one_by_one = enc.word_encoder(tok)
+    slow, fast = seconds(lambda: [one_by_one(w) for w in words]), seconds(lambda: enc.words_encoder(tok)(words))
+    assert fast < 0.6 * slow
+
+
+def test_chunks_have_the_ids_and_counts_of_their_words(spark):
+    rng = random.Random(7)
+    texts = ["", " ", "▁", "  ", " a", "▁a", "a ▁b", "a.b", ". .", "\n a\n", "ab,cd ¿ab?؟ é", "a" * 60 + ".b" * 40, None]
+    texts += ["".join(rng.choices("abcd. ▁,\n¿x", k=rng.randint(1, 40))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    words = {r.k: r.w or [] for r in df.select("k", tk.split_words(F.lower("t")).alias("w")).collect()}
+    tok = random_tokenizer(rng)
+    one_by_one = enc.word_encoder(tok)
+    ids = {r.k: r.input_ids for r in enc.encode(df, "k", "t", tok, ascii_only=True).collect()}
+    assert ids == {k: [i for w in ws for i in one_by_one(w)] for k, ws in words.items()}
+    counts = {r.word: r.cnt for r in tk.count_words(df, "t", True).collect()}
+    assert counts == Counter(w for ws in words.values() for w in ws)

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -89,3 +90,17 @@ def test_tasks_of_a_corpus_stay_small(spark, tmp_path):
     dealt = spread(spark.read.parquet(path), rows_per_task=50)
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 1000 and max(sizes) <= 100
+
+
+def test_rules_match_what_their_plain_patterns_match(spark):
+    rng = random.Random(4)
+    pieces = ["1", "23", "456", "7890", "1234567890", "-", "+", " ", "  ", "\n", "a", "h", "w", "ww", "http", "www", "_", "é", "́", ".", "'", "~", "\x00", "ÿ", "ſ", "😀"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = {
+        rules.NOT_ALLOWED: r"[^a-zA-Z0-9\n,.!?'\"\- ]", rules.URL: r"http\S+|www\S+", rules.NUMBER: r"\b\d+\b",
+        rules.PHONE_TEN_DIGITS: r"\b\d{10}\b", rules.PHONE_DASHED: r"\b\d{3}-\d{3}-\d{4}\b", rules.SPACES: " +",
+    }
+    for used, meant in plain.items():
+        replaced = [F.regexp_replace("t", F.lit(p), F.lit(" ")) for p in (used, meant)]
+        assert df.filter(replaced[0] != replaced[1]).count() == 0
