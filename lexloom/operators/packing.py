@@ -168,7 +168,8 @@ def assign_bins(
     """A bin and a place in it for every row: ``batch``, ``key``, ``bin``, ``pos_in_bin``.
 
     The greedy step is sequential inside a batch, so it sees only keys and
-    lengths of one batch of bounded size; batches run in parallel.
+    lengths of one batch of bounded size; batches run in parallel.  They are dealt into a fixed
+    number of tasks: their bytes are few, and would be put together into one task.
     """
 
     pack = bin_packer(capacity)
@@ -189,7 +190,8 @@ def assign_bins(
     narrow = df.select(batch, key, F.col(length).cast("int").alias("__length"))
     types = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
     schema = f"{batch} {types[batch]}, {key} {types[key]}, {BINS_SCHEMA_TAIL}"
-    return narrow.groupBy(batch).applyInPandas(place, schema)
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return narrow.repartition(slots, batch).groupBy(batch).applyInPandas(place, schema)
 
 
 def pack_bins(

@@ -135,3 +135,10 @@ def test_balanced_pack_with_null_and_repeated_keys(spark):
     tokens = sorted(t for r in packed for t in r.ids if t >= 0)
     assert tokens == sorted(i for i in range(30) for _ in range(i % 6))
     assert sum(t == -1 for r in packed for t in r.ids) == 30 and all(len(r.ids) == 8 for r in packed)
+
+
+def test_batches_are_binned_by_many_tasks(spark):
+    df = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 40).alias("batch_id"), F.lit(5).alias("n"))
+    bins = pk.assign_bins(df, "k", "n", 16)
+    assert bins.count() == 400
+    assert bins.select(F.spark_partition_id().alias("task")).distinct().count() > 3

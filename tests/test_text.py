@@ -104,3 +104,14 @@ def test_rules_match_what_their_plain_patterns_match(spark):
     for used, meant in plain.items():
         replaced = [F.regexp_replace("t", F.lit(p), F.lit(" ")) for p in (used, meant)]
         assert df.filter(replaced[0] != replaced[1]).count() == 0
+
+
+def test_the_chain_equals_its_single_rules(spark):
+    rng = random.Random(8)
+    pieces = ["1", "123", "456", "7890", "1234567890", "555-123-4567", "-", " ", "  ", "\n", "\t", "\x1f", "a", "b'", "'", "http", "www", "_", "<", ">", ".", "é", "@"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 16))) for _ in range(6000)] + ["", " ", "\n \n", " 1 \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    col = rules.mark_dashed_phone(rules.mark_ten_digit_phone(rules.allow_list(rules.mark_html(F.col("t")))))
+    col = rules.strip_ends(rules.blank_control(rules.blank_bytes_literal(rules.mark_url(col))))
+    single = rules.lowercase(rules.collapse_spaces(rules.mark_number(col)))
+    assert df.filter(single != rules.clean_text(F.col("t"))).count() == 0
