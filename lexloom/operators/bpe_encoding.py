@@ -1,7 +1,7 @@
 """Text to ids and back.
 
-Documents stay where they are: texts are cut at their spaces in the JVM, and each Arrow batch
-encodes its distinct chunks once, many at a time.  Only the model goes to the tasks.
+Documents stay where they are: each Arrow batch of texts is cut at their spaces, and its distinct
+chunks are encoded once, many at a time.  Only the model goes to the tasks.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.operators.tokenizer import PUNCTUATION, UNK, WORD_START, Tokenizer, normalize, split_chunks
+from lexloom.operators.tokenizer import PUNCTUATION, UNK, WORD_START, Tokenizer, normalize
 
 COMMON_WORDS = 200_000
 # Characters of text whose ids a task makes at a time; a row is not divided.
 CHARACTERS_AT_ONCE = 2_000_000
-# Words encoded together, and the characters of the longest that is encoded with others.
-WORDS_AT_ONCE = 16_384
-LONGEST_TOGETHER = 48
+# Words encoded together.
+WORDS_AT_ONCE = 65_536
+# Up to so many tokens the ranks of all pairs stand in one table.
+SMALL_VOCAB = 1_000
 NO_MERGE = np.iinfo(np.int32).max
 
 
@@ -63,62 +64,104 @@ def word_encoder(tok: Tokenizer):
     return encode
 
 
-def words_encoder(tok: Tokenizer):
-    """A function from words to the ids of each, the same as ``word_encoder`` gives: every round makes
-    the next merge of each word, for all words at once."""
-    one_by_one = word_encoder(tok)
+def starts(ordered: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it."""
+    differs = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=differs[1:])
+    return differs
+
+
+def flat_encoder(tok: Tokenizer):
+    """A function from words to the number of ids of each and all ids in a row, the same as ``word_encoder``
+    gives: the symbols of all words lie in one array, and each step makes one merge wherever it is due."""
     ids = {t: i for i, t in enumerate(tok.tokens)}
-    end = len(tok)  # stands behind a word
+    end, gone = len(tok), len(tok) + 1  # stands around a word; was merged into the symbol before it
     single = {ord(t): i for t, i in ids.items() if len(t) == 1}
     table = np.full(max(single, default=0) + 2, ids[UNK], np.int32)
     table[list(single)] = list(single.values())
-    ranks = {ids[a] * (end + 1) + ids[b]: rank for rank, (a, b) in reversed(list(enumerate(tok.merges)))}
-    pairs = np.array([*sorted(ranks), np.iinfo(np.int64).max])
-    rank_at = np.array([*(ranks[p] for p in sorted(ranks)), NO_MERGE], np.int32)
-    made = np.array([ids[a + b] for a, b in tok.merges], np.int32)
+    ranks = {(ids[a], ids[b]): rank for rank, (a, b) in reversed(list(enumerate(tok.merges)))}
+    keys = {left * gone + right: rank for (left, right), rank in ranks.items()}
+    pairs = np.array([*sorted(keys), np.iinfo(np.int64).max])
+    rank_at = np.array([*(keys[k] for k in sorted(keys)), NO_MERGE], np.int32)
+    every_pair = np.full(gone**2 if gone <= SMALL_VOCAB else 0, NO_MERGE, np.int32)
+    every_pair[pairs[:-1] if len(every_pair) else []] = rank_at[:-1] if len(every_pair) else []
+    pair_of = {rank: pair for pair, rank in ranks.items()}
+    made = [ids[a + b] for a, b in tok.merges]
+    lowest: dict[int, int] = {}
+    for pair, rank in ranks.items():
+        lowest |= {part: min(rank, lowest.get(part, rank)) for part in pair}
+    # What these merges make can be merged before the next place of the same merge is due.
+    one_a_word = {rank for rank, token in enumerate(made) if lowest.get(token, NO_MERGE) <= rank}
 
     def ranks_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        pair = left.astype(np.int64) * (end + 1) + right
+        pair = left.astype(np.int64) * gone + right
+        if len(every_pair):
+            return every_pair[pair]
         at = np.searchsorted(pairs, pair)
         return np.where(pairs[at] == pair, rank_at[at], NO_MERGE)
 
-    def together(words: Sequence[str]) -> list[list[int]]:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        place = np.arange(sizes.max(initial=0) + 1)
-        merged = np.full((len(words), len(place)), end, np.int32)
-        merged[place < sizes[:, None]] = table[np.minimum(codes, len(table) - 1)]
-        rows, symbols = np.arange(len(words)), merged
-        rank = ranks_of(symbols[:, :-1], symbols[:, 1:])
-        while len(rows) and rank.shape[1]:
-            at = rank.argmin(axis=1)  # of the lowest rank the leftmost
-            best = rank[np.arange(len(rows)), at]
-            more = best < NO_MERGE
-            merged[rows[~more]] = symbols[~more]
-            rows, at, best = rows[more], at[more], best[more]
-            row, kept = np.arange(len(rows)), place[:-1] + (place[:-1] > at[:, None])
-            symbols = np.pad(np.take_along_axis(symbols[more], kept, 1), ((0, 0), (0, 1)), constant_values=end)
-            symbols[row, at] = made[best]
-            gap = place[:-1] + (place[:-1] >= at[:, None])
-            rank = np.take_along_axis(np.pad(rank[more], ((0, 0), (0, 1)), constant_values=NO_MERGE), gap, 1)
-            rank[row, at] = ranks_of(symbols[row, at], symbols[row, at + 1])
-            before = at > 0
-            row, at = row[before], at[before]
-            rank[row, at - 1] = ranks_of(symbols[row, at - 1], symbols[row, at])
-        stays = merged != end
-        flat, ends = merged[stays].tolist(), np.cumsum(stays.sum(axis=1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+    def encode(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+        if not sizes.any():
+            return sizes, np.zeros(0, np.int32)
+        bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        codes = np.frombuffer(words.buffers()[2][bounds[0] : bounds[-1]].to_pybytes().decode().encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        symbols = np.full(len(codes) + len(words) + 1, end, np.int32)
+        symbols[np.arange(len(codes)) + owner + 1] = table[np.minimum(codes, len(table) - 1)]
+        ends = np.cumsum(sizes + 1)
+        before = np.arange(-1, len(symbols) - 1, dtype=np.int32)
+        after = np.arange(1, len(symbols) + 1, dtype=np.int32)
+        due: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            rank = ranks_of(symbols[places], symbols[after[places]])
+            some = np.flatnonzero(rank < NO_MERGE)
+            order = some[np.argsort(rank[some], kind="stable")]
+            places, rank = places[order], rank[order]
+            cuts = [*np.flatnonzero(starts(rank)).tolist(), len(rank)]
+            for begin, stop, number in zip(cuts, cuts[1:], rank[cuts[:-1]].tolist()):
+                if number not in due:
+                    heapq.heappush(queue, number)
+                due.setdefault(number, []).append(places[begin:stop])
+
+        note(np.arange(len(symbols) - 1, dtype=np.int32))
+        while queue:
+            rank = heapq.heappop(queue)
+            left, right = pair_of[rank]
+            at = np.concatenate(due.pop(rank))
+            at = at[symbols[at] == left]
+            at = np.sort(at[symbols[after[at]] == right])
+            at = at[starts(at)]
+            if rank in one_a_word:
+                first = np.unique(np.searchsorted(ends, at), return_index=True)[1]
+                later, at = np.delete(at, first), at[first]
+            elif left == right and len(at):
+                # In a run of equal symbols every second place, from the left.
+                begins = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                place = np.arange(len(at))
+                at = at[(place - place[begins][np.cumsum(begins) - 1]) % 2 == 0]
+            beyond = after[after[at]]
+            symbols[after[at]] = gone
+            symbols[at], after[at], before[beyond] = made[rank], beyond, at
+            note(np.concatenate([before[at], at, *([later] if rank in one_a_word else [])]))
+        stays = symbols < end
+        return np.diff(np.cumsum(stays)[ends], prepend=0), symbols[stays]
+
+    return encode
+
+
+def words_encoder(tok: Tokenizer):
+    """A function from words to the ids of each, many words at a time."""
+    encode_flat = flat_encoder(tok)
 
     def encode(words: Sequence[str]) -> list[list[int]]:
-        found: list[list[int]] = [[]] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        short = [i for i in order if len(words[i]) <= LONGEST_TOGETHER]
-        for begin in range(0, len(short), WORDS_AT_ONCE):
-            taken = short[begin : begin + WORDS_AT_ONCE]
-            for i, made_of in zip(taken, together([words[i] for i in taken])):
-                found[i] = made_of
-        for i in order[len(short) :]:
-            found[i] = one_by_one(words[i])
+        found: list[list[int]] = []
+        for begin in range(0, len(words), WORDS_AT_ONCE):
+            sizes, ids = encode_flat(pa.array(words[begin : begin + WORDS_AT_ONCE], pa.string()))
+            flat, ends = ids.tolist(), np.cumsum(sizes).tolist()
+            found += [flat[a:b] for a, b in zip([0, *ends], ends)]
         return found
 
     return encode
@@ -132,28 +175,40 @@ def for_chunks(spark: SparkSession, tok: Tokenizer) -> Tokenizer:
     return replace(tok, merges=tuple(pair for pair in tok.merges if alone.isdisjoint("".join(pair))))
 
 
-def join_ids(words: pa.ListArray, flat: pa.DictionaryArray, lists: list[list[int]]) -> pa.ListArray:
-    """The ids of all words of each row in a row, of ``lists`` by the places in the dictionary of
-    the ``flat`` words; a null row has none."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    pool = np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum())
-    codes = flat.indices.to_numpy()
+def chunks_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The chunks between the spaces of all texts, which of them count, and how many count in each text: a
+    space in front of a text begins its first chunk, and an empty or null text has none."""
+    lists = pc.split_pattern(texts, " ")
+    n_chunks = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    first = (np.cumsum(n_chunks) - n_chunks)[n_chunks > 0]
+    empty = pc.equal(pc.binary_length(flat.take(pa.array(first))), 0).to_numpy(zero_copy_only=False)
+    counts = np.ones(len(flat), bool)
+    counts[first[empty]] = False
+    n_chunks[n_chunks > 0] -= empty
+    return flat.dictionary_encode(), counts, n_chunks
+
+
+def join_ids(codes: np.ndarray, n_chunks: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> pa.ListArray:
+    """The ids of all chunks of each row in a row: ``codes`` tell which distinct chunk each is, ``sizes``
+    how many ids of the ``pool`` are those of each distinct one."""
     taken = sizes[codes]
     ends = np.concatenate([[0], np.cumsum(taken)])
     starts = (np.cumsum(sizes) - sizes)[codes]
     ids = pool[np.repeat(starts - ends[:-1], taken) + np.arange(ends[-1])]
-    n_words = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-    offsets = ends[np.concatenate([[0], np.cumsum(n_words)])]
+    offsets = ends[np.concatenate([[0], np.cumsum(n_chunks)])]
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def in_slices(part: pa.RecordBatch, words: int, at_once: int = CHARACTERS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """A batch as runs of rows whose ``words`` begin within ``at_once`` characters, a mark counted
-    for each; no row is copied."""
+    """A batch as runs of rows whose ``words``, texts or lists of them, begin within ``at_once``
+    characters, a mark counted for each; no row is copied."""
     column = part.column(words)
-    listed = column.flatten()
+    listed = column.flatten() if pa.types.is_list(column.type) else column
     before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(listed), 0).to_numpy(zero_copy_only=False) + 1)])
-    n_words = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    n_words = np.ones(len(column), np.int64)
+    if listed is not column:
+        n_words = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     ends = before[np.cumsum(n_words)]
     cuts = np.flatnonzero(np.diff(ends // at_once)) + 1
     for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), part.num_rows]):
@@ -184,26 +239,23 @@ def encode(
     """``key``, ``input_ids`` and side columns; nothing is truncated, padded or added.
 
     No row is moved, so keys may be null or repeated.  A null text has no ids.  A task makes
-    the ids of a bounded number of characters at a time, however many rows a batch holds.  It
-    forgets its chunks when it knows more than ``common_words``, and encodes them again
-    where they come again.
+    the ids of a bounded number of characters at a time, however many rows a batch holds, and
+    keeps nothing from one time to the next: ``common_words`` has no effect any more.
     """
-    encode_words = words_encoder(for_chunks(df.sparkSession, tok))
+    encode_words = flat_encoder(for_chunks(df.sparkSession, tok))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
         for part in chain.from_iterable(in_slices(p, 1) for p in parts):
-            chunks = part.column(1)
-            flat = chunks.flatten().dictionary_encode()
-            listed = flat.dictionary.to_pylist()
-            if len(known) > common_words:
-                known.clear()
-            new = [c for c in listed if c not in known]
-            known.update(zip(new, encode_words([WORD_START + c for c in new])))
-            ids = join_ids(chunks, flat, [known[c] for c in listed])
+            chunks, counts, n_chunks = chunks_of(part.column(1))
+            words = pc.binary_join_element_wise(WORD_START, chunks.dictionary, "")
+            made = [encode_words(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+            sizes, pool = (np.concatenate(arrays) for arrays in zip(*made)) if made else (np.zeros(0, int),) * 2
+            ids = join_ids(chunks.indices.to_numpy()[counts], n_chunks, sizes, pool)
             yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "input_ids"])
 
-    docs = df.select(key, split_chunks(normalize(F.col(text), ascii_only)).alias("__chunks"))
+    # Cut at spaces in the tasks: that is far cheaper on whole texts than lists of chunks are to move.
+    texts = F.replace(normalize(F.col(text), ascii_only), F.lit(WORD_START), F.lit(" "))
+    docs = df.select(key, texts.alias("__text"))
     ids = T.StructField("input_ids", T.ArrayType(T.IntegerType()))
     return side_columns(docs.mapInArrow(batches, T.StructType([docs.schema[key], ids])))
 

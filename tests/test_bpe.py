@@ -267,3 +267,39 @@ def test_chunks_have_the_ids_and_counts_of_their_words(spark):
     assert ids == {k: [i for w in ws for i in one_by_one(w)] for k, ws in words.items()}
     counts = {r.word: r.cnt for r in tk.count_words(df, "t", True).collect()}
     assert counts == Counter(w for ws in words.values() for w in ws)
+
+
+def test_merges_out_of_order_are_made_in_the_order_of_one_word():
+    rng = random.Random(8)
+    # "ab" is made by the last merge too, after merges that take it; runs of one letter overlap.
+    merges = [("ab", "a"), ("a", "a"), ("aa", "aa"), ("b", "a"), ("a", "b"), ("aa", "b")]
+    out_of_order = tk.Tokenizer((*tk.TRAINED_SPECIALS, "a", "b", "aa", "aaaa", "ab", "ba", "aba", "aab"), frozenset(), tuple(merges))
+    toks = [out_of_order, *(random_tokenizer(rng, 60, "abc") for _ in range(20)), random_tokenizer(rng, 1500, "abcdefgh")]
+    assert len(toks[-1]) > enc.SMALL_VOCAB
+    for tok in toks:
+        words = pa.array([*random_words(rng, 300, "aab", 14), *random_words(rng, 300, "abcdefgh", 9), "a" * 4000])
+        one_by_one = enc.word_encoder(tok)
+        for some in (words, words.slice(5, 90), words.slice(0, 0)):
+            ids = [one_by_one(w) for w in some.to_pylist()]
+            sizes, flat = enc.flat_encoder(tok)(some)
+            assert (sizes.tolist(), flat.tolist()) == ([len(i) for i in ids], [i for made in ids for i in made])
+
+
+def test_whole_texts_go_to_the_tasks_that_encode_them(spark):
+    tok = tk.Tokenizer((*tk.TRAINED_SPECIALS, "a", "b", tk.WORD_START), frozenset(tk.TRAINED_SPECIALS), ())
+    df = spark.createDataFrame([(1, "ab a")], "k int, t string")
+    plan = enc.encode(df, "k", "t", tok)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "lambda" not in plan
+
+
+def test_a_task_encodes_distinct_chunks_several_times_as_fast():
+    rng = random.Random(9)
+    tok = random_tokenizer(rng, 250, "abcdefghijklmnop")
+    words = random_words(rng, 60_000, "abcdefghijklmnop", 14)
+    one_by_one, together, some = enc.word_encoder(tok), enc.flat_encoder(tok), pa.array(words)
+    begin = time.perf_counter()
+    for w in words:
+        one_by_one(w)
+    middle = time.perf_counter()
+    together(some)
+    assert time.perf_counter() - middle < 0.5 * (middle - begin)
