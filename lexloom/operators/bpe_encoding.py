@@ -19,11 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.operators.tokenizer import PUNCTUATION, UNK, WORD_START, Tokenizer, normalize
+from lexloom.operators.tokenizer import PUNCTUATION, UNK, WORD_START, Tokenizer, chunks_of, in_slices, spaced
 
 COMMON_WORDS = 200_000
-# Characters of text whose ids a task makes at a time; a row is not divided.
-CHARACTERS_AT_ONCE = 2_000_000
 # Words encoded together.
 WORDS_AT_ONCE = 65_536
 # Up to so many tokens the ranks of all pairs stand in one table.
@@ -175,20 +173,6 @@ def for_chunks(spark: SparkSession, tok: Tokenizer) -> Tokenizer:
     return replace(tok, merges=tuple(pair for pair in tok.merges if alone.isdisjoint("".join(pair))))
 
 
-def chunks_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """The chunks between the spaces of all texts, which of them count, and how many count in each text: a
-    space in front of a text begins its first chunk, and an empty or null text has none."""
-    lists = pc.split_pattern(texts, " ")
-    n_chunks = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten()
-    first = (np.cumsum(n_chunks) - n_chunks)[n_chunks > 0]
-    empty = pc.equal(pc.binary_length(flat.take(pa.array(first))), 0).to_numpy(zero_copy_only=False)
-    counts = np.ones(len(flat), bool)
-    counts[first[empty]] = False
-    n_chunks[n_chunks > 0] -= empty
-    return flat.dictionary_encode(), counts, n_chunks
-
-
 def join_ids(codes: np.ndarray, n_chunks: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> pa.ListArray:
     """The ids of all chunks of each row in a row: ``codes`` tell which distinct chunk each is, ``sizes``
     how many ids of the ``pool`` are those of each distinct one."""
@@ -200,22 +184,6 @@ def join_ids(codes: np.ndarray, n_chunks: np.ndarray, sizes: np.ndarray, pool: n
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
-def in_slices(part: pa.RecordBatch, words: int, at_once: int = CHARACTERS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """A batch as runs of rows whose ``words``, texts or lists of them, begin within ``at_once``
-    characters, a mark counted for each; no row is copied."""
-    column = part.column(words)
-    listed = column.flatten() if pa.types.is_list(column.type) else column
-    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(listed), 0).to_numpy(zero_copy_only=False) + 1)])
-    n_words = np.ones(len(column), np.int64)
-    if listed is not column:
-        n_words = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    ends = before[np.cumsum(n_words)]
-    cuts = np.flatnonzero(np.diff(ends // at_once)) + 1
-    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), part.num_rows]):
-        if begin < end:
-            yield part.slice(begin, end - begin)
-
-
 def side_columns(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     """``length``, a mask of ones and type ids of zeros."""
     n = F.size(ids)
@@ -253,9 +221,7 @@ def encode(
             ids = join_ids(chunks.indices.to_numpy()[counts], n_chunks, sizes, pool)
             yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "input_ids"])
 
-    # Cut at spaces in the tasks: that is far cheaper on whole texts than lists of chunks are to move.
-    texts = F.replace(normalize(F.col(text), ascii_only), F.lit(WORD_START), F.lit(" "))
-    docs = df.select(key, texts.alias("__text"))
+    docs = df.select(key, spaced(F.col(text), ascii_only).alias("__text"))
     ids = T.StructField("input_ids", T.ArrayType(T.IntegerType()))
     return side_columns(docs.mapInArrow(batches, T.StructType([docs.schema[key], ids])))
 

@@ -13,7 +13,7 @@ from lexloom.operators.relational import assign_batches
 from lexloom.operators.sampling import split_train_eval
 from lexloom.operators.tokenizer import EOS, PAD, TRAINED_SPECIALS
 from lexloom.plans import corpus
-from lexloom.plans.packing_queries import BATCH, SHARDS, THRESHOLD, constant_ctes, joined
+from lexloom.plans.packing_queries import BATCH, SHARDS, THRESHOLD, constant_ctes, joined, listed
 from lexloom.plans import sql
 from lexloom.plans.registry import query, spread, table
 from lexloom.plans.tokenizer_queries import ENCODED_SQL, TRAINED_SQL, WORD_RE, marked, trained, trained_sql
@@ -81,7 +81,7 @@ def conversation_pack(spark: SparkSession, folder: str) -> DataFrame:
     batched = assign_batches(write_and_read(encoded, "encoded"), None, SHARDS, BATCH, pos="row_no")
     fill = packing.fill_values(["input_ids", "attention_mask"], tok.id_of(EOS), tok.id_of(PAD))
     rows = packing.constant_length_pack(batched.withColumnRenamed("row_no", "turn"), "turn", fill, TURN_LENGTH, THRESHOLD)
-    return rows.select("batch_id", "row_no", joined("input_ids").alias("ids"), joined("attention_mask").alias("mask"))
+    return rows.select("batch_id", "row_no", listed("input_ids").alias("ids"), listed("attention_mask").alias("mask"))
 
 
 RAW_WORDS = f"""raw as materialized (
@@ -103,4 +103,4 @@ def plain_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The plain variant: texts as they are, encoded, concatenated and cut."""
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     rows = corpus.plain_chunks(docs, "doc_id", trained(spark, folder), length=TURN_LENGTH)
-    return rows.select("row_no", joined("input_ids").alias("ids"))
+    return rows.select("row_no", listed("input_ids").alias("ids"))

@@ -42,6 +42,11 @@ def joined(ids: str | Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
 
 
+def listed(ids: str) -> Column:
+    """``joined`` for whole numbers without nulls, several times as fast: as JSON, without its brackets."""
+    return F.btrim(F.to_json(ids), F.lit("[]"))
+
+
 def sizes(ids: str) -> Column:
     return F.size(ids).cast("bigint")
 

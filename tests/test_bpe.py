@@ -303,3 +303,22 @@ def test_a_task_encodes_distinct_chunks_several_times_as_fast():
     middle = time.perf_counter()
     together(some)
     assert time.perf_counter() - middle < 0.5 * (middle - begin)
+
+
+def test_merges_made_before_are_replayed_without_counting(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("pairs were counted")
+
+    monkeypatch.setattr(bpe, "summed", refuse)
+    words = pa.array([[97, 98, 97, 98], [97, 97, 97], [98]], pa.list_(pa.int32()))
+    part = pa.RecordBatch.from_arrays([words, pa.array([3, 2, 1])], names=["symbols", "cnt"])
+    ab, aa = bpe.FIRST_MERGED, bpe.FIRST_MERGED + 1
+    (rows,) = bpe.rewriter([(97, 98, ab), (97, 97, aa), (ab, ab, aa + 1)])(iter([part]))
+    assert rows.to_pydict() == {"symbols": [[aa + 1], [aa, 97], [98]], "cnt": [3, 2, 1]}
+
+
+def test_chunks_are_counted_where_they_are_cut(spark):
+    df = spark.createDataFrame([("a b a",), (None,), ("",), (" a",)], "text string")
+    counts = tk.count_words(df, "text", True)
+    assert {r.word: r.cnt for r in counts.collect()} == {"▁a": 3, "▁b": 1}
+    assert "split(" not in counts._jdf.queryExecution().optimizedPlan().toString()

@@ -7,6 +7,7 @@ from lexloom.operators.relational import assign_batches
 from lexloom.operators.tokenizer import TRAINED_SPECIALS, Tokenizer
 from lexloom.operators import sampling
 from lexloom.plans import corpus
+from lexloom.plans.packing_queries import joined, listed
 from lexloom.session import write_bucketed
 
 
@@ -83,3 +84,9 @@ def test_bucketed_rows_are_moved_once(spark):
             level = depth(line)
     assert sum("Exchange" in line for line in path) == 1
     assert made.count() == 4000 // 3 // 16 * 3
+
+
+def test_ids_are_listed_as_they_are_joined(spark):
+    df = spark.createDataFrame([([0, -5, 123456],), ([],), (None,), ([7],)], "a array<int>")
+    rows = df.select(listed("a").alias("listed"), joined("a").alias("joined")).collect()
+    assert [r.listed for r in rows] == [r.joined for r in rows] == ["0,-5,123456", "", None, "7"]
