@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from lexloom.functions.arrays import pad_right
@@ -202,15 +203,19 @@ def pack_bins(
     length: int = 1024,
     batch: str = "batch_id",
     size: str | None = None,
+    arrays: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
     """Each bin's documents, every one followed by an end mark, cut at ``length`` and padded.
 
     Bins ignore the end marks, so one may spill into a further, padded row.
     Places are worked out on (key, size) alone and joined to the arrays once; with
-    a stored column ``size`` the arrays are read only for that join.
+    a stored column ``size`` the arrays are read only for that join.  They are taken from
+    ``df``, or from another table by a column that is unique in both, as ``arrays`` names them:
+    then ``df`` holds none and no array is moved to find its batch.
     """
     columns = list(fill)
-    sizes = df.select(batch, key, ((F.col(size) if size else F.size(columns[0])) + 1).alias("__size"))
+    table, by = (arrays[0], [arrays[1]]) if arrays else (df, [batch, key])
+    sizes = df.select(*dict.fromkeys([batch, key, *by]), ((F.col(size) if size else F.size(columns[0])) + 1).alias("__size"))
     in_bin = Window.partitionBy(batch, "bin")
     before = in_bin.orderBy("pos_in_bin").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(batch).orderBy("bin", "pos_in_bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -223,9 +228,9 @@ def pack_bins(
             F.sum(F.when(F.col("pos_in_bin") == 0, F.col("__bin_rows")).otherwise(0)).over(earlier)
             - F.col("__bin_rows"),
         )
-        .select(batch, key, (F.col("__first_row") * length + F.col("__in_bin")).alias("__place"))
+        .select(*dict.fromkeys([batch, *by]), (F.col("__first_row") * length + F.col("__in_bin")).alias("__place"))
     )
-    placed = _with_eos(df.select(batch, key, *columns), fill).join(places, [batch, key])
+    placed = _with_eos(table.select(*by, *columns), fill).join(places, by)
     slices = _emit_slices(placed, [batch], columns, F.col("__place"), length, F.lit(False))
     rows = _join_slices(slices, [batch, "__row"], columns).withColumnRenamed("__row", "row_no")
     return _pad_all(rows, fill, length)
@@ -238,17 +243,19 @@ def balanced_pack(
     length: int = 1024,
     batch: str = "batch_id",
     size: str | None = None,
+    arrays: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
     """Length-balanced bins per batch, then packed.  Read ``df`` from a written stage:
     sizes and arrays are scanned separately.
 
     Rows with a ``pos_in_batch`` are told apart by it, so keys may be null or repeated.
+    ``arrays`` is that of ``pack_bins``, and then ``size`` is needed.
     """
     column = next(iter(fill))
     place = "pos_in_batch" if "pos_in_batch" in df.columns else key
     sized = df.withColumn("__length_of", F.col(size) if size else F.size(column))
     bins = assign_bins(sized, place, "__length_of", length, batch)
-    return pack_bins(df, bins, place, fill, length, batch, size)
+    return pack_bins(df, bins, place, fill, length, batch, size, arrays)
 
 
 def pad_batches(
@@ -265,7 +272,13 @@ def pad_batches(
 
 
 def causal_labels(df: DataFrame, ids: str = "input_ids", pad: int | None = None, ignored: int = -100) -> DataFrame:
-    """Labels equal to the ids; with ``pad`` given, padding becomes ``ignored``."""
+    """Labels equal to the ids; with ``pad`` given, padding becomes ``ignored``.  The ids are those
+    of a row, or lists of them for the rows of a batch."""
     if pad is None:
         return df.withColumn("labels", F.col(ids))
-    return df.withColumn("labels", F.transform(ids, lambda t: F.when(t == pad, ignored).otherwise(t)))
+
+    def labels(row: str | Column) -> Column:
+        return F.transform(row, lambda t: F.when(t == pad, ignored).otherwise(t))
+
+    of_batch = isinstance(df.schema[ids].dataType.elementType, ArrayType)
+    return df.withColumn("labels", F.transform(ids, labels) if of_batch else labels(ids))

@@ -212,6 +212,17 @@ def packing() -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     return F.pandas_udf(pack, T.BinaryType()), F.pandas_udf(unpack, T.ArrayType(T.StringType()))
 
 
+def narrowed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``rows`` with those ``columns`` that are arrays of int, and hold no value that needs more, as arrays
+    of two-byte numbers: half as much to move.  One pass over them finds out."""
+    ids = [c for c in columns if rows.schema[c].dataType.simpleString() == "array<int>"]
+    if not ids:
+        return rows
+    ends = rows.agg(*[f(g(F.col(c))) for c in ids for f, g in ((F.min, F.array_min), (F.max, F.array_max))]).first()
+    small = [c for i, c in enumerate(ids) if all(v is None or -(1 << 15) <= v < 1 << 15 for v in ends[2 * i : 2 * i + 2])]
+    return rows.withColumns({c: F.col(c).cast("array<smallint>") for c in small})
+
+
 def collate(
     assigned: DataFrame,
     rows: DataFrame,

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import clean_text
 from lexloom.operators import packing, relational, sampling
 from lexloom.operators.bpe_encoding import encode
+from lexloom.operators.position import with_source_position
 from lexloom.operators.tokenizer import EOS, PAD, Tokenizer
-from lexloom.session import write_and_read, write_bucketed
+from lexloom.session import drop_stage, write_and_read, write_bucketed, write_stage
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,8 @@ def clean_documents(docs: DataFrame, key: str, text: str = "text", settings: Cor
     return rows.withColumn(text, clean_text(F.col(text), settings.mask_first))
 
 
+# Ids of a tokenizer of so many tokens are moved as two bytes each.
+SMALL_IDS = 1 << 15
 # Rows of one batch that ``row_id`` can number; a larger batch is an error.
 ROW_BITS = 24
 
@@ -54,6 +57,7 @@ def prepare_corpus(
 
     The encoded and the packed stage are written to the shared folder: packing scans its
     sizes and its arrays separately, and sampling reads keys and lengths before it reads rows.
+    The encoded stage is deleted once the packed one is written.
     With ``buckets`` the packed rows lie in that many buckets by ``row_id``, so that collating
     them into batches, once or for many runs, moves each row once only.
     """
@@ -62,18 +66,23 @@ def prepare_corpus(
     if not settings.pack:
         encoded = relational.drop_columns(encoded, ["length", "token_type_ids"])
         return relational.min_length(encoded, "input_ids", settings.seq_length).withColumnRenamed(key, "row_id")
-    # The length stays in the stage: bins and places are worked out from it alone.
-    encoded = write_and_read(relational.drop_columns(encoded, ["token_type_ids"]), "encoded")
-    batched = relational.assign_batches(encoded, key, settings.shards, settings.batch_size)
-    fill = packing.fill_values(
-        ["input_ids", "attention_mask"], tok.id_of(EOS), tok.id_of(PAD), mask_compat=settings.mask_compat
-    )
-    packed = packing.balanced_pack(batched, key, fill, settings.seq_length, size="length")
+    # The length stays in the stage: bins and places are worked out from it alone, and rows are told
+    # apart by their place in the stage, so that the arrays are moved to their rows and nowhere else before.
+    columns = ["input_ids", "attention_mask"]
+    kind = "smallint" if len(tok) <= SMALL_IDS else "int"
+    narrow = encoded.select(key, *[F.col(c).cast(f"array<{kind}>").alias(c) for c in columns], "length")
+    encoded, path = write_stage(narrow, "encoded")
+    numbered = with_source_position(encoded, "__at")
+    sizes = relational.assign_batches(numbered.select(key, "length", "__at"), key, settings.shards, settings.batch_size)
+    batched, batched_path = write_stage(sizes, "batched")
+    fill = packing.fill_values(columns, tok.id_of(EOS), tok.id_of(PAD), mask_compat=settings.mask_compat)
+    packed = packing.balanced_pack(batched, key, fill, settings.seq_length, size="length", arrays=(numbered, "__at"))
     long_enough = relational.min_length(packed, "input_ids", settings.seq_length)
-    rows = number_rows(long_enough).select("row_id", "input_ids", "attention_mask")
-    if settings.buckets:
-        return write_bucketed(rows, "row_id", settings.buckets, "packed")
-    return write_and_read(rows, "packed")
+    rows = number_rows(long_enough).select("row_id", *[F.col(c).cast("array<int>").alias(c) for c in columns])
+    rows = write_bucketed(rows, "row_id", settings.buckets, "packed") if settings.buckets else write_and_read(rows, "packed")
+    for read in (path, batched_path):
+        drop_stage(docs.sparkSession, read)
+    return rows
 
 
 def plain_chunks(docs: DataFrame, key: str, tok: Tokenizer, text: str = "text", length: int = 512) -> DataFrame:
@@ -101,14 +110,19 @@ def training_batches(
     """
     if max_examples > 0:
         rows = relational.head(rows, max_examples, key)
-    rows = packing.causal_labels(rows, "input_ids", label_pad)
-    columns = [c for c in rows.columns if c != key]
+    columns = [c for c in rows.columns if c not in (key, "labels")]
     sized = relational.with_length(rows, "input_ids")
+    moved = sampling.narrowed(rows, columns)
+
+    def collated(assigned: DataFrame, by: list[str]) -> DataFrame:
+        batches = sampling.collate(sampling.assign_rank_batches(assigned, batch_size), moved, key, columns, by)
+        whole = {c: F.col(c).cast("array<array<int>>") for c in columns if moved.schema[c] != rows.schema[c]}
+        # The labels are made in the batches, so that no second copy of the ids is moved.
+        return packing.causal_labels(batches.withColumns(whole), "input_ids", label_pad)
 
-    names = ["epoch", "rank", "batch"]
     options = {"mega_size": mega_size, "seed": seed, "drop_last": True}
     if not reseed:
-        assigned = sampling.assign_rank_batches(sampling.grouped_sampler(sized, key, "length", ranks, **options), batch_size)
-        return sampling.repeat_epochs(sampling.collate(assigned, rows, key, columns), epochs)
+        assigned = sampling.grouped_sampler(sized, key, "length", ranks, **options)
+        return sampling.repeat_epochs(collated(assigned, ["rank", "batch"]), epochs)
     assigned = sampling.grouped_sampler_of_epochs(sized, key, "length", ranks, epochs, **options)
-    return sampling.collate(sampling.assign_rank_batches(assigned, batch_size), rows, key, columns, names)
+    return collated(assigned, ["epoch", "rank", "batch"])

@@ -17,7 +17,7 @@ from lexloom.plans.packing_queries import BATCH, SHARDS, THRESHOLD, constant_cte
 from lexloom.plans import sql
 from lexloom.plans.registry import query, spread, table
 from lexloom.plans.tokenizer_queries import ENCODED_SQL, TRAINED_SQL, WORD_RE, marked, trained, trained_sql
-from lexloom.session import write_and_read
+from lexloom.session import drop_read, write_and_read
 
 SETTINGS = corpus.CorpusSettings(seq_length=512, shards=4, batch_size=60)
 
@@ -45,8 +45,10 @@ def prepared_corpus_totals(spark: SparkSession, folder: str) -> DataFrame:
 @query("prepared_training_batches")
 def prepared_training_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Two epochs for four ranks out of the training part of the prepared corpus."""
-    split = split_train_eval(prepared(spark, folder), "row_id", 0.05, 32, seed=7)
+    rows = prepared(spark, folder)
+    split = split_train_eval(rows, "row_id", 0.05, 32, seed=7)
     train = write_and_read(split.filter(F.col("split") == "train").drop("split"), "train")
+    drop_read(rows)
     batches = corpus.training_batches(train, ranks=4, batch_size=8, epochs=2, seed=7, mega_size=50)
     return batches.select(
         "epoch", "rank", "batch", F.array_join(F.transform("input_ids", lambda r: joined(r)), "|").alias("rows")

@@ -5,10 +5,11 @@ from lexloom.operators.bpe_encoding import encode
 from lexloom.operators.position import with_source_position
 from lexloom.operators.relational import assign_batches
 from lexloom.operators.tokenizer import TRAINED_SPECIALS, Tokenizer
-from lexloom.operators import sampling
+from lexloom.operators import packing, sampling
 from lexloom.plans import corpus
 from lexloom.plans.packing_queries import joined, listed
-from lexloom.session import write_bucketed
+from lexloom import session
+from lexloom.session import write_and_read, write_bucketed
 
 
 def char_tokenizer():
@@ -90,3 +91,45 @@ def test_ids_are_listed_as_they_are_joined(spark):
     df = spark.createDataFrame([([0, -5, 123456],), ([],), (None,), ([7],)], "a array<int>")
     rows = df.select(listed("a").alias("listed"), joined("a").alias("joined")).collect()
     assert [r.listed for r in rows] == [r.joined for r in rows] == ["0,-5,123456", "", None, "7"]
+
+
+def test_ids_move_as_two_bytes_and_without_their_labels(spark):
+    rows = spark.range(60).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("int"), F.lit(3)).alias("input_ids"))
+    made = corpus.training_batches(rows, ranks=2, batch_size=4, epochs=2, mega_size=10, label_pad=3)
+    assert made.schema["input_ids"].dataType.simpleString() == "array<array<int>>"
+    batches = made.collect()
+    assert len(batches) == 2 * 2 * 7
+    assert all(b.labels == [[i, -100] if i != 3 else [-100, -100] for i, _ in b.input_ids] for b in batches)
+    gathered = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list(" in line]
+    assert gathered and not any("labels" in line.split("collect_list(")[1].split("AS __rows")[0] for line in gathered)
+    assert sampling.narrowed(rows, ["input_ids"]).schema["input_ids"].dataType.simpleString() == "array<smallint>"
+    large = rows.withColumn("input_ids", F.transform("input_ids", lambda i: i + 40_000))
+    assert sampling.narrowed(large, ["input_ids"]).schema == large.schema
+    again = corpus.training_batches(large, ranks=2, batch_size=4, epochs=2, mega_size=10)
+    assert sorted(i for b in again.collect() for i, _ in b.input_ids) == sorted(i + 40_000 for b in batches for i, _ in b.input_ids)
+
+
+def test_written_stages_leave_no_shuffle_and_no_encoded_stage(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    docs = spark.read.parquet(f"{small}/documents.parquet").repartition(3)
+    shuffles = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    before = set(str(shuffles.keySet().mkString(",")).split(","))
+    rows = corpus.prepare_corpus(docs, "doc_id", char_tokenizer(), settings=corpus.CorpusSettings(shards=2, batch_size=30))
+    assert rows.count()
+    moved = set(str(shuffles.keySet().mkString(",")).split(",")) - before
+    assert len(moved) <= 6  # of the counts; the writes had more than ten
+    kept = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert "packed" in kept and not kept & {"encoded", "batched"}
+    session.drop_read(rows)
+    assert "packed" not in {p.name.split("-")[0] for p in tmp_path.iterdir()}
+
+
+def test_packing_by_place_equals_packing_by_key(spark):
+    rows = spark.range(200).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(0), F.col("id") % 23), lambda i: i.cast("int")).alias("ids"))
+    batched = write_and_read(assign_batches(rows.withColumn("n", F.size("ids")), "k", 2, 30), "rows")
+    fill = {"ids": (-1, -2)}
+    plain = packing.balanced_pack(batched, "k", fill, 16, size="n")
+    narrow = batched.drop("ids").withColumn("at", F.col("k") * 7)
+    by_place = packing.balanced_pack(narrow, "k", fill, 16, size="n", arrays=(rows.select((F.col("k") * 7).alias("at"), "ids"), "at"))
+    columns = ["batch_id", "row_no", "ids"]
+    assert sorted(plain.select(columns).collect()) == sorted(by_place.select(columns).collect())
