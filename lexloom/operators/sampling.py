@@ -7,6 +7,7 @@ when batches are collated.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.operators.position import FINE_BITS, hash_levels, row_count, running_totals, with_row_position
+from lexloom.session import drop_read, write_and_read, write_bucketed
+
+# Epochs whose rows are on the move at the same time.
+EPOCHS_AT_ONCE = 4
 
 
 def permute(df: DataFrame, key: str, seed: int = 0, epoch: int | Column = 0, out: str = "perm_pos", within: Sequence[str] = ()) -> DataFrame:
@@ -130,15 +135,17 @@ def grouped_sampler_of_epochs(
     mega_size: int | None = None,
     seed: int = 0,
     drop_last: bool = False,
+    first: int = 0,
 ) -> DataFrame:
-    """``grouped_sampler`` for epochs 0 … ``epochs - 1`` at once, with a column ``epoch``.
+    """``grouped_sampler`` for epochs 0 … ``epochs - 1``, or as many from ``first`` on, at once, with
+    a column ``epoch``.
 
     The table is scanned once and the plan is that of one epoch: an epoch is one more level of
     grouping for the permutation and for the order inside mega-batches.
     """
     check_rank(None, ranks)
     n = row_count(df)
-    every = repeat_epochs(df.select(key, length), epochs)
+    every = repeat_epochs(df.select(key, length), epochs, first)
     permuted = permute(every, key, seed, F.col("epoch"), within=["epoch"])
     flat = sort_in_mega_batches(permuted, length, mega_size, n=n, within=["epoch"]).select("epoch", key, "flat_pos")
     shared = stride(even_out(flat, ranks, drop_last, n=n), ranks)
@@ -246,11 +253,40 @@ def collate(
     return listed.withColumns({c: unpack(F.col(c)) for c in packed}) if packed else listed
 
 
-def repeat_epochs(df: DataFrame, n: int) -> DataFrame:
-    """All batches ``n`` times over, numbered by ``epoch``."""
+def collate_epochs(
+    assigned: Callable[[int, int], DataFrame],
+    rows: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    epochs: int,
+    made: Callable[[DataFrame], DataFrame],
+    by: Sequence[str] = ("epoch", "rank", "batch"),
+    packed: Sequence[str] = (),
+    at_once: int = EPOCHS_AT_ONCE,
+) -> DataFrame:
+    """``made`` of the batches of many epochs, collated ``at_once`` epochs at a time.
+
+    ``assigned`` gives the rows of so many epochs from the first on.  An epoch moves every row once, so that the
+    disk for all epochs in one plan grows with their number.  Here the rows are written once, packed and in buckets by
+    key, what ``made`` makes of each turn is written, and its shuffles are gone before the next turn.
+    """
+    spark = rows.sparkSession
+    pack, unpack = packing()
+    whole = rows.select(key, *[pack(F.col(c)).alias(c) if c in packed else c for c in columns])
+    stored = write_bucketed(whole, key, int(spark.conf.get("spark.sql.shuffle.partitions")), "rows")
+    turns = []
+    for first in range(0, epochs, at_once):
+        batches = collate(assigned(first, min(at_once, epochs - first)), stored, key, columns, by)
+        turns.append(write_and_read(made(batches.withColumns({c: unpack(F.col(c)) for c in packed})), "epochs"))
+    drop_read(stored)
+    return reduce(DataFrame.unionAll, turns)
+
+
+def repeat_epochs(df: DataFrame, n: int, first: int = 0) -> DataFrame:
+    """All batches ``n`` times over, numbered by ``epoch`` from ``first`` on."""
     if n < 1:
         raise ValueError("repeat needs n >= 1: an endless repetition is not a table")
-    return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return df.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
 
 
 def resume(df: DataFrame, epoch: int, batches_done: int, batches_per_epoch: int) -> DataFrame:

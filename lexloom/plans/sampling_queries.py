@@ -216,9 +216,9 @@ evened as (
   where flat_pos < case when n % {RANKS} = 0 then n else ((n - 1) // {RANKS}) * {RANKS} end)"""
 
 
-def of_all_epochs(spark: SparkSession, folder: str) -> DataFrame:
+def of_epochs(spark: SparkSession, folder: str, first: int = 0, epochs: int = EPOCHS) -> DataFrame:
     rows = lengths(spark, folder)
-    return sp.grouped_sampler_of_epochs(rows, "doc_id", "n_chars", RANKS, EPOCHS, MEGA, SEED, drop_last=True)
+    return sp.grouped_sampler_of_epochs(rows, "doc_id", "n_chars", RANKS, epochs, MEGA, SEED, drop_last=True, first=first)
 
 
 @query(
@@ -226,7 +226,7 @@ def of_all_epochs(spark: SparkSession, folder: str) -> DataFrame:
     f"with {ALL_EPOCHS} select epoch, doc_id, flat_pos % {RANKS} as rank, flat_pos // {RANKS} as idx from evened",
 )
 def grouped_sampler_of_epochs(spark: SparkSession, folder: str) -> DataFrame:
-    return as_bigint(of_all_epochs(spark, folder).select("epoch", "doc_id", "rank", "idx"))
+    return as_bigint(of_epochs(spark, folder).select("epoch", "doc_id", "rank", "idx"))
 
 
 @query(
@@ -241,17 +241,22 @@ def grouped_sampler_of_epochs(spark: SparkSession, folder: str) -> DataFrame:
     from batched join ids using (doc_id) group by epoch, rank, batch""",
 )
 def collate_batches_of_epochs(spark: SparkSession, folder: str) -> DataFrame:
-    """The batches of all epochs out of one plan: each epoch in its own order."""
+    """The batches of all epochs, each in its own order, a few epochs at a time."""
     docs = word_ids(spark, folder).select("doc_id", joined("ids").alias("text"), F.col("doc_id").alias("doc"))
-    assigned = sp.assign_rank_batches(of_all_epochs(spark, folder), BATCH)
-    rows = sp.collate(assigned, docs, "doc_id", ["text", "doc"], ["epoch", "rank", "batch"], packed=["text"])
-    return rows.select(
-        F.col("epoch").cast("bigint").alias("epoch"),
-        F.col("rank").cast("bigint").alias("rank"),
-        "batch",
-        F.md5(F.array_join("text", "|")).alias("rows"),
-        F.array_join(F.transform("doc", lambda i: i.cast("string")), ",").alias("doc_ids"),
-    )
+
+    def assigned(first: int, epochs: int) -> DataFrame:
+        return sp.assign_rank_batches(of_epochs(spark, folder, first, epochs), BATCH)
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.col("epoch").cast("bigint").alias("epoch"),
+            F.col("rank").cast("bigint").alias("rank"),
+            "batch",
+            F.md5(F.array_join("text", "|")).alias("rows"),
+            F.array_join(F.transform("doc", lambda i: i.cast("string")), ",").alias("doc_ids"),
+        )
+
+    return sp.collate_epochs(assigned, docs, "doc_id", ["text", "doc"], EPOCHS, listed, packed=["text"])
 
 
 DONE = 3

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom import session
 from lexloom.operators import permutation
 from lexloom.operators import sampling as sp
 
@@ -125,3 +126,26 @@ def test_packed_columns_are_small_and_come_back(spark):
     assert rows.filter("id > 2").agg(F.max(F.length(pack(F.col("t"))))).first()[0] < 2 * 400
     nothing = sp.collate(assigned.limit(0), rows, "id", ["t"], by, packed=["t"])
     assert nothing.collect() == []
+
+
+def test_epochs_collated_in_turns_equal_all_at_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    rows = spark.range(90).select("id", F.repeat(F.col("id").cast("string"), 3).alias("text"), F.col("id").alias("doc"), F.lit(1).alias("n"))
+
+    def assigned(first, epochs):
+        made = sp.grouped_sampler_of_epochs(rows, "id", "n", 3, epochs, 10, seed=2, drop_last=True, first=first)
+        return sp.assign_rank_batches(made, 4)
+
+    by, columns = ["epoch", "rank", "batch"], ["text", "doc"]
+    turns = []
+
+    def made(batches):
+        turns.append(batches)
+        return batches.withColumn("text", F.array_join("text", "|"))
+
+    plain = sp.collate(assigned(0, 5), rows, "id", columns, by, packed=["text"])
+    got = sp.collate_epochs(assigned, rows, "id", columns, 5, made, by, packed=["text"], at_once=2)
+    assert sorted(got.collect()) == sorted(plain.withColumn("text", F.array_join("text", "|")).collect())
+    assert len(turns) == 3 and got.select("epoch").distinct().count() == 5
+    # What is left on disk is what was made of each turn: the packed rows are gone.
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"epochs"}
